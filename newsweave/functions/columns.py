@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
@@ -32,3 +32,13 @@ def replace_all(c: Column, pairs) -> Column:
     for old, new in pairs:
         c = F.replace(c, F.lit(old), F.lit(new))
     return c
+
+
+def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``withColumn`` for a costly value that later filters look at.
+
+    Catalyst copies an expression into every filter it pushes below, so the value
+    would be worked out twice; it does not push through a generator.
+    """
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.explode_outer(F.array(value)).alias(name))

@@ -138,16 +138,8 @@ def search_windows(tokens: DataFrame, previous: DataFrame, as_of: Column) -> Dat
 def within_window(articles: DataFrame, windows: DataFrame) -> DataFrame:
     """Rows of each token dated inside its window, whole days at both ends."""
     day = article_day()
-    bounds = windows.select(
-        "token_key",
-        article_day("start_ts").alias("_first_day"),
-        article_day("end_ts").alias("_last_day"),
-    )
-    return (
-        articles.join(bounds, "token_key")
-        .filter(day.between(F.col("_first_day"), F.col("_last_day")))
-        .drop("_first_day", "_last_day")
-    )
+    dated = day.between(article_day("start_ts"), article_day("end_ts"))
+    return articles.join(windows, "token_key").filter(dated).drop("start_ts", "end_ts")
 
 
 def new_articles(current: DataFrame, previous: DataFrame) -> DataFrame:

@@ -3,9 +3,9 @@
 Pairing every article with every token is never needed: a pair without a phrase hit
 scores exactly the day bonus.  Two exact ways find the pairs that do score:
 
-``inline``  For a registry of a few hundred phrases.  The phrases are literals of the
-            plan; each article is scored where it lies and only pairs at or above the
-            token's threshold are emitted.  No join and no shuffle.
+``inline``  For a registry of up to 2,000 phrases.  It is one literal of the plan; each
+            article is scored where it lies and only pairs at or above the token's
+            threshold are emitted.  No join and no shuffle.
 ``grams``   For any registry.  Character trigrams of the text are equi-joined to one
             trigram per phrase, candidates are verified in the text, and scores are
             summed by equi-joins and partial aggregation.
@@ -16,12 +16,12 @@ pair is an output row, by the meaning of the threshold.
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import bind
+from ..functions.columns import bind, with_computed
 from ..functions.relevance import (
     KEYWORD_WEIGHT,
     SINGLE_ARTICLE_BONUS,
@@ -32,10 +32,12 @@ from ..functions.relevance import (
     unique_ratio,
     weigh,
 )
+from .sizes import small_side
 
-INLINE_TOKENS = 64
-INLINE_PHRASES = 256
+INLINE_TOKENS = 500
+INLINE_PHRASES = 2000
 GRAM = 3
+TOKEN_LIST = "array<struct<token_key:string,threshold:double,weights:map<string,int>>>"
 FIELDS = ["title", "snippet", "full_content"]
 # joins phrases of different fields apart; no phrase holds it
 BREAK = "\u0000"
@@ -54,15 +56,11 @@ def score_assigned(articles: DataFrame, tokens: DataFrame) -> DataFrame:
     Adds ``threshold``.  Rows of tokens no longer in the registry drop out.
     """
     dims = tokens.select("token_key", "keywords", "phrases", "threshold")
-    return (
-        articles.join(dims, "token_key")
-        .withColumn(
-            "relevance",
-            F.when(F.col("relevance").isNotNull(), F.col("relevance")).otherwise(
-                pair_score()
-            ),
-        )
-        .drop("keywords", "phrases")
+    score = F.when(F.col("relevance").isNotNull(), F.col("relevance")).otherwise(
+        pair_score()
+    )
+    return with_computed(articles.join(dims, "token_key"), "relevance", score).drop(
+        "keywords", "phrases"
     )
 
 
@@ -97,34 +95,34 @@ def _small_registry(tokens: DataFrame) -> list | None:
     return rows if len(rows) <= INLINE_TOKENS and size <= INLINE_PHRASES else None
 
 
-def _lowered(fields: list[str]) -> Column:
-    return F.struct(*(F.lower(F.coalesce(f, F.lit(""))).alias(f) for f in fields))
+def _lowered() -> Column:
+    fields = F.array(*(F.col(f) for f in FIELDS))
+    return F.transform(fields, lambda f: F.lower(F.coalesce(f, F.lit(""))))
 
 
 def _hits(texts: Column, phrases: Column) -> Column:
-    """``array<struct<phrase, title, snippet, full_content>>`` of phrases found."""
+    """``array<struct<phrase, counts>>`` of the phrases found, counted per field."""
     counted = F.transform(
         phrases,
         lambda p: F.struct(
-            p.alias("phrase"), *(count_hits(texts[f], p).alias(f) for f in FIELDS)
+            p.alias("phrase"), F.transform(texts, lambda t: count_hits(t, p)).alias("counts")
         ),
     )
-    return F.filter(counted, lambda h: reduce(Column.__add__, (h[f] for f in FIELDS)) > 0)
+    return F.filter(counted, lambda h: F.exists(h["counts"], lambda n: n > 0))
 
 
 def _ratios(texts: Column, hits: Column) -> Column:
     """Word variety per field, worked out only for fields with a hit."""
-
-    def ratio(f: str) -> Column:
-        scored = F.exists(hits, lambda h: h[f] > 0)
-        return F.when(scored, unique_ratio(texts[f])).otherwise(F.lit(0.0))
-
-    return F.struct(*(ratio(f).alias(f) for f in FIELDS))
+    return F.transform(
+        texts,
+        lambda t, i: F.when(
+            F.exists(hits, lambda h: F.get(h["counts"], i) > 0), unique_ratio(t)
+        ).otherwise(F.lit(0.0)),
+    )
 
 
-def _relevance(bases: dict[str, Column], ratios: Column) -> Column:
-    scores = [weigh(bases[f].cast("double"), ratios[f]) for f in FIELDS]
-    return final_score(combine(*scores), F.lit(SINGLE_ARTICLE_BONUS))
+def _relevance(scores: Column) -> Column:
+    return final_score(combine(scores), F.lit(SINGLE_ARTICLE_BONUS))
 
 
 # -- inline ------------------------------------------------------------------------
@@ -141,26 +139,29 @@ def _weights(row) -> dict[str, int]:
 
 def _match_inline(articles: DataFrame, registry: list) -> DataFrame:
     phrases = sorted({p for row in registry for p in _weights(row)})
-    phrase_list = F.array(*map(F.lit, phrases)).cast("array<string>")
-
-    def token_literal(row) -> Column:
-        pairs = [F.lit(x) for item in _weights(row).items() for x in item]
-        return F.struct(
-            F.lit(row.token_key).alias("token_key"),
-            F.lit(float(row.threshold)).alias("threshold"),
-            F.create_map(*pairs).cast("map<string,int>").alias("weights"),
-        )
-
-    token_list = F.array(*map(token_literal, registry)).cast(
-        "array<struct<token_key:string,threshold:double,weights:map<string,int>>>"
-    )
-
-    def base(token: Column, hits: Column, f: str) -> Column:
-        return F.aggregate(
-            hits,
-            F.lit(0).cast("bigint"),
-            lambda acc, h: acc
-            + F.coalesce(F.try_element_at(token["weights"], h["phrase"]), F.lit(0)) * h[f],
+    token_rows = [
+        {"token_key": r.token_key, "threshold": r.threshold, "weights": _weights(r)}
+        for r in registry
+    ]
+    # constant folding turns both into plain literals
+    phrase_list = F.from_json(F.lit(json.dumps(phrases)), "array<string>")
+    token_list = F.from_json(F.lit(json.dumps(token_rows)), TOKEN_LIST)
+
+    def weight(token: Column, hit: Column) -> Column:
+        return F.coalesce(F.try_element_at(token["weights"], hit["phrase"]), F.lit(0))
+
+    def field_scores(token: Column, hits: Column, ratios: Column) -> Column:
+        nothing = F.lit(0).cast("bigint")
+        return F.transform(
+            ratios,
+            lambda r, i: bind(
+                F.aggregate(
+                    hits,
+                    nothing,
+                    lambda acc, h: acc + weight(token, h) * F.get(h["counts"], i),
+                ).cast("double"),
+                lambda base: weigh(base, r),
+            ),
         )
 
     def relevant(hits: Column, ratios: Column) -> Column:
@@ -169,16 +170,13 @@ def _match_inline(articles: DataFrame, registry: list) -> DataFrame:
             lambda t: F.struct(
                 t["token_key"].alias("token_key"),
                 t["threshold"].alias("threshold"),
-                bind(
-                    F.struct(*(base(t, hits, f).alias(f) for f in FIELDS)),
-                    lambda b: _relevance({f: b[f] for f in FIELDS}, ratios),
-                ).alias("relevance"),
+                bind(field_scores(t, hits, ratios), _relevance).alias("relevance"),
             ),
         )
         return F.filter(scored, lambda s: s["relevance"] >= s["threshold"])
 
     matches = bind(
-        _lowered(FIELDS),
+        _lowered(),
         lambda texts: bind(
             _hits(texts, phrase_list),
             lambda hits: bind(_ratios(texts, hits), lambda r: relevant(hits, r)),
@@ -238,13 +236,11 @@ def _candidates(articles: DataFrame, roles: DataFrame) -> DataFrame:
         "phrase", F.substring(F.col("phrase"), F.lit(1), size).alias("gram")
     )
     sizes = sorted(r[0] for r in phrases.select(size).distinct().collect())  # 1 to 3
-    texts = articles.select("arrival", _lowered(FIELDS).alias("t")).select(
-        "arrival", F.concat_ws(BREAK, *(f"t.{f}" for f in FIELDS)).alias("text")
-    )
+    texts = articles.select("arrival", F.array_join(_lowered(), BREAK).alias("text"))
     grams = [_grams(F.col("text"), n) for n in sizes] or [F.array().cast("array<string>")]
     return (
         texts.select("arrival", F.explode(F.array_distinct(F.concat(*grams))).alias("gram"))
-        .join(anchors, "gram")
+        .join(small_side(anchors), "gram")
         .groupBy("arrival")
         .agg(F.collect_set("phrase").alias("found"))
     )
@@ -259,7 +255,7 @@ def _match_grams(articles: DataFrame, tokens: DataFrame) -> DataFrame:
 
     # verify the candidates in the text and measure each article once
     measured = bind(
-        _lowered(FIELDS),
+        _lowered(),
         lambda t: bind(
             _hits(t, F.col("found")),
             lambda h: F.struct(h.alias("hits"), _ratios(t, h).alias("ratios")),
@@ -274,29 +270,29 @@ def _match_grams(articles: DataFrame, tokens: DataFrame) -> DataFrame:
         .select("arrival", "ratios", "h.*")
     )
 
-    sums = {
-        f"{role}_{f}": F.sum(F.col(role) * F.col(f)) for role in ("k", "p") for f in FIELDS
-    }
+    def total(role: str) -> Column:
+        sums = [F.sum(F.col(role) * F.col("counts")[i]) for i in range(len(FIELDS))]
+        return F.array(*sums).alias(role)
+
+    # phrase hits of the profile, set beside the keyword hits of its tokens
     same_profile = Window.partitionBy("arrival", "profile")
-    of_profile = {
-        f: F.max(F.when(F.col("token_key").isNull(), F.col(f"p_{f}"))).over(same_profile)
-        for f in FIELDS
-    }
-    bases = {
-        f: F.col(f"k_{f}") * KEYWORD_WEIGHT + F.coalesce(of_profile[f], F.lit(0))
-        for f in FIELDS
-    }
+    of_profile = F.max(F.when(F.col("token_key").isNull(), F.col("p"))).over(same_profile)
+    scores = F.transform(
+        "ratios",
+        lambda r, i: weigh(
+            (
+                F.get("k", i) * KEYWORD_WEIGHT + F.coalesce(F.get("of_profile", i), F.lit(0))
+            ).cast("double"),
+            r,
+        ),
+    )
     scored = (
-        hits.join(roles, "phrase")
+        hits.join(small_side(roles), "phrase")
         .groupBy("arrival", "profile", "token_key")
-        .agg(F.first("ratios").alias("ratios"), *(e.alias(n) for n, e in sums.items()))
-        .select("arrival", "profile", "token_key", "ratios", *(e.alias(f) for f, e in bases.items()))
-        .select(
-            "arrival",
-            "profile",
-            "token_key",
-            _relevance({f: F.col(f) for f in FIELDS}, F.col("ratios")).alias("relevance"),
-        )
+        .agg(F.first("ratios").alias("ratios"), total("k"), total("p"))
+        .withColumn("of_profile", of_profile)
+        .withColumn("relevance", bind(scores, _relevance))
+        .select("arrival", "profile", "token_key", "relevance")
     )
     by_keyword = (
         scored.filter("token_key is not null")

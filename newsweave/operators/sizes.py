@@ -1,0 +1,22 @@
+"""Broadcasting behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Registry-like rows are some hundred bytes, so this is tens of megabytes at most.
+BROADCAST_ROWS = 50_000
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """True if ``df`` has at most ``rows`` rows; looks at no more than one beyond."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it is small, else as it is.
+
+    A larger side is joined by shuffle, where adaptive execution splits hot keys.
+    """
+    return F.broadcast(df) if is_small(df, rows) else df

@@ -12,6 +12,7 @@ from ..operators.articles import (
     within_window,
 )
 from ..operators.matching import match_tokens, score_assigned
+from ..operators.sizes import is_small, small_side
 from ..operators.tokens import own_feeds
 from ..schemas import ARTICLE, ARTICLE_FIELDS, ARTICLE_KEYS
 
@@ -48,7 +49,7 @@ def previous_articles(snapshot: DataFrame) -> DataFrame:
     return as_articles(
         snapshot.withColumns(
             {
-                "arrival": arrival(PREVIOUS, F.col("position")),
+                "arrival": arrival(PREVIOUS, F.lit(0), F.lit(0), F.col("position")),
                 "relevance": F.when(pinned, F.lit(PINNED_RELEVANCE)),
                 "pinned": pinned,
             }
@@ -64,7 +65,7 @@ def token_feed_articles(feed_articles: DataFrame, tokens: DataFrame) -> DataFram
     """
     return as_articles(
         feed_articles.drop("tag")
-        .join(own_feeds(tokens), "url")
+        .join(small_side(own_feeds(tokens)), "url")
         .withColumns(
             {
                 "arrival": arrival(TOKEN_FEED, F.col("feed"), F.lit(0), F.col("item")),
@@ -79,7 +80,7 @@ def token_feed_articles(feed_articles: DataFrame, tokens: DataFrame) -> DataFram
 def default_feed_articles(feed_articles: DataFrame, default_urls: DataFrame) -> DataFrame:
     """Articles of the feeds every token reads; ``default_urls`` is ``url, feed``."""
     return as_articles(
-        feed_articles.join(default_urls, "url").withColumn(
+        feed_articles.join(small_side(default_urls), "url").withColumn(
             "arrival", arrival(DEFAULT_FEED, F.col("feed"), F.lit(0), F.col("item"))
         )
     )
@@ -103,7 +104,9 @@ def refresh(
     one row per key, and enters a token's list only where it scores, or where the
     token holds the same key and the newer of the two must win.
     """
-    windows = search_windows(tokens, previous, as_of)
+    # everything with one row per token is as small, or as large, as the registry
+    per_token = F.broadcast if is_small(tokens) else (lambda df: df)
+    windows = per_token(search_windows(tokens, previous, as_of))
     assigned = (
         previous.unionByName(within_window(search, windows).select(search.columns))
         .unionByName(token_feed)
@@ -125,5 +128,5 @@ def refresh(
         .unionByName(matched.select(columns)),
         ["token_key", *ARTICLE_KEYS],
     )
-    scored = score_assigned(current, tokens)
+    scored = score_assigned(current, per_token(tokens))
     return keep_relevant(scored, "threshold").select(columns)
