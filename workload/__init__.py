@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def catalog() -> dict:
     """``name -> (run, sql)``; ``sql`` is None where SQL cannot express the query."""
-    from . import articles
+    from . import articles, documents
 
-    return {**articles.QUERIES}
+    return {**articles.QUERIES, **documents.QUERIES}
