@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def catalog() -> dict:
     """``name -> (run, sql)``; ``sql`` is None where SQL cannot express the query."""
-    from . import articles, documents
+    from . import articles, dated, documents
 
-    return {**articles.QUERIES, **documents.QUERIES}
+    return {**articles.QUERIES, **documents.QUERIES, **dated.QUERIES}

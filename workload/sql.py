@@ -147,3 +147,159 @@ CLEANED_DOCUMENTS = (
     f"SELECT * REPLACE ({truncate('snippet')} AS snippet) FROM "
     f"(SELECT * REPLACE ({strip_tags('snippet')} AS snippet) FROM ({DOCUMENTS}))"
 )
+
+# -- dates -------------------------------------------------------------------------
+
+
+def group(c: str, pattern: str, n: int) -> str:
+    return f"regexp_extract({c}, {q(pattern)}, {n})"
+
+
+def number(c: str) -> str:
+    return f"try_cast(nullif({c}, '') AS INTEGER)"
+
+
+def month(c: str) -> str:
+    names = [m.lower() for m in wordlists.MONTHS]
+    short = [m[:3] for m in names]
+    allowed = strings([*names, *short, "sept"])
+    return f"CASE WHEN list_contains({allowed}, {c}) THEN list_position({strings(short)}, left({c}, 3)) END"
+
+
+def date_of(y: str, m: str, d: str) -> str:
+    return (
+        f"try_cast(lpad(({y})::VARCHAR, 4, '0') || '-' || lpad(({m})::VARCHAR, 2, '0') || '-' "
+        f"|| lpad(({d})::VARCHAR, 2, '0') AS DATE)"
+    )
+
+
+def day_part(c: str) -> str:
+    def form(f, named: bool) -> str:
+        pattern, y, m, d = f
+        mon = group(c, pattern, m)
+        return date_of(
+            number(group(c, pattern, y)),
+            month(mon) if named else number(mon),
+            number(group(c, pattern, d)),
+        )
+
+    a, b, y = (number(group(c, dates.NUMBERS, i)) for i in (1, 2, 3))
+    numbers = f"CASE WHEN {a} > 12 THEN {date_of(y, b, a)} ELSE {date_of(y, a, b)} END"
+    return "coalesce(" + ", ".join(
+        [
+            form(dates.YEAR_FIRST, False),
+            numbers,
+            form(dates.MONTH_DAY, True),
+            form(dates.DAY_MONTH, True),
+            form(dates.COMPACT, False),
+        ]
+    ) + ")"
+
+
+def clock(c: str, ignore_offset: bool = False) -> str:
+    h, mi, s, half, zone = (group(c, dates.TIME, i) for i in range(1, 6))
+
+    def seconds(hour: str, minute: str, second: str) -> str:
+        sec = f"coalesce({number(second)}, 0)"
+        return (
+            f"CASE WHEN {hour} < 24 AND {number(minute)} < 60 AND {sec} < 60 "
+            f"THEN {hour} * 3600 + {number(minute)} * 60 + {sec} END"
+        )
+
+    hour = (
+        f"(CASE WHEN {half} = '' THEN {number(h)} WHEN {number(h)} BETWEEN 1 AND 12 "
+        f"THEN {number(h)} % 12 + CASE WHEN {half} = 'pm' THEN 12 ELSE 0 END END)"
+    )
+    named = " ".join(
+        f"WHEN {zone} = {q(z)} THEN {hours * 3600}" for z, hours in wordlists.ZONE_HOURS.items()
+    )
+    digits = f"regexp_replace({zone}, '[^0-9]', '', 'g')"
+    size = (
+        f"({number(f'substring({digits}, 1, 2)')} * 3600 "
+        f"+ {number(f'substring({digits}, 3, 2)')} * 60)"
+    )
+    offset = (
+        f"CASE WHEN {zone} = '' THEN 0 {named} WHEN left({zone}, 1) = '-' THEN -{size} "
+        f"ELSE {size} END"
+    )
+    spoken = seconds(hour, mi, s)
+    if not ignore_offset:
+        spoken = f"({spoken}) - ({offset})"
+    ch, cm, cs = (group(c, dates.COMPACT_TIME, i) for i in (1, 2, 3))
+    return (
+        f"CASE WHEN {h} <> '' THEN {spoken} WHEN {ch} <> '' "
+        f"THEN {seconds(number(ch), cm, cs)} ELSE 0 END"
+    )
+
+
+def leftover(c: str) -> str:
+    for pattern in [
+        dates.YEAR_FIRST[0],
+        dates.NUMBERS,
+        dates.MONTH_DAY[0],
+        dates.DAY_MONTH[0],
+        dates.COMPACT[0],
+    ]:
+        c = f"regexp_replace({c}, {q(pattern)}, ' ', 'g')"
+    for pattern in [rf"t?{dates.TIME}", dates.FILLER]:
+        c = f"regexp_replace({c}, {q(pattern)}, '', 'g')"
+    return c
+
+
+def absolute(c: str, *, ignore_offset: bool = False, strict: bool = False) -> str:
+    """Epoch of a lower-cased text column."""
+    epoch = (
+        f"(datediff('day', DATE '1970-01-01', {day_part(c)})::BIGINT * 86400 "
+        f"+ ({clock(c, ignore_offset)}))"
+    )
+    return f"CASE WHEN {leftover(c)} = '' THEN {epoch} END" if strict else epoch
+
+
+def relative(c: str) -> str:
+    n, unit = group(c, dates.RELATIVE, 1), group(c, dates.RELATIVE, 2)
+    size = " ".join(f"WHEN {q(u)} THEN {s}" for u, s in wordlists.UNIT_SECONDS.items())
+    return (
+        f"CASE WHEN regexp_matches({c}, {q(dates.AGO)}) "
+        f"THEN {AS_OF}::BIGINT - {number(n)}::BIGINT * (CASE {unit} {size} END) END"
+    )
+
+
+def translate_date(c: str) -> str:
+    """``c`` is a column name."""
+    digits = f"translate({c}, {q(wordlists.ARABIC_DIGITS)}, {q(wordlists.ASCII_DIGITS)})"
+    units, months = digits, digits
+    pairs = sorted(wordlists.ARABIC_TIME_WORDS.items(), key=lambda kv: (-len(kv[0]), kv[0]))
+    for old, new in pairs:
+        units = f"replace({units}, {q(old)}, {q(new)})"
+    for old, new in wordlists.ARABIC_MONTHS.items():
+        months = f"replace({months}, {q(old)}, {q(new)})"
+    form = r"(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})"
+    names = [m.lower() for m in wordlists.MONTHS]
+    name = f"lower({group(months, form, 2)})"
+    mon = (
+        f"CASE WHEN list_contains({strings([*names, *(m[:3] for m in names)])}, {name}) "
+        f"THEN list_position({strings(m[:3] for m in names)}, left({name}, 3)) END"
+    )
+    parsed = date_of(number(group(months, form, 3)), mon, number(group(months, form, 1)))
+    arabic = (
+        rf"(length(regexp_replace({c}, '[^\x{{600}}-\x{{6FF}}]', '', 'g')) * 2 >= "
+        rf"length(regexp_replace({c}, '\s', '', 'g')) "
+        rf"AND length(regexp_replace({c}, '\s', '', 'g')) > 0)"
+    )
+    return f"CASE WHEN {arabic} THEN coalesce(({parsed})::VARCHAR, {units}) ELSE {c} END"
+
+
+def parsed_dates(source: str, text: str) -> str:
+    """CTEs ending in ``parsed``: source plus ``translated``, ``epoch``, ``ago``."""
+    return f"""
+tr AS (SELECT *, {translate_date(text)} AS translated FROM {source}),
+lo AS (SELECT *, lower(translated) AS low FROM tr),
+parsed AS (SELECT *, regexp_matches(low, {q(dates.AGO)}) AS ago,
+                  CASE WHEN regexp_matches(low, {q(dates.AGO)}) THEN {relative('low')}
+                       ELSE {absolute('low')} END AS epoch
+           FROM lo)"""
+
+
+DATE_SOURCE = (
+    "CASE WHEN epoch IS NULL THEN 'fallback' WHEN ago THEN 'relative' ELSE 'absolute' END"
+)
