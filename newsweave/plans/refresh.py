@@ -61,14 +61,15 @@ def previous_articles(snapshot: DataFrame) -> DataFrame:
 def token_feed_articles(feed_articles: DataFrame, tokens: DataFrame) -> DataFrame:
     """Articles of each token's own feeds, pinned, with the tag the token gave.
 
-    ``feed_articles`` carries ``url`` (of the feed) and ``item`` (place in it).
+    ``feed_articles`` carries ``url`` (of the feed), ``page`` (fetch) and ``item``
+    (place in it).
     """
     return as_articles(
         feed_articles.drop("tag")
         .join(small_side(own_feeds(tokens)), "url")
         .withColumns(
             {
-                "arrival": arrival(TOKEN_FEED, F.col("feed"), F.lit(0), F.col("item")),
+                "arrival": arrival(TOKEN_FEED, *map(F.col, ("feed", "page", "item"))),
                 "relevance": F.lit(PINNED_RELEVANCE),
                 "pinned": F.lit(True),
             }
@@ -81,7 +82,7 @@ def default_feed_articles(feed_articles: DataFrame, default_urls: DataFrame) ->
     """Articles of the feeds every token reads; ``default_urls`` is ``url, feed``."""
     return as_articles(
         feed_articles.join(small_side(default_urls), "url").withColumn(
-            "arrival", arrival(DEFAULT_FEED, F.col("feed"), F.lit(0), F.col("item"))
+            "arrival", arrival(DEFAULT_FEED, *map(F.col, ("feed", "page", "item")))
         )
     )
 

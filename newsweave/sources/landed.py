@@ -99,7 +99,7 @@ def token_search_articles(
 def _xml(reader, path: str, row_tag: str, schema: StructType) -> DataFrame:
     return (
         reader.format("xml")
-        .schema(_with(schema, url=StringType()))
+        .schema(_with(schema, url=StringType(), fetched=LongType()))
         .option("rowTag", row_tag)
         .load(path)
     )
@@ -108,10 +108,12 @@ def _xml(reader, path: str, row_tag: str, schema: StructType) -> DataFrame:
 def _rss_entries(channels: DataFrame) -> DataFrame:
     return channels.select(
         "url",
+        "fetched",
         F.coalesce("title", F.lit(UNKNOWN_FEED)).alias("feed_title"),
         F.posexplode("item").alias("item", "e"),
     ).select(
         "url",
+        "fetched",
         "feed_title",
         F.col("item").cast("bigint").alias("item"),
         "e.title",
@@ -127,10 +129,12 @@ def _atom_entries(feeds: DataFrame) -> DataFrame:
     main = F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
     return feeds.select(
         "url",
+        "fetched",
         F.coalesce("title", F.lit(UNKNOWN_FEED)).alias("feed_title"),
         F.posexplode("entry").alias("item", "e"),
     ).select(
         "url",
+        "fetched",
         "feed_title",
         F.col("item").cast("bigint").alias("item"),
         "e.title",
@@ -142,7 +146,10 @@ def _atom_entries(feeds: DataFrame) -> DataFrame:
 
 
 def read_feed_entries(spark: SparkSession, path: str, *, stream: bool = False) -> DataFrame:
-    """Entries of RSS and Atom documents under ``<path>/url=<escaped feed URL>/``."""
+    """Entries of RSS and Atom documents, one document per feed and fetch.
+
+    Layout: ``<path>/url=<escaped feed URL>/fetched=<epoch>/``.
+    """
     reader = spark.readStream if stream else spark.read
     rss = _rss_entries(_xml(reader, path, "channel", RSS_CHANNEL))
     atom = _atom_entries(_xml(reader, path, "feed", ATOM_FEED))
@@ -150,11 +157,12 @@ def read_feed_entries(spark: SparkSession, path: str, *, stream: bool = False) -
 
 
 def feed_articles(entries: DataFrame, as_of: Column) -> DataFrame:
-    """Article rows with the feed's ``url`` and the entry's place ``item``."""
+    """Article rows with the feed's ``url``, the fetch (``page``) and place ``item``."""
     empty = F.lit("")
     timed = with_computed(entries, "timestamp", feed_epoch("published", "updated", as_of))
     return timed.select(
         "url",
+        F.col("fetched").alias("page"),
         "item",
         F.coalesce("title", empty).alias("title"),
         F.coalesce("link", empty).alias("link"),

@@ -141,6 +141,7 @@ def refresh_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         _with_time(articles.filter(doc % 5 == 4), zero).withColumns(
             {
                 "url": F.concat(F.lit("feed"), (doc % 3).cast("string")),
+                "page": zero,
                 "item": doc,
             }
         ),
