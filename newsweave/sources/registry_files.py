@@ -37,7 +37,8 @@ def load_settings(spark: SparkSession, path: str) -> tuple[Settings, DataFrame]:
     """
     content = None
     if exists(spark, path):
-        content = _parse(spark.read.text(path, wholetext=True).first()[0])
+        file = spark.read.text(path, wholetext=True).first()
+        content = _parse(file.value) if file else None
     if not isinstance(content, dict):
         content = {}
     known = {f.name for f in fields(Settings)} & content.keys()
