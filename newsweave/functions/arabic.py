@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import ColumnOrName, col, replace_all
+from .columns import ColumnOrName, col, literal_map, replace_all
 from .wordlists import (
     ARABIC_DIGITS,
     ARABIC_MONTHS,
@@ -44,14 +44,12 @@ def month_number(name: Column, *, loose: bool = False) -> Column:
 
     ``loose`` also takes ``Sept``, as free-text date readers do.
     """
-    entries: list[Column] = []
+    numbers: dict[str, int] = {}
     for number, month in enumerate(MONTHS, 1):
-        names = {month[:3].lower(), month.lower()}
-        if loose and month == "September":
-            names.add("sept")
-        for n in sorted(names):
-            entries += [F.lit(n), F.lit(number)]
-    return F.try_element_at(F.create_map(*entries), F.lower(name))
+        numbers[month.lower()] = numbers[month[:3].lower()] = number
+    if loose:
+        numbers["sept"] = numbers["sep"]
+    return F.try_element_at(literal_map(numbers), F.lower(name))
 
 
 def date_of(year: Column, month: Column, day: Column) -> Column:

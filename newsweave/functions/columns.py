@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,11 @@ def blank_to_null(c: Column) -> Column:
     return F.when(F.length(c) > 0, c)
 
 
+def literal_map(values: dict[str, int]) -> Column:
+    """A text-to-number map; constant folding makes it a plain literal."""
+    return F.from_json(F.lit(json.dumps(values)), "map<string,int>")
+
+
 def replace_all(c: Column, pairs) -> Column:
     for old, new in pairs:
         c = F.replace(c, F.lit(old), F.lit(new))

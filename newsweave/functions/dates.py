@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arabic import date_of, month_number, translate_date
-from .columns import ColumnOrName, bind, blank_to_null, col
+from .columns import ColumnOrName, bind, blank_to_null, col, literal_map
 from .wordlists import MONTHS, UNIT_SECONDS, ZONE_HOURS
 
 _UNITS = "|".join(UNIT_SECONDS)
@@ -110,9 +110,7 @@ def _of_day(hour: Column, minute: Column, second: Column) -> Column:
 
 def _offset(zone: Column) -> Column:
     """Seconds east of UTC of ``+hh:mm``, ``-hhmm`` or a named zone; 0 for ''."""
-    named: list[Column] = []
-    for name, hours in ZONE_HOURS.items():
-        named += [F.lit(name), F.lit(hours * 3600)]
+    named = literal_map({name: hours * 3600 for name, hours in ZONE_HOURS.items()})
     digits = F.regexp_replace(zone, "[^0-9]", "")
     size = F.coalesce(
         _number(F.substring(digits, 1, 2)) * 3600
@@ -120,7 +118,7 @@ def _offset(zone: Column) -> Column:
         F.lit(0),
     )
     signed = F.when(zone.startswith("-"), -size).otherwise(size)
-    return F.coalesce(F.try_element_at(F.create_map(*named), zone), signed)
+    return F.coalesce(F.try_element_at(named, zone), signed)
 
 
 def _leftover(lowered: Column) -> Column:
@@ -161,10 +159,7 @@ def relative_epoch(c: ColumnOrName, as_of: Column) -> Column:
     lowered = F.lower(col(c))
     count = _number(F.regexp_extract(lowered, RELATIVE, 1)).cast("bigint")
     unit = F.regexp_extract(lowered, RELATIVE, 2)
-    seconds: list[Column] = []
-    for name, size in UNIT_SECONDS.items():
-        seconds += [F.lit(name), F.lit(size).cast("bigint")]
-    epoch = as_of - count * F.try_element_at(F.create_map(*seconds), unit)
+    epoch = as_of - count * F.try_element_at(literal_map(UNIT_SECONDS), unit)
     return F.when(is_relative(c) & (epoch >= EPOCH_MIN), epoch)
 
 

@@ -30,7 +30,8 @@ _GAP = rf"[{SPACE_CHARS}{CUT_CHARS}]|[:,](?![0-9])|\.\.+|--+|''+"
 _EDGE = rf"(?:{_GAP}|\z)"
 _STOP = rf"\.(?='?{_EDGE})"
 _CLITIC = rf"(?:'(?:s|m|d|ll|re|ve)?|n't)(?=(?:\.'?)?{_EDGE})"
-BETWEEN_WORDS = rf"(?:{_GAP}|{_STOP}|{_CLITIC})+"
+# the look-ahead rejects most letters with a single test
+BETWEEN_WORDS = rf"(?=[{SPACE_CHARS}{CUT_CHARS}:,.\-'n])(?:{_GAP}|{_STOP}|{_CLITIC})+"
 
 # A counted word: letters and digits only, and no stop word.  The stop words stand in
 # the pattern, grouped by first letter, so the test is one literal of the plan.

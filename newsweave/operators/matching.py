@@ -261,10 +261,11 @@ def _match_grams(articles: DataFrame, tokens: DataFrame) -> DataFrame:
             lambda h: F.struct(h.alias("hits"), _ratios(t, h).alias("ratios")),
         ),
     )
+    found = articles.select("arrival", *FIELDS).join(
+        _candidates(articles, roles), "arrival"
+    )
     hits = (
-        articles.select("arrival", *FIELDS)
-        .join(_candidates(articles, roles), "arrival")
-        .select("arrival", measured.alias("m"))
+        with_computed(found, "m", measured)
         .select("arrival", "m.ratios", F.explode_outer("m.hits").alias("h"))
         .filter("h is not null")
         .select("arrival", "ratios", "h.*")
@@ -286,36 +287,35 @@ def _match_grams(articles: DataFrame, tokens: DataFrame) -> DataFrame:
             r,
         ),
     )
-    scored = (
+    summed = (
         hits.join(small_side(roles), "phrase")
         .groupBy("arrival", "profile", "token_key")
         .agg(F.first("ratios").alias("ratios"), total("k"), total("p"))
         .withColumn("of_profile", of_profile)
-        .withColumn("relevance", bind(scores, _relevance))
-        .select("arrival", "profile", "token_key", "relevance")
     )
-    by_keyword = (
-        scored.filter("token_key is not null")
-        .join(selective.select("token_key", "threshold"), "token_key")
-        .filter("relevance >= threshold")
-        .select("arrival", "token_key", "relevance")
+    # One row stands for one token, or for a profile, whose row is opened into tokens
+    # only if it passes the lowest threshold among them on phrases alone.
+    nobody = F.lit("")
+    scored = with_computed(summed, "relevance", bind(scores, _relevance)).select(
+        "arrival",
+        "profile",
+        F.coalesce("token_key", nobody).alias("stands_for"),
+        "relevance",
     )
-    # a profile is opened into tokens only for articles that pass on phrases alone
     lowest = selective.groupBy("profile").agg(F.min("threshold").alias("lowest"))
-    by_profile = (
-        scored.filter("token_key is null")
-        .select("arrival", "profile", "relevance")
-        .join(lowest, "profile")
+    owners = selective.select("profile", "token_key", "threshold")
+    targets = owners.withColumn("stands_for", F.col("token_key")).unionByName(
+        owners.withColumn("stands_for", nobody)
+    )
+    passed = (
+        scored.join(small_side(lowest), "profile")
         .filter("relevance >= lowest")
-        .join(selective.select("profile", "token_key", "threshold"), "profile")
+        .join(small_side(targets), ["profile", "stands_for"])
         .filter("relevance >= threshold")
-        .select("arrival", "token_key", "relevance")
     )
     # keyword hits only add to a score, so the larger one is the whole one
-    pairs = (
-        by_keyword.unionByName(by_profile)
-        .groupBy("arrival", "token_key")
-        .agg(F.max("relevance").alias("relevance"))
+    pairs = passed.groupBy("arrival", "token_key").agg(
+        F.max("relevance").alias("relevance")
     )
     matched = articles.join(pairs, "arrival")
     return matched.unionByName(_match_everything(articles, tokens).select(matched.columns))

@@ -19,8 +19,8 @@ from newsweave.session import configure
 from newsweave.settings import Settings
 from newsweave.schemas import TOKEN
 
-# tables of long texts, and the size up to which Spark reads them in one task
-TEXT_TABLES = ("documents", "pages")
+# tables with costly work per row, and the size up to which Spark reads them in one task
+TEXT_TABLES = ("documents", "pages", "events")
 ONE_SPLIT = 128 * 2**20
 
 AS_OF = 1706745600  # 2024-02-01 00:00:00 UTC
