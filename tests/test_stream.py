@@ -56,3 +56,23 @@ def test_retention_bounds_the_keys_to_days(spark, tmp_path):
     run(spark, tmp_path, retention="1 day")
     changes = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out"))
     assert {r.arrival for r in changes.collect()} == {1, 2}
+
+
+def test_feeds_can_be_taken_as_a_stream(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from newsweave.sources.landed import feed_articles, read_feed_entries
+    from test_sources import ATOM, RSS, put
+
+    for name, text in [("a", RSS), ("b", ATOM)]:
+        put(tmp_path / "in" / f"url={name}" / "fetched=1" / "d.xml", text)
+    entries = read_feed_entries(spark, str(tmp_path / "in"), stream=True)
+    articles = feed_articles(entries, F.lit(7).cast("bigint"))
+    write_changes(
+        articles, str(tmp_path / "out"), str(tmp_path / "checkpoint"), mode="append"
+    ).awaitTermination()
+    path = str(tmp_path / "out")
+    found = spark.read.option("basePath", path).parquet(path).collect()
+    assert {(r.title, r.timestamp) for r in found} == {
+        ("A & B", 1733301000), ("No date", 7), ("E", 1733308200)
+    }

@@ -5,21 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.functions.relevance import content_relevance, text_relevance
 from newsweave.operators.articles import latest_articles, newest_first
 from newsweave.plans.refresh import refresh
 
 from . import sql
 from .sql import AS_OF, DAY, q
-from .views import (
-    OPEN_TOKEN,
-    TOKENS,
-    as_of,
-    documents,
-    keyed_documents,
-    refresh_inputs,
-    token_rows,
-)
+from .views import TOKENS, as_of, keyed_documents, refresh_inputs
 
 REFRESH_COLUMNS = [
     "token_key", "title", "link", "snippet", "source", "timestamp", "utc_time", "tag",

@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 
 from newsweave.functions.relevance import (
     content_relevance,
-    count_hits,
     final_score,
     normalise_phrases,
     sum_hits,
     text_relevance,
-    unique_ratio,
     words,
 )
 from newsweave.functions.columns import bind, with_computed
-from newsweave.functions.text import clean_snippet, strip_tags, truncate, unescape_html
+from newsweave.functions.text import clean_snippet, strip_tags, truncate
 from newsweave.operators.articles import (
     article_day,
     articles_per_day,
@@ -24,10 +22,8 @@ from newsweave.operators.articles import (
     with_day_bonus,
 )
 from newsweave.operators.matching import match_tokens
-from newsweave.operators.tokens import prepare_tokens
 
 from . import sql
-from .sql import q
 from .views import OPEN_TOKEN, TOKENS, documents, table, token_rows
 
 KEYWORDS = ["Onenst", "Tionble", "stupid"]

@@ -6,9 +6,9 @@ passes instead of look-around, cross joins instead of indexes.
 
 from __future__ import annotations
 
-from newsweave.functions import dates, pages, relevance, wordlists
+from newsweave.functions import dates, relevance, wordlists
 
-from .views import AS_OF, DAY, OPEN_TOKEN, TOKENS
+from .views import AS_OF, DAY, TOKENS  # noqa: F401 - DAY is taken from here
 
 
 def q(text: str | None) -> str:
@@ -71,9 +71,7 @@ def words(c: str) -> str:
 
 
 def ratio_of(w: str) -> str:
-    return f"CASE WHEN len({w}) > 0 THEN len(list_unique_({w}))::DOUBLE / len({w}) ELSE 0e0 END".replace(
-        f"list_unique_({w})", f"list_distinct({w})"
-    )
+    return f"CASE WHEN len({w}) > 0 THEN len(list_distinct({w}))::DOUBLE / len({w}) ELSE 0e0 END"
 
 
 def hits(text: str, phrases: str) -> str:
