@@ -9,8 +9,8 @@ from newsweave.operators.articles import latest_articles, newest_first
 from newsweave.plans.refresh import refresh
 
 from . import sql
-from .sql import AS_OF, DAY, q
-from .views import TOKENS, as_of, keyed_documents, refresh_inputs
+from .sql import q
+from .views import AS_OF, DAY, TOKENS, as_of, keyed_documents, refresh_inputs
 
 REFRESH_COLUMNS = [
     "token_key", "title", "link", "snippet", "source", "timestamp", "utc_time", "tag",

@@ -23,8 +23,7 @@ from newsweave.streaming.latest import (
 
 from . import sql
 from .articles import DEDUP_SQL
-from .sql import AS_OF, DAY
-from .views import as_of, documents, keyed_documents
+from .views import AS_OF, DAY, as_of, documents, keyed_documents
 
 PER_PAGE = 100
 QUERIES_LANDED = 5

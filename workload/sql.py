@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from newsweave.functions import dates, relevance, wordlists
 
-from .views import AS_OF, DAY, TOKENS  # noqa: F401 - DAY is taken from here
+from .views import AS_OF, TOKENS
 
 
 def q(text: str | None) -> str:
