@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import decontaminate, order_minhash, sql
+from newsweave.llm import decontaminate, mixing, order_minhash, pii, sql
 from newsweave.llm.shared import table
 
 
@@ -16,6 +16,23 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: the personal data in it."""
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(F.size(kind).cast("long").alias(f"n_{kind}") for kind in pii.BASE_KINDS),
+        F.sha2(pii.digest_text(*pii.BASE_KINDS), 256).alias("base_sha256"),
+        pii.digest_text(*pii.KINDS).alias("spans"),
+    )
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its source's target, and the words that the mix takes of it."""
+    mixed = mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixed.select("doc.doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: the words and items of the benchmark in it."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -31,5 +48,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_order_minhash": (op2_order_minhash, None),
+    "op6_personal_data": (op6_personal_data, sql.PERSONAL_DATA),
+    "op8_mixing": (op8_mixing, sql.MIXING),
     "op10_winnowing": (op10_winnowing, sql.WINNOWING),
 }

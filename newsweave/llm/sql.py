@@ -32,3 +32,102 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
+
+_PII = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", "mail|contact|kontakt|correo|courriel"),
+    "ip": (
+        r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "list_max(list_transform(string_split(m, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 ELSE ('0' || x)::HUGEINT END)) <= 255",
+        "ip|addr|host|server|client",
+    ),
+    "card": (
+        r"[0-9]([\x20-]?[0-9])+",
+        "length(d) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1"
+        " THEN d[length(d) + 1 - i]::INT ELSE d[length(d) + 1 - i]::INT * 2 // 10 + d[length(d) + 1 - i]::INT * 2 % 10 END)) % 10 = 0",
+        "card",
+    ),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 8 AND 15", "phone"),
+    "iban": (
+        "[A-Z0-9]{15,}",
+        "regexp_full_match(m, '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}') AND list_reduce(list_prepend(0::BIGINT, list_transform("
+        "string_split(m[5:] || m[:4], ''), lambda x: CASE WHEN x <= '9' THEN x::BIGINT ELSE ord(x) - 55 END)),"
+        " lambda a, x: CASE WHEN x > 9 THEN (a * 100 + x) % 97 ELSE (a * 10 + x) % 97 END) = 1",
+        "iban",
+    ),
+    "ssn": (
+        "[0-9-]{11,}",
+        "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}')"
+        " AND regexp_matches(lower(t[greatest(s - 40, 0) + 1:s]), 'ssn|social security')",
+        "ssn",
+    ),
+}
+
+
+def _pii_kind(place: int, kind: str) -> str:
+    pattern, valid, _ = _PII[kind]
+    return f"""
+  SELECT rid, {place} AS k, '{kind}' AS kind, s, s + length(m) AS e
+  FROM (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d,
+               sum(length(p) + length(m)) OVER (PARTITION BY rid ORDER BY i) - length(m) AS s
+        FROM (SELECT rid, t, i, ps[i] AS p, ms[i] AS m
+              FROM (SELECT rid, t, ps, ms, unnest(range(1, len(ms) + 1)) AS i
+                    FROM (SELECT rid, t, string_split_regex(t, '{pattern}') AS ps,
+                                 regexp_extract_all(t, '{pattern}') AS ms FROM d))))
+  WHERE {valid}"""
+
+
+PERSONAL_DATA = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), spans AS ({" UNION ALL ".join(_pii_kind(i, kind) for i, kind in enumerate(_PII))}
+), joined AS (
+  SELECT rid, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip,
+         count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
+         string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY k, s) FILTER (k < 4) AS base,
+         string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY k, s) AS spans
+  FROM spans GROUP BY rid
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN joined USING (rid)
+"""
+
+MIXING = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')) AS key
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         row_number() OVER (ORDER BY source ASC NULLS LAST) AS no
+  FROM d GROUP BY source
+), w AS (
+  SELECT *, [5, 2, 1][(no - 1) % 3 + 1] AS weight, sum(source_size) OVER ()::DOUBLE AS total FROM s
+), l AS (
+  SELECT *, (total * 1.5::DOUBLE - coalesce(sum(source_size) OVER (ORDER BY source_size::DOUBLE / weight, no
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE * 2)
+            / (sum(weight) OVER (ORDER BY source_size::DOUBLE / weight, no
+               ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+  FROM w
+), t AS (
+  SELECT source, source_size, coalesce(least(weight * (SELECT level FROM l WHERE level * weight <= source_size * 2::DOUBLE
+           ORDER BY source_size::DOUBLE / weight, no LIMIT 1), source_size * 2::DOUBLE), 0) AS target
+  FROM l
+), p AS (
+  SELECT rid, doc_id, key, size, d.source, source_size, target,
+         1 - pow((('0x' || key[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496::DOUBLE,
+                 1 / coalesce(CASE quality WHEN 1 THEN 1.5 WHEN 0 THEN 0.5 END, 1)::DOUBLE) AS place
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  LEFT JOIN (SELECT doc_id AS label_id, min(quality) AS quality FROM labels GROUP BY doc_id) ON doc_id = label_id
+), b AS (
+  SELECT *, floor(target)::BIGINT AS budget,
+         CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs,
+         coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, key
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+  FROM p
+)
+SELECT doc_id, size, source_size, target,
+       (epochs * size + greatest(least(budget - epochs * source_size - earlier, size), 0))::BIGINT AS taken
+FROM b
+"""
