@@ -19,7 +19,7 @@ MOST = 2.0
 QUALITY_WEIGHTS = {1: 1.5, 0: 0.5}
 SEED = "mix"
 # Documents of one source that are sorted in one task, about.
-RUN_ROWS = 10_000
+RUN_ROWS = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
