@@ -28,6 +28,10 @@ THRESHOLD = 0.8
 # probability 0.41, so that they miss each other in all with 0.00003.
 SKETCHES = 20
 TAKEN = 4
+# Rounds in which buckets are compared with one of their texts, before all that is left is.
+ROUNDS = 3
+# Longs of the bitmap that bounds from below how many shingles two texts don't share.
+PARITY = 64
 _rng = np.random.default_rng(20)
 _SEEDS = _rng.integers(0, 1 << 63, SKETCHES, np.uint64)[:, None]
 _FACTORS = (_rng.integers(0, 1 << 63, SKETCHES, np.uint64) | np.uint64(1))[:, None]
@@ -65,6 +69,16 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """A bitmap of the labelled shingles, a bit for whether an odd number of them falls on it.
+
+    Bitmaps of two texts differ in no more bits than the texts have shingles apart.
+    """
+    at = labelled(hashes) >> np.uint64(64 - 12)
+    odd = (np.bincount(at.astype(np.int64), minlength=PARITY * 64) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def aligned_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
     """Shared share of two shingle sequences by banded alignment; 0 where it is below the threshold.
 
@@ -115,24 +129,28 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOL
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, keys, sketches, sizes = [], [], [], [0]
+        counts, keys, sketches, sizes, bitmaps = [], [], [], [0], []
         for data in batch.column("text").to_pylist():
             hashes = shingles(words := word_hashes(data))
             counts.append(len(hashes))
             keys.append(xxhash.xxh3_128_digest(words.tobytes()) if len(words) else None)
             if len(words):
                 sketches.append(sketch(hashes))
+                bitmaps.append(parity(hashes))
             sizes.append(sizes[-1] + SKETCHES * bool(len(words)))
         values = np.concatenate(sketches).view(np.int64) if sketches else np.zeros(0, np.int64)
+        bits = np.concatenate(bitmaps) if bitmaps else np.zeros(0, np.int64)
+        offsets = np.array(sizes, np.int32)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 batch.column("text_hash"),
                 pa.array(counts, pa.int32()),
                 pa.array(keys, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values)),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+                pa.ListArray.from_arrays(pa.array(offsets // SKETCHES * PARITY), pa.array(bits)),
             ],
-            ["doc_id", "text_hash", "n", "words_key", "sketches"],
+            ["doc_id", "text_hash", "n", "words_key", "sketches", "parity"],
         )
 
 
@@ -173,9 +191,15 @@ def _row_key():
     return F.xxhash64("doc_id", "text")
 
 
+def _may_be_near(n_a, n_b, parity_a, parity_b):
+    """Whether lengths and bitmaps let two texts reach the threshold: true for all that do."""
+    apart = F.aggregate(F.zip_with(parity_a, parity_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    fits = F.least(n_a, n_b) >= F.lit(THRESHOLD) * F.greatest(n_a, n_b)
+    return F.when(fits, apart <= (n_a + n_b) * F.lit((1 - THRESHOLD) / (1 + THRESHOLD)) + 1e-6).otherwise(False)
+
+
 def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
-    pairs = written(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     packed = written(_shingles_of(docs, written(ids, "ids")), "shingles")
     left = packed.select(F.col("id").alias("a"), F.col("words").alias("words_a"))
@@ -183,6 +207,31 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return written(pairs.join(left, "a").join(right, "b").mapInArrow(_verified, "a long, b long"), "similar")
 
 
+def _star_pairs(members: DataFrame, texts: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each bucket's chosen text with its other members, those that may be near."""
+    order = F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), "id", "component") if turn else F.struct("id", "component")
+    chosen = written(members.groupBy("bucket").agg(F.min(order).alias("chosen")), "chosen")
+    pairs = (
+        members.join(chosen, "bucket")
+        .where(F.col("component") != F.col("chosen.component"))
+        .select(F.least("id", "chosen.id").alias("a"), F.greatest("id", "chosen.id").alias("b"))
+        .distinct()
+    )
+    one, two = (texts.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "parity"))) for x in "ab")
+    near = _may_be_near(F.col("n_a"), F.col("n_b"), F.col("parity_a"), F.col("parity_b"))
+    sides = pairs.join(one, F.col("a") == F.col("id_a")).join(two, F.col("b") == F.col("id_b"))
+    return written(sides.where(near).select("a", "b"), "pairs")
+
+
+def _open_members(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members, with their class by the links, of buckets that have more than one class."""
+    classes = components(links)
+    placed = members.select("bucket", "id").join(classes, "id", "left")
+    placed = written(placed.select("bucket", "id", F.coalesce("component", "id").alias("component")), "placed")
+    several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return written(placed.join(several.select("bucket"), "bucket"), "open")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, class_id, kept), one row per row of docs.
 
@@ -194,59 +243,53 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one text is kept.  Repeated rows are kept or go together; ties need no order.  Only doc_id
     and text are read.
 
-    Copies are one text before anything is compared.  In each bucket of equal sketch values
-    all texts are first compared with the bucket's least one; only texts of a bucket that are
-    still in different classes are then compared with each other, all of them, so no link
-    between candidates is lost and large groups of near copies make no pairs.
+    Copies are one text before anything is compared.  In a few rounds each bucket of equal
+    sketch values that has several classes is compared with one of its texts, which joins large
+    groups of near copies without making their pairs.  Texts of a bucket that are still in
+    different classes are then compared with each other, all whose bitmaps let them reach the
+    threshold, so no link between candidates is lost.
     """
     bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
-    texts = docs.select("doc_id", _row_key().alias("text_hash"), F.col("text").cast("binary"))
+    rows = docs.select("doc_id", _row_key().alias("text_hash"), F.col("text").cast("binary"))
     found = written(
-        texts.mapInArrow(_sketch_rows, f"doc_id {kind}, text_hash long, n int, words_key binary, sketches array<long>"),
+        rows.mapInArrow(_sketch_rows, f"doc_id {kind}, text_hash long, n int, words_key binary, sketches array<long>, parity array<long>"),
         "sketches",
     )
     # The text of the least id stands for its copies.
     copies = found.where(F.col("n") > 0).groupBy("words_key")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash"))
-    stand_in = written(
-        copies.agg(least.alias("least"), F.first("n").alias("n"), F.first("sketches").alias("sketches")).select(
-            "words_key", F.col("least.text_hash").alias("id"), F.col("least.doc_id").alias("doc_id"), "n", "sketches"
-        ),
+    texts = written(
+        copies.agg(
+            least.alias("least"), F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.first("parity").alias("parity")
+        ).select("words_key", F.col("least.text_hash").alias("id"), F.col("least.doc_id").alias("doc_id"), "n", "sketches", "parity"),
         "texts",
     )
-    members = stand_in.select("id", "n", F.explode("sketches").alias("bucket"))
-    pivots = written(
-        members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1"),
-        "buckets",
-    )
-    in_buckets = written(members.join(pivots.select("bucket", "pivot"), "bucket"), "members")
-    first = (
-        in_buckets.where((F.col("id") != F.col("pivot.id")) & _lengths_fit(F.col("n"), F.col("pivot.n")))
-        .select(F.col("pivot.id").alias("a"), F.col("id").alias("b"))
-        .distinct()
-    )
-    links = _links(first, docs)
-    joined = written(components(links), "classes")
-
-    # What is left: buckets whose members are still in more than one class.
-    placed = in_buckets.select("bucket", "id", "n").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = written(placed, "placed")
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rest = written(placed.join(open_.select("bucket"), "bucket"), "open")
-    one = rest.select("bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    two = rest.select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    second = (
+    members = texts.select("id", F.explode("sketches").alias("bucket"))
+    shared = written(members.groupBy("bucket").count().where("count > 1").select("bucket"), "buckets")
+    members = written(members.join(shared, "bucket").withColumn("component", F.col("id")), "members")
+
+    links = None
+    for turn in range(ROUNDS):
+        found_links = _links(_star_pairs(members, texts, turn), docs)
+        links = found_links if links is None else links.unionByName(found_links)
+        members = _open_members(members, links)
+        if members.isEmpty():
+            break
+    own = F.col("id") == F.col("text_id")
+    sides = members.join(texts.select(F.col("id").alias("text_id"), "n", "parity"), own)
+    one, two = (sides.select("bucket", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "parity"))) for x in "ab")
+    near = _may_be_near(F.col("n_a"), F.col("n_b"), F.col("parity_a"), F.col("parity_b"))
+    rest = (
         one.join(two, "bucket")
-        .where((F.col("c_a") < F.col("c_b")) & _lengths_fit(F.col("n_a"), F.col("n_b")))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .where((F.col("component_a") < F.col("component_b")) & near)
+        .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
         .distinct()
-        .join(first, ["a", "b"], "left_anti")
     )
-    all_links = links.unionByName(_links(second, docs))
-    final = components(all_links)
+    links = links.unionByName(_links(written(rest, "open-pairs"), docs))
+    final = components(links)
 
-    placed_texts = stand_in.select("words_key", "id", "doc_id").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed_texts = texts.select("words_key", "id", "doc_id").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed_texts = written(placed_texts, "placed-texts")
     heads = placed_texts.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "id")).alias("head")
@@ -257,7 +300,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         ),
         "heads",
     )
-    result = found.join(classes, F.col("words_key") == F.col("key"), "left")
+    result = found.select("doc_id", "text_hash", "words_key").join(classes, F.col("words_key") == F.col("key"), "left")
     alone = F.col("words_key").isNull()
     return result.select(
         "doc_id",
@@ -267,10 +310,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _lengths_fit(n, m):
-    return F.least(n, m) >= F.lit(THRESHOLD) * F.greatest(n, m)
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without those whose class has an earlier document.
 

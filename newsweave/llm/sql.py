@@ -131,3 +131,34 @@ SELECT doc_id, size, source_size, target,
        (epochs * size + greatest(least(budget - epochs * source_size - earlier, size), 0))::BIGINT AS taken
 FROM b
 """
+
+VECTOR_LINKS = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e)
+    AND list_max(list_transform(e, lambda x: abs(x))) > 0
+), l AS (
+  SELECT a.rid AS a, b.rid AS b FROM ok a JOIN ok b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), r(a, b) AS (
+  SELECT rid, rid FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (
+  SELECT r.a AS rid, min(vec_id) AS component_id FROM r JOIN v ON r.b = v.rid GROUP BY r.a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN c USING (rid) LEFT JOIN (SELECT a AS rid, count(*) AS n FROM l GROUP BY a) USING (rid)
+"""
+
+WARC = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS t, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages
+)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+         ((('0x' || substr(sha1(t), i // 4 * 5 + 1, 5))::BIGINT >> (15 - i % 4 * 5)) & 31) + 1]), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM f THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to
+FROM p
+"""
