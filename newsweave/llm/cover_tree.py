@@ -168,10 +168,12 @@ def _with_cells(points: DataFrame) -> DataFrame:
     pivots: dict[tuple, np.ndarray] = {}
     for row in sorted(sample.collect(), key=lambda r: r["node"]):
         pivots.setdefault((row["label"], row["dim"]), []).append(np.frombuffer(row["vector"]))
+    rows_of = {(r["label"], r["dim"]): r["n"] for r in largest.collect()}
     for key, vectors in pivots.items():
         x = np.stack(vectors[: 2 * PIVOT_SAMPLE])
         chosen, least = [0], distances(x, x[:1])[:, 0]
-        while len(chosen) < min(PIVOTS, len(x)):
+        # As many cells as the label has blocks.
+        while len(chosen) < min(PIVOTS, len(x), -(-rows_of[key] // BLOCK)):
             chosen.append(int(np.argmax(least)))
             least = np.minimum(least, distances(x, x[chosen[-1:]])[:, 0])
         pivots[key] = x[chosen]
