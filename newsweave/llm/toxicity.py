@@ -19,15 +19,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsweave.llm.shared import bounded_batches
+from newsweave.llm.shared import bounded_batches, written
 
 # The model is fitted on about this many labelled rows, taken by a hash of the id.
 FIT_ROWS = 20_000
-# Evidence a term needs: the G statistic, toxic documents with it, and log odds of its rates.
-LEAST_G, LEAST_DOCS, LEAST_ODDS = 24.0, 4, 2.5
+# Evidence a term needs: the G statistic, toxic documents with it, and their share.
+LEAST_G, LEAST_DOCS, LEAST_SHARE = 24.0, 4, 0.8
 STEM_LENGTHS = range(4, 8)
-# The lexicon keeps the terms with the most evidence.
-MOST_TERMS = 5_000
+# The lexicon keeps the terms with the most evidence, and of the words near a term that
+# clean documents have the most frequent ones.
+MOST_TERMS, MOST_EXCEPTIONS = 5_000, 20_000
 WINDOW = 6
 # Distinct words whose result a task remembers.
 REMEMBERED = 200_000
@@ -40,6 +41,8 @@ REPORTING = frozenset(
 )
 ADDRESS = frozenset("you your youre u ur yourself du dich dir ihr euch tu te toi vous usted ustedes eres".split())
 FEATURES = ["exact_abuse", "exact_quoted", "fuzzy_abuse", "fuzzy_quoted"]
+# Weights before labels speak: of a base rate, and of each feature.
+PRIOR = (-3.0, 4.0, 1.0, 3.0, 0.5)
 
 
 def edits_allowed(term: str, stem: bool) -> int:
@@ -55,7 +58,8 @@ class Automaton:
     A state is a set of (trie node, edits so far); transitions are kept as they are found.
     """
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    def __init__(self, terms: list[tuple[str, bool]], exceptions: list[str] = ()):
+        self.exceptions = frozenset(exceptions)
         self.children: list[dict[str, int]] = [{}]
         self.limit, self.whole, self.stem = [0], [-1], [-1]
         for term, stem in terms:
@@ -134,6 +138,8 @@ class Automaton:
                 if state == self.dead:
                     break
             known = self.accepts[state]
+            if known and word in self.exceptions:
+                known = 9
             if len(self.words) >= REMEMBERED:
                 self.words.clear()
             self.words[word] = known
@@ -196,27 +202,31 @@ def _term_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"term": terms, "toxic": [counts[True][t] for t in terms], "clean": [counts[False][t] for t in terms]})
 
 
-def lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
-    """Terms and whether they are stems, from document counts of words and of their beginnings.
+def lexicon(sample: DataFrame) -> tuple[list[tuple[str, bool]], list[str]]:
+    """Terms with whether they are stems, and words that look like misspelled terms but aren't.
 
-    A stem stands for its words where they are many and the stem itself is as telling; the
-    shortest such stem is taken.  At most MOST_TERMS candidates reach the driver.
+    Terms come from document counts of words and of their beginnings.  A stem stands for its
+    words where they are many and the stem itself is as telling; the shortest such stem is
+    taken.  At most MOST_TERMS and MOST_EXCEPTIONS rows reach the driver.
     """
-    counts = sample.mapInPandas(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
+    counts = written(
+        sample.mapInPandas(_term_counts, "term string, toxic long, clean long")
+        .groupBy("term")
+        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")),
+        "terms",
     )
     total = sample.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
     positive, negative = float(total[0]), float(total[1])
     if not positive or not negative:
-        return []
+        return [], []
     p, n = F.col("toxic"), F.col("clean")
     share = F.lit(positive / (positive + negative))
     g = 2 * (p * F.log(p / ((p + n) * share)) + F.when(n > 0, n * F.log(n / ((p + n) * (1 - share)))).otherwise(0.0))
-    odds = F.log((p + 0.5) / F.lit(positive + 1)) - F.log((n + 0.5) / F.lit(negative + 1))
     rows = (
         counts.where((F.col("term") != "") & (p >= LEAST_DOCS))
-        .select("term", "toxic", g.alias("g"), odds.alias("odds"))
-        .where((F.col("g") >= LEAST_G) & (F.col("odds") >= LEAST_ODDS))
+        .where(p >= LEAST_SHARE * (p + n))
+        .select("term", "toxic", g.alias("g"))
+        .where(F.col("g") >= LEAST_G)
         .orderBy(F.desc("g"), "term")
         .limit(MOST_TERMS)
         .collect()
@@ -229,7 +239,16 @@ def lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
         if not any(stem.startswith(s) for s in stems) and family < 0.6 * docs_with[stem + "*"]:
             stems.append(stem)
     whole = [w for w in words if not any(w.startswith(s) for s in stems)]
-    return [(s, True) for s in stems] + [(w, False) for w in sorted(whole)]
+    terms = [(s, True) for s in stems] + [(w, False) for w in sorted(whole)]
+
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = Automaton(terms)
+        for frame in frames:
+            yield frame[[bool(automaton.edits(w)) for w in frame["term"]]]
+
+    harmless = counts.where(~F.col("term").endswith("*") & (F.col("clean") > 0) & (F.col("toxic") <= F.col("clean")))
+    exceptions = harmless.select("term", "clean").mapInPandas(near, "term string, clean long")
+    return terms, [r["term"] for r in exceptions.orderBy(F.desc("clean"), "term").limit(MOST_EXCEPTIONS).collect()]
 
 
 def _design(counts: np.ndarray) -> np.ndarray:
@@ -237,12 +256,13 @@ def _design(counts: np.ndarray) -> np.ndarray:
 
 
 def fit_weights(counts: np.ndarray, labels: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; rows count ``times`` each."""
-    x, w = _design(counts), np.zeros(counts.shape[1] + 1)
-    ridge = np.diag([1e-3, *[0.1] * counts.shape[1]])
+    """Logistic regression with a Gaussian prior by Newton steps; rows count ``times`` each."""
+    x, prior = _design(counts), np.array(PRIOR)
+    w = prior.copy()
+    ridge = np.diag([1e-3, *[0.3] * counts.shape[1]])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (times * (labels - p)) - ridge @ w
+        gradient = x.T @ (times * (labels - p)) - ridge @ (w - prior)
         step = np.linalg.solve((x.T * (times * p * (1 - p))) @ x + ridge, gradient)
         w += step
         if np.abs(step).max() < 1e-8:
@@ -250,15 +270,18 @@ def fit_weights(counts: np.ndarray, labels: np.ndarray, times: np.ndarray) -> np
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, bool]], list[float]]:
-    """The lexicon and the weights of the features, both small, from the labelled sample."""
+Model = tuple[list[tuple[str, bool]], list[str], list[float]]
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The lexicon, its exceptions and the weights of the features, both small, from the labelled sample."""
     bounded_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels)
-    terms = lexicon(sample)
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    terms, exceptions = lexicon(sample)
+    shared = docs.sparkSession.sparkContext.broadcast((terms, exceptions))
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = Automaton(shared.value)
+        automaton = Automaton(*shared.value)
         for frame in frames:
             found = np.array([features(t, automaton) for t in frame["text"]], np.int64).reshape(-1, 4)
             # Counts over 20 weigh alike, which keeps the combinations few.
@@ -269,14 +292,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, bool]], lis
     grouped = sample.mapInPandas(rows, schema).groupBy(*FEATURES, "toxic").count().toPandas()
     if grouped["toxic"].nunique() < 2:
         # Nothing to tell apart: every text gets the share of the one label seen.
-        return [], [-6.0 if not len(grouped) or grouped["toxic"].iloc[0] == 0 else 6.0, 0.0, 0.0, 0.0, 0.0]
+        return [], [], [-6.0 if not len(grouped) or grouped["toxic"].iloc[0] == 0 else 6.0, 0.0, 0.0, 0.0, 0.0]
     grouped = grouped.sort_values([*FEATURES, "toxic"])
     weights = fit_weights(grouped[FEATURES].to_numpy(float), grouped["toxic"].to_numpy(float), grouped["count"].to_numpy(float))
     # A hit never speaks for a text.
-    return terms, [float(weights[0]), *np.maximum(weights[1:], 0.0).tolist()]
+    return terms, exceptions, [float(weights[0]), *np.maximum(weights[1:], 0.0).tolist()]
 
 
-def scores(docs: DataFrame, model: tuple[list[tuple[str, bool]], list[float]]) -> DataFrame:
+def scores(docs: DataFrame, model: Model) -> DataFrame:
     """docs with a column ``toxicity`` from 0 to 1, from the whole text alone.
 
     Null and empty texts and texts without hits get the model's base rate; so do all texts
@@ -288,8 +311,8 @@ def scores(docs: DataFrame, model: tuple[list[tuple[str, bool]], list[float]]) -
 
     @F.pandas_udf("double")
     def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        terms, weights = shared.value
-        automaton = Automaton(terms)
+        terms, exceptions, weights = shared.value
+        automaton = Automaton(terms, exceptions)
         for texts in batches:
             counts = np.array([features(t, automaton) for t in texts], float).reshape(-1, 4)
             z = _design(np.minimum(counts, 20)) @ np.array(weights)
