@@ -46,14 +46,16 @@ def main(argv: list[str] | None = None) -> None:
         )
         report.show()
     elif a.command == "registry":
-        run_registry(
+        report, failed = run_registry(
             spark,
             networks_path=a.networks,
             candidates_path=a.candidates,
             metadata_path=a.metadata,
             registry_root=a.registry,
             as_of=a.as_of,
-        ).show()
+        )
+        report.show()
+        failed.show(truncate=False)
     else:
         run_publication(spark, a.pages, a.out, a.as_of)
 

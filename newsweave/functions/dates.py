@@ -15,7 +15,8 @@ from .wordlists import MONTHS, UNIT_SECONDS, ZONE_HOURS
 
 _UNITS = "|".join(UNIT_SECONDS)
 RELATIVE = rf"(\d+)\s*({_UNITS})s?"
-AGO = r"\bago\b"
+# A digit may be glued to the word on either side, a letter not.
+AGO = r"(?<![a-z])ago(?![a-z])"
 
 _MONTH = "(" + "|".join(m[:3].lower() + "[a-z]*" for m in MONTHS) + ")"
 # Date forms, lower case, in the order they are tried: the pattern and the numbers

@@ -103,13 +103,13 @@ def articles_per_day(articles: DataFrame, timestamp: str = "timestamp") -> DataF
 def with_day_bonus(articles: DataFrame) -> DataFrame:
     """Every article with its day's bonus, 0 for a time outside the calendar.
 
-    The per-day table cannot outgrow the calendar (3.65 million short rows), so it is
-    broadcast; a window per day would put a busy day into one task.
+    The per-day table cannot outgrow the calendar (3.65 million short rows); a window per
+    day would put a busy day into one task.
     """
     days = articles_per_day(articles).withColumnRenamed("day", "_day")
     return (
         articles.withColumn("_day", article_day())
-        .join(F.broadcast(days), "_day", "left")
+        .join(days, "_day", "left")
         .withColumn("bonus", F.coalesce("bonus", F.lit(0.0)))
         .drop("_day")
     )

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sizes import small_side
 
 
 def with_chain_name(rows: DataFrame, chains: DataFrame) -> DataFrame:
@@ -16,7 +15,7 @@ def with_chain_name(rows: DataFrame, chains: DataFrame) -> DataFrame:
     names = chains.groupBy("chain_id").agg(
         F.min_by("chain_name", "pos").alias("chain_name")
     )
-    return rows.join(small_side(names), "chain_id", "left")
+    return rows.join(names, "chain_id", "left")
 
 
 def with_chain_id(rows: DataFrame, chains: DataFrame, name: str = "chain_name") -> DataFrame:
@@ -24,7 +23,7 @@ def with_chain_id(rows: DataFrame, chains: DataFrame, name: str = "chain_name")
     ids = chains.groupBy(F.lower("chain_name").alias("_name")).agg(
         F.min_by("chain_id", "pos").alias("chain_id")
     )
-    return rows.join(small_side(ids), F.lower(name) == F.col("_name"), "left").drop("_name")
+    return rows.join(ids, F.lower(name) == F.col("_name"), "left").drop("_name")
 
 
 def rpc_table(rpcs: DataFrame) -> DataFrame:
@@ -39,6 +38,6 @@ def rpc_table(rpcs: DataFrame) -> DataFrame:
 
 def with_rpc_urls(rows: DataFrame, rpcs: DataFrame) -> DataFrame:
     """RPC URLs of each row's chain, an empty list if there are none."""
-    return rows.join(small_side(rpc_table(rpcs)), "chain_id", "left").withColumn(
+    return rows.join(rpc_table(rpcs), "chain_id", "left").withColumn(
         "urls", F.coalesce("urls", F.array().cast("array<string>"))
     )

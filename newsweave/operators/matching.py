@@ -1,14 +1,18 @@
 """Scoring articles that belong to no token yet against every token's phrases.
 
 Pairing every article with every token is never needed: a pair without a phrase hit
-scores exactly the day bonus.  Two exact ways find the pairs that do score:
+scores exactly the day bonus.  Two exact ways find the pairs that do score, and give the
+same rows for any input:
 
-``inline``  For a registry of up to 2,000 phrases.  It is one literal of the plan; each
-            article is scored where it lies and only pairs at or above the token's
-            threshold are emitted.  No join and no shuffle.
-``grams``   For any registry.  Character trigrams of the text are equi-joined to one
-            trigram per phrase, candidates are verified in the text, and scores are
-            summed by equi-joins and partial aggregation.
+``grams``   For any registry, and what is used unless asked otherwise.  Character trigrams
+            of the text are equi-joined to one trigram per phrase, candidates are verified
+            in the text, and scores are summed by equi-joins and partial aggregation.
+``inline``  For a caller who knows that the registry is small.  It is one literal of the
+            plan; each article is scored where it lies and only pairs at or above the
+            token's threshold are emitted.  No join and no shuffle.
+
+A score follows from the texts alone, so ``grams`` works on distinct texts; articles need
+no key, and may share texts or anything else.
 
 Tokens whose threshold does not exceed the bonus keep every article.  There every
 pair is an output row, by the meaning of the threshold.
@@ -32,7 +36,6 @@ from ..functions.relevance import (
     unique_ratio,
     weigh,
 )
-from .sizes import small_side
 
 INLINE_TOKENS = 500
 INLINE_PHRASES = 2000
@@ -65,23 +68,22 @@ def score_assigned(articles: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def match_tokens(
-    articles: DataFrame, tokens: DataFrame, *, strategy: str = "auto"
+    articles: DataFrame, tokens: DataFrame, *, strategy: str = "grams"
 ) -> DataFrame:
     """Articles paired with the tokens they are relevant to: ``+ token_key, relevance``.
 
-    ``articles`` needs a unique ``arrival``; its own ``relevance`` is ignored.
-    ``auto`` looks at no more registry rows than the inline limit.
+    ``relevance`` of ``articles`` is ignored.  ``inline`` refuses a registry beyond its
+    limits, and looks at no more rows than that.
     """
     articles = articles.drop("relevance")
-    if strategy not in ("auto", "inline", "grams"):
+    if strategy not in ("inline", "grams"):
         raise ValueError(f"unknown strategy: {strategy}")
-    if strategy != "grams":
-        registry = _small_registry(tokens)
-        if registry is not None:
-            return _match_inline(articles, registry)
-        if strategy == "inline":
-            raise ValueError("the registry is too large to be part of the plan")
-    return _match_grams(articles, tokens)
+    if strategy == "grams":
+        return _match_grams(articles, tokens)
+    registry = _small_registry(tokens)
+    if registry is None:
+        raise ValueError("the registry is too large to be part of the plan")
+    return _match_inline(articles, registry)
 
 
 def _small_registry(tokens: DataFrame) -> list | None:
@@ -228,21 +230,23 @@ def _phrase_roles(tokens: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(articles: DataFrame, roles: DataFrame) -> DataFrame:
-    """``arrival, found``: phrases whose trigram occurs in the article."""
-    phrases = roles.select("phrase").distinct()
+def _text_key() -> Column:
+    """What tells the texts of articles apart, letter case aside."""
+    return F.sha2(F.array_join(_lowered(), BREAK), 256)
+
+
+def _candidates(texts: DataFrame, roles: DataFrame) -> DataFrame:
+    """``text_key, phrase``: phrases whose first trigram occurs in the text."""
     size = F.least(F.length("phrase"), F.lit(GRAM))
-    anchors = phrases.select(
+    anchors = roles.select(
         "phrase", F.substring(F.col("phrase"), F.lit(1), size).alias("gram")
-    )
-    sizes = sorted(r[0] for r in phrases.select(size).distinct().collect())  # 1 to 3
-    texts = articles.select("arrival", F.array_join(_lowered(), BREAK).alias("text"))
-    grams = [_grams(F.col("text"), n) for n in sizes] or [F.array().cast("array<string>")]
+    ).distinct()
+    text = F.array_join(_lowered(), BREAK)
+    grams = F.concat(*(_grams(text, n) for n in range(1, GRAM + 1)))
     return (
-        texts.select("arrival", F.explode(F.array_distinct(F.concat(*grams))).alias("gram"))
-        .join(small_side(anchors), "gram")
-        .groupBy("arrival")
-        .agg(F.collect_set("phrase").alias("found"))
+        texts.select("text_key", F.explode(F.array_distinct(grams)).alias("gram"))
+        .join(anchors, "gram")
+        .select("text_key", "phrase")
     )
 
 
@@ -253,22 +257,21 @@ def _match_grams(articles: DataFrame, tokens: DataFrame) -> DataFrame:
     selective = tokens.filter(F.col("threshold") > SINGLE_ARTICLE_BONUS)
     roles = _phrase_roles(selective)
 
-    # verify the candidates in the text and measure each article once
-    measured = bind(
-        _lowered(),
-        lambda t: bind(
-            _hits(t, F.col("found")),
-            lambda h: F.struct(h.alias("hits"), _ratios(t, h).alias("ratios")),
-        ),
-    )
-    found = articles.select("arrival", *FIELDS).join(
-        _candidates(articles, roles), "arrival"
+    # verify each candidate in the text, then measure each text with a hit once
+    articles = articles.withColumn("text_key", _text_key())
+    texts = articles.select("text_key", *FIELDS).dropDuplicates(["text_key"])
+    found = texts.join(_candidates(texts, roles), "text_key")
+    one_phrase = bind(_lowered(), lambda t: F.get(_hits(t, F.array("phrase")), F.lit(0)))
+    verified = with_computed(found, "h", one_phrase).filter("h is not null")
+    # phrases that are in a text, so no more than the text has room for
+    by_text = verified.groupBy("text_key").agg(
+        *(F.first(f).alias(f) for f in FIELDS), F.collect_list("h").alias("hits")
     )
+    ratios = bind(_lowered(), lambda t: _ratios(t, F.col("hits")))
     hits = (
-        with_computed(found, "m", measured)
-        .select("arrival", "m.ratios", F.explode_outer("m.hits").alias("h"))
-        .filter("h is not null")
-        .select("arrival", "ratios", "h.*")
+        with_computed(by_text, "ratios", ratios)
+        .select("text_key", "ratios", F.explode("hits").alias("h"))
+        .select("text_key", "ratios", "h.*")
     )
 
     def total(role: str) -> Column:
@@ -276,7 +279,7 @@ def _match_grams(articles: DataFrame, tokens: DataFrame) -> DataFrame:
         return F.array(*sums).alias(role)
 
     # phrase hits of the profile, set beside the keyword hits of its tokens
-    same_profile = Window.partitionBy("arrival", "profile")
+    same_profile = Window.partitionBy("text_key", "profile")
     of_profile = F.max(F.when(F.col("token_key").isNull(), F.col("p"))).over(same_profile)
     scores = F.transform(
         "ratios",
@@ -288,8 +291,8 @@ def _match_grams(articles: DataFrame, tokens: DataFrame) -> DataFrame:
         ),
     )
     summed = (
-        hits.join(small_side(roles), "phrase")
-        .groupBy("arrival", "profile", "token_key")
+        hits.join(roles, "phrase")
+        .groupBy("text_key", "profile", "token_key")
         .agg(F.first("ratios").alias("ratios"), total("k"), total("p"))
         .withColumn("of_profile", of_profile)
     )
@@ -297,7 +300,7 @@ def _match_grams(articles: DataFrame, tokens: DataFrame) -> DataFrame:
     # only if it passes the lowest threshold among them on phrases alone.
     nobody = F.lit("")
     scored = with_computed(summed, "relevance", bind(scores, _relevance)).select(
-        "arrival",
+        "text_key",
         "profile",
         F.coalesce("token_key", nobody).alias("stands_for"),
         "relevance",
@@ -308,26 +311,27 @@ def _match_grams(articles: DataFrame, tokens: DataFrame) -> DataFrame:
         owners.withColumn("stands_for", nobody)
     )
     passed = (
-        scored.join(small_side(lowest), "profile")
+        scored.join(lowest, "profile")
         .filter("relevance >= lowest")
-        .join(small_side(targets), ["profile", "stands_for"])
+        .join(targets, ["profile", "stands_for"])
         .filter("relevance >= threshold")
     )
     # keyword hits only add to a score, so the larger one is the whole one
-    pairs = passed.groupBy("arrival", "token_key").agg(
+    pairs = passed.groupBy("text_key", "token_key").agg(
         F.max("relevance").alias("relevance")
     )
-    matched = articles.join(pairs, "arrival")
+    matched = articles.join(pairs, "text_key").drop("text_key")
+    articles = articles.drop("text_key")
     return matched.unionByName(_match_everything(articles, tokens).select(matched.columns))
 
 
 def _match_everything(articles: DataFrame, tokens: DataFrame) -> DataFrame:
     """Pairs of the tokens that keep every article, scored one by one.
 
-    Tokens are copied to a fixed number of buckets and articles spread over them, so
-    the output, which is every pair, is produced evenly.
+    Every pair is a row of the output.  Tokens are copied to as many buckets as a shuffle
+    has partitions and articles spread over them, so it is produced evenly.
     """
-    buckets = 64
+    buckets = int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dims = tokens.filter(F.col("threshold") <= SINGLE_ARTICLE_BONUS).select(
         "token_key",
         "keywords",
@@ -335,7 +339,7 @@ def _match_everything(articles: DataFrame, tokens: DataFrame) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_bucket"),
     )
     return (
-        articles.withColumn("_bucket", F.pmod(F.xxhash64("arrival"), F.lit(buckets)).cast("int"))
+        articles.withColumn("_bucket", F.pmod(F.xxhash64(*articles.columns), F.lit(buckets)).cast("int"))
         .join(dims, "_bucket")
         .withColumn("relevance", pair_score())
         .drop("_bucket", "keywords", "phrases")

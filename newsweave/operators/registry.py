@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.wordlists import NATIVE_ADDRESS
 from ..schemas import TOKEN
-from .sizes import small_side
 
 ADDRESS_PATTERN = "^0x[0-9a-fA-F]{40}$"
 NEW_TOKEN_PHRASES = ["defi"]
@@ -16,7 +15,7 @@ NEW_TOKEN_LOOKBACK_YEARS = 2
 
 def with_chain_ids(candidates: DataFrame, networks: DataFrame) -> DataFrame:
     """Tag candidates (``network, address, symbol``) with their network's chain id."""
-    return candidates.join(small_side(networks.select("network", "chain_id")), "network")
+    return candidates.join(networks.select("network", "chain_id"), "network")
 
 
 def drop_native(candidates: DataFrame) -> DataFrame:
@@ -36,14 +35,15 @@ def new_candidates(
 ) -> DataFrame:
     """Candidates whose network and address the registry does not hold yet.
 
-    A candidate that comes twice is taken once, its first row by ``order``.
+    A candidate that comes twice is taken once, its first row by ``order``, then by
+    address and symbol.
     """
     keyed = candidates.withColumn("address_key", F.lower("address"))
     fresh = keyed.join(
         registry_addresses(registry), ["network", "address_key"], "left_anti"
     )
     rest = [c for c in candidates.columns if c != "network"]
-    rank = F.col(order) if order else F.col("address")
+    rank = F.struct(*([F.col(order)] if order else []), F.col("address"), *map(F.col, rest))
     return (
         fresh.groupBy("network", "address_key")
         .agg(F.min_by(F.struct(*rest), rank).alias("first"))
@@ -55,42 +55,29 @@ def _metadata_key() -> list[Column]:
     return [F.col("chain_id"), F.lower("address").alias("address_key")]
 
 
-def attach_metadata(candidates: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Name and symbol by chain id and address; rows without metadata drop out.
+def look_up(candidates: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Candidates with ``found``: name and symbol by chain id and address, null if none.
 
-    The contract's symbol replaces the listed one.  Malformed addresses are never
-    looked up.
+    Malformed addresses are never looked up.
     """
-    known = (
-        metadata.groupBy(*_metadata_key())
-        .agg(F.min(F.struct("name", "symbol")).alias("m"))
-        .select("chain_id", "address_key", "m.name", "m.symbol")
-    )
-    return (
-        candidates.filter(F.col("address").rlike(ADDRESS_PATTERN))
-        .drop("symbol", "name")
-        .withColumn("address_key", F.lower("address"))
-        .join(known, ["chain_id", "address_key"])
-        .drop("address_key")
-    )
-
-
-def without_metadata(candidates: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Candidates whose lookup fails: no metadata, or an address that is none."""
-    known = metadata.select(*_metadata_key())
+    known = metadata.groupBy(*_metadata_key()).agg(F.min(F.struct("name", "symbol")).alias("found"))
     lookup = F.when(F.col("address").rlike(ADDRESS_PATTERN), F.lower("address"))
     return (
         candidates.withColumn("address_key", lookup)
-        .join(known, ["chain_id", "address_key"], "left_anti")
+        .join(known, ["chain_id", "address_key"], "left")
         .drop("address_key")
     )
 
 
-def token_rows(found: DataFrame) -> DataFrame:
-    """Registry rows of new tokens, every null typed."""
+def token_rows(lookups: DataFrame) -> DataFrame:
+    """Registry rows of the candidates that were found, every null typed.
+
+    The contract's symbol replaces the listed one.
+    """
+    found = lookups.filter("found is not null")
     values = {
-        "name": F.col("name"),
-        "symbol": F.col("symbol"),
+        "name": F.col("found.name"),
+        "symbol": F.col("found.symbol"),
         "address": F.create_map("network", "address"),
         "lookback_years": F.lit(NEW_TOKEN_LOOKBACK_YEARS),
         "relevance_threshold": F.lit(None),

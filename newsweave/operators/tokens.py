@@ -9,6 +9,11 @@ from ..functions.relevance import normalise_phrases
 from ..settings import Settings
 
 
+# 2^n queries are numbered with a long.
+MAX_PHRASES = 62
+BLOCK_BITS = 12
+
+
 def token_key() -> Column:
     """Lower-case symbol and a digest of the token's addresses.
 
@@ -69,7 +74,8 @@ def query_plan(tokens: DataFrame) -> DataFrame:
     2^n rows for n additional phrases, one per bit mask, the first phrase on the
     highest bit.  ``query_order`` sorts shortest first, then by position of the
     phrases; it follows from the mask, so no token's queries need to meet in one
-    task.
+    task.  A token with more than 62 phrases has more queries than can be numbered, and
+    stops the job.
     """
     extra = phrase_or_empty("additional_phrases")
     base = F.concat_ws(
@@ -86,22 +92,26 @@ def query_plan(tokens: DataFrame) -> DataFrame:
     def chosen(i: Column) -> Column:
         return right(F.col("mask"), F.col("n") - 1 - i).bitwiseAND(one) == 1
 
-    # masks are exploded block by block, so no array of 2^n entries is ever built
-    block_bits = F.lit(12)
     last = F.col("total") - 1
-    low = left(F.col("block"), block_bits)
     combination = F.array_join(F.filter("extra", lambda p, i: chosen(i)), " ")
     n_phrases = F.bit_count("mask").cast("bigint")
-    return (
+    refuse = F.raise_error(
+        F.concat(F.lit("too many additional phrases for a query plan: "), F.col("token_key"))
+    ).cast("bigint")
+    masks = (
         tokens.select(
             "token_key", base.alias("base"), extra.alias("extra"), F.size(extra).alias("n")
         )
-        .withColumn("total", left(one, F.col("n")))
-        .withColumn("block", F.explode(F.sequence(zero, right(last, block_bits))))
-        .withColumn(
-            "mask", F.explode(F.sequence(low, F.least(low + left(one, block_bits) - 1, last)))
-        )
-        .select(
+        .withColumn("total", F.when(F.col("n") <= MAX_PHRASES, left(one, F.col("n"))).otherwise(refuse))
+        .withColumn("mask", zero)
+    )
+    # masks are opened a few bits at a time, so no array holds more than 4096 of them
+    for bits in range(MAX_PHRASES - MAX_PHRASES % BLOCK_BITS, -1, -BLOCK_BITS):
+        low = left(F.col("mask"), F.lit(BLOCK_BITS))
+        high = F.least(low + (2**BLOCK_BITS - 1), right(last, F.lit(bits)))
+        masks = masks.withColumn("mask", F.explode(F.sequence(low, high)))
+    return (
+        masks.select(
             "token_key",
             (n_phrases * F.col("total") + last - F.col("mask")).alias("query_order"),
             n_phrases.alias("n_phrases"),

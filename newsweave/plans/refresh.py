@@ -12,7 +12,6 @@ from ..operators.articles import (
     within_window,
 )
 from ..operators.matching import match_tokens, score_assigned
-from ..operators.sizes import is_small, small_side
 from ..operators.tokens import own_feeds
 from ..schemas import ARTICLE, ARTICLE_FIELDS, ARTICLE_KEYS
 
@@ -66,7 +65,7 @@ def token_feed_articles(feed_articles: DataFrame, tokens: DataFrame) -> DataFram
     """
     return as_articles(
         feed_articles.drop("tag")
-        .join(small_side(own_feeds(tokens)), "url")
+        .join(own_feeds(tokens), "url")
         .withColumns(
             {
                 "arrival": arrival(TOKEN_FEED, *map(F.col, ("feed", "page", "item"))),
@@ -81,7 +80,7 @@ def token_feed_articles(feed_articles: DataFrame, tokens: DataFrame) -> DataFram
 def default_feed_articles(feed_articles: DataFrame, default_urls: DataFrame) -> DataFrame:
     """Articles of the feeds every token reads; ``default_urls`` is ``url, feed``."""
     return as_articles(
-        feed_articles.join(small_side(default_urls), "url").withColumn(
+        feed_articles.join(default_urls, "url").withColumn(
             "arrival", arrival(DEFAULT_FEED, *map(F.col, ("feed", "page", "item")))
         )
     )
@@ -95,7 +94,7 @@ def refresh(
     token_feed: DataFrame,
     as_of: Column,
     *,
-    strategy: str = "auto",
+    strategy: str = "grams",
 ) -> DataFrame:
     """The new state of every token: relevant articles, one per key.
 
@@ -105,9 +104,7 @@ def refresh(
     one row per key, and enters a token's list only where it scores, or where the
     token holds the same key and the newer of the two must win.
     """
-    # everything with one row per token is as small, or as large, as the registry
-    per_token = F.broadcast if is_small(tokens) else (lambda df: df)
-    windows = per_token(search_windows(tokens, previous, as_of))
+    windows = search_windows(tokens, previous, as_of)
     assigned = (
         previous.unionByName(within_window(search, windows).select(search.columns))
         .unionByName(token_feed)
@@ -129,5 +126,5 @@ def refresh(
         .unionByName(matched.select(columns)),
         ["token_key", *ARTICLE_KEYS],
     )
-    scored = score_assigned(current, per_token(tokens))
+    scored = score_assigned(current, tokens)
     return keep_relevant(scored, "threshold").select(columns)

@@ -7,13 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..operators.registry import (
-    attach_metadata,
     drop_native,
+    look_up,
     new_candidates,
     registry_report,
     token_rows,
     with_chain_ids,
-    without_metadata,
 )
 
 
@@ -25,26 +24,46 @@ class RegistryRefresh:
     report: DataFrame
 
 
-def refresh_registry(
+def look_up_candidates(
     networks: DataFrame,
     candidates: DataFrame,
     metadata: DataFrame,
     registry: DataFrame,
     *,
     order: str | None = None,
-) -> RegistryRefresh:
-    """Add every candidate that is new and has metadata.
+) -> DataFrame:
+    """Every candidate that is new, with the metadata found for it.
 
-    The cheap filters run before the lookup.  The registry is written once, not once
-    per token; ``failed`` lists candidates left out for want of metadata.
+    The cheap filters run before the lookup.
     """
     listed = drop_native(with_chain_ids(candidates, networks))
-    fresh = new_candidates(listed, registry, order=order)
-    new_tokens = token_rows(attach_metadata(fresh, metadata))
+    return look_up(new_candidates(listed, registry, order=order), metadata)
+
+
+def with_lookups(registry: DataFrame, lookups: DataFrame) -> RegistryRefresh:
+    """The registry grown by the candidates that were found.
+
+    It is written once, not once per token; ``failed`` lists the others.
+    """
+    new_tokens = token_rows(lookups)
     upserted = registry.unionByName(new_tokens)
     return RegistryRefresh(
         registry=upserted,
         new_tokens=new_tokens,
-        failed=without_metadata(fresh, metadata),
+        failed=lookups.filter("found is null").drop("found"),
         report=registry_report(upserted, new_tokens),
     )
+
+
+def refresh_registry(
+    networks: DataFrame,
+    candidates: DataFrame,
+    metadata: DataFrame,
+    registry: DataFrame,
+    *,
+    order: str | None = None,
+) -> RegistryRefresh:
+    """Add every candidate that is new and has metadata."""
+    return with_lookups(
+        registry, look_up_candidates(networks, candidates, metadata, registry, order=order)
+    )

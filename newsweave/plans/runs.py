@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.articles import new_articles, refresh_report
+from ..operators.registry import registry_report
 from ..operators.tokens import prepare_tokens
 from ..session import configure
 from ..settings import Settings
 from ..schemas import PAGE
 from ..sources.landed import (
     feed_articles,
+    landed_since,
     read_candidates,
     read_feed_entries,
     read_networks,
@@ -21,7 +23,7 @@ from ..sources.landed import (
     token_search_articles,
 )
 from ..sources.registry_files import default_feed_urls, read_registry, write_registry
-from ..sources.snapshots import read_snapshot, write_published, write_snapshot
+from ..sources.snapshots import read_snapshot, snapshot_time, write_published, write_snapshot
 from .publication import publication_dates
 from .refresh import (
     default_feed_articles,
@@ -29,7 +31,7 @@ from .refresh import (
     refresh,
     token_feed_articles,
 )
-from .registry import refresh_registry
+from .registry import look_up_candidates, with_lookups
 
 
 def run_refresh(
@@ -45,6 +47,7 @@ def run_refresh(
 ) -> tuple[DataFrame, DataFrame]:
     """Refresh every token and write its snapshot and its public file.
 
+    Reads what was fetched since the last snapshot, which holds what earlier landings gave.
     Returns the report per token and the articles that are new in this run, both read
     from what was written, so nothing is computed twice.
     """
@@ -52,8 +55,9 @@ def run_refresh(
     now = F.lit(as_of).cast("bigint")
     prepared = prepare_tokens(tokens, settings)
     previous = read_snapshot(spark, snapshots)
-    feeds = feed_articles(read_feed_entries(spark, feeds_path), now)
-    search = search_articles(read_search(spark, search_path), now)
+    since = snapshot_time(spark, snapshots)
+    feeds = feed_articles(landed_since(read_feed_entries(spark, feeds_path), since), now)
+    search = search_articles(landed_since(read_search(spark, search_path), since), now)
     state = refresh(
         tokens=prepared,
         previous=previous_articles(previous),
@@ -64,7 +68,7 @@ def run_refresh(
     )
     write_snapshot(state, snapshots, as_of)
     current = read_snapshot(spark, snapshots)
-    write_published(current, published)
+    write_published(current, published, as_of, prepared)
     return refresh_report(current, previous), new_articles(current, previous)
 
 
@@ -76,17 +80,24 @@ def run_registry(
     metadata_path: str,
     registry_root: str,
     as_of: int,
-) -> DataFrame:
-    """Grow the registry from landed candidates; returns the report."""
+) -> tuple[DataFrame, DataFrame]:
+    """Grow the registry from landed candidates; returns the report and the failed lookups.
+
+    The lookups are written beside the registry and read back, so nothing is computed twice.
+    """
     configure(spark)
-    done = refresh_registry(
+    registry = read_registry(spark, registry_root)
+    lookups = look_up_candidates(
         read_networks(spark, networks_path),
         read_candidates(spark, candidates_path),
         read_token_metadata(spark, metadata_path),
-        read_registry(spark, registry_root),
+        registry,
     )
+    path = f"{registry_root}/lookups={as_of}"
+    lookups.write.mode("errorifexists").parquet(path)
+    done = with_lookups(registry, spark.read.schema(lookups.schema).parquet(path))
     write_registry(done.registry, registry_root, as_of)
-    return done.report
+    return registry_report(read_registry(spark, registry_root), done.new_tokens), done.failed
 
 
 def run_publication(spark: SparkSession, pages_path: str, out: str, as_of: int) -> None:

@@ -39,25 +39,28 @@ def _with(schema: StructType, **partitions) -> StructType:
 
 
 def read_search(spark: SparkSession, path: str, *, lines: bool = True) -> DataFrame:
-    """Responses under ``<path>/query_id=<id>/page=<n>/``, one JSON text per line.
+    """Responses under ``<path>/query_id=<id>/page=<n>/fetched=<epoch>/``, one JSON text per line.
 
+    A landing may leave out ``fetched``, the time of the response; it is null then.
     ``lines=False`` takes files that hold one pretty-printed response each.
     """
-    schema = _with(SEARCH_RESPONSE, query_id=StringType(), page=LongType())
+    schema = _with(SEARCH_RESPONSE, query_id=StringType(), page=LongType(), fetched=LongType())
     return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def search_articles(responses: DataFrame, as_of: Column) -> DataFrame:
     """Article rows of all pages, with ``query_id``; an error response gives none.
 
-    Works on a stream as well.
+    "3 hours ago" counts back from when the response was fetched, and from ``as_of`` only
+    where that isn't known, so a page gives the same rows in every run.  Works on a
+    stream as well.
     """
     results = (
         responses.filter("error is null")
-        .select("query_id", "page", F.posexplode("news_results").alias("item", "r"))
-        .select("query_id", "page", "item", "r.*")
+        .select("query_id", "page", "fetched", F.posexplode("news_results").alias("item", "r"))
+        .select("query_id", "page", "fetched", "item", "r.*")
     )
-    dated = with_computed(results, "_date", parse_date("date", as_of))
+    dated = with_computed(results, "_date", parse_date("date", F.coalesce("fetched", as_of)))
     rows = clean_articles(dated).select(
         "query_id",
         "page",
@@ -96,6 +99,13 @@ def token_search_articles(
 # -- feeds ---------------------------------------------------------------------------
 
 
+def landed_since(landed: DataFrame, since: int | None) -> DataFrame:
+    """What was fetched at ``since`` or later, or at an unknown time; only its folders are read."""
+    if since is None:
+        return landed
+    return landed.filter(F.col("fetched").isNull() | (F.col("fetched") >= since))
+
+
 def _xml(reader, path: str, row_tag: str, schema: StructType) -> DataFrame:
     return (
         reader.format("xml")
@@ -157,9 +167,13 @@ def read_feed_entries(spark: SparkSession, path: str, *, stream: bool = False) -
 
 
 def feed_articles(entries: DataFrame, as_of: Column) -> DataFrame:
-    """Article rows with the feed's ``url``, the fetch (``page``) and place ``item``."""
+    """Article rows with the feed's ``url``, the fetch (``page``) and place ``item``.
+
+    An entry without a date has the time of its fetch, ``as_of`` where that isn't known.
+    """
     empty = F.lit("")
-    timed = with_computed(entries, "timestamp", feed_epoch("published", "updated", as_of))
+    fetched = F.coalesce("fetched", as_of)
+    timed = with_computed(entries, "timestamp", feed_epoch("published", "updated", fetched))
     return timed.select(
         "url",
         F.col("fetched").alias("page"),

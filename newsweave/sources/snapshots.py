@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.articles import published
-from ..schemas import SNAPSHOT
+from ..schemas import PUBLISHED_FIELDS, SNAPSHOT
 
 FINISHED = "_SUCCESS"
+SNAPSHOT_PUBLIC = StructType(
+    [SNAPSHOT[name] for name in PUBLISHED_FIELDS] + [StructField("token_key", StringType())]
+)
 
 
 def _folder(spark: SparkSession, path: str):
@@ -41,6 +45,12 @@ def newest_snapshot(spark: SparkSession, root: str) -> str | None:
     return f"{root}/snapshot={max(found)}" if found else None
 
 
+def snapshot_time(spark: SparkSession, root: str) -> int | None:
+    """When the newest snapshot was taken; None before the first."""
+    path = newest_snapshot(spark, root)
+    return int(path.rsplit("=", 1)[1]) if path else None
+
+
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """The previous state, an empty table on the first run."""
     path = newest_snapshot(spark, root)
@@ -60,6 +70,7 @@ def ordered(state: DataFrame) -> DataFrame:
         state.repartitionByRange(*by)
         .sortWithinPartitions(*by)
         .withColumn("position", F.monotonically_increasing_id())
+        .withColumn("pinned", F.coalesce("pinned", F.lit(False)))
         .select(*SNAPSHOT.fieldNames())
     )
 
@@ -70,20 +81,32 @@ def write_snapshot(state: DataFrame, root: str, as_of: int) -> str:
     return path
 
 
-def write_published(snapshot: DataFrame, path: str) -> None:
-    """Public JSON lines, one folder per token, newest article first.
+def write_published(snapshot: DataFrame, root: str, as_of: int, tokens: DataFrame) -> str:
+    """Public JSON lines, one folder per token of ``tokens``, newest article first.
 
-    Only the folders of tokens in this snapshot are replaced.
+    A new folder per run, whole when it is finished: nothing of an earlier run stays in
+    it, and a token without articles has an empty list, a file with one blank line.
     """
-    by = ["token_key", "position"]
-    rows = snapshot.repartitionByRange(*by).sortWithinPartitions(*by)
-    (
-        published(rows, "token_key")
-        .write.partitionBy("token_key")
-        .mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .json(path)
+    path = f"{root}/snapshot={as_of}"
+    line = F.to_json(F.struct(*PUBLISHED_FIELDS))
+    articles = published(snapshot, "token_key", "position").select("token_key", "position", line.alias("value"))
+    nobody = (
+        tokens.select("token_key").distinct().join(snapshot.select("token_key"), "token_key", "left_anti")
+        .select("token_key", F.lit(0).cast("bigint").alias("position"), F.lit("").alias("value"))
     )
+    by = ["token_key", "position"]
+    rows = articles.unionByName(nobody).repartitionByRange(*by).sortWithinPartitions(*by)
+    rows.drop("position").write.partitionBy("token_key").mode("errorifexists").text(path)
+    return path
+
+
+def read_published(spark: SparkSession, root: str) -> DataFrame:
+    """The public articles of the newest finished run."""
+    path = newest_snapshot(spark, root)
+    schema = SNAPSHOT_PUBLIC
+    if path is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).json(path)
 
 
 def append_items(items: DataFrame, path: str) -> None:

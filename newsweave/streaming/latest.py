@@ -86,16 +86,32 @@ def write_changes(
 
 
 def current_rows(
-    spark: SparkSession, path: str, keys: Sequence[str] = ARTICLE_KEYS
+    spark: SparkSession, path: str, keys: Sequence[str] = ARTICLE_KEYS, *, arrival: str = "arrival"
 ) -> DataFrame:
-    """Table of the newest change per key, the final state of the stream."""
+    """The final state of the stream: the newest row per key, first among equals.
+
+    By the rows' own times, not by when they came: a late row, or one of an older day
+    that is closed later, changes nothing.
+    """
     if not exists(spark, path):
         raise FileNotFoundError(path)
     changes = spark.read.option("basePath", path).parquet(path)
     keys = list(keys)
-    rest = [c for c in changes.columns if c not in (*keys, "batch")]
+    rest = [c for c in changes.columns if c not in (*keys, "batch", "day", "first_arrival")]
+    order = F.struct(-F.coalesce("timestamp", F.lit(0)), F.col(arrival))
     return (
         changes.groupBy(F.xxhash64(*keys).alias("_hash"), *keys)
-        .agg(F.max_by(F.struct(*rest), "batch").alias("kept"))
-        .select(*keys, "kept.*")
+        .agg(F.min_by(F.struct(*rest), order).alias("kept"), F.min("first_arrival").alias("first_arrival"))
+        .select(*keys, "kept.*", "first_arrival")
     )
+
+
+def compact_changes(
+    spark: SparkSession, path: str, out: str, keys: Sequence[str] = ARTICLE_KEYS, *, arrival: str = "arrival"
+) -> None:
+    """Write the final state of ``path`` to ``out`` as one batch, for later runs to go on from.
+
+    Their batches may be written beside it; ``path`` itself is left as it is.
+    """
+    newest = spark.read.option("basePath", path).parquet(path).agg(F.max("batch")).first()[0]
+    current_rows(spark, path, keys, arrival=arrival).write.mode("overwrite").parquet(f"{out}/batch={newest}")

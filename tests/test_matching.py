@@ -62,6 +62,20 @@ def test_matches_are_all_pairs_that_pass(spark, strategy):
     assert {(r.arrival, r.token_key, r.relevance) for r in found} == expected
 
 
+@pytest.mark.parametrize("strategy", ["inline", "grams"])
+def test_articles_need_no_key(spark, strategy):
+    """Articles with one arrival, and equal texts, keep their own matches."""
+    docs = articles(spark, 60).withColumn("arrival", F.lit(1).cast("bigint"))
+    docs = docs.unionByName(docs.limit(5)).withColumn("n", F.lit("n"))
+    tokens = registry(spark, TOKENS)
+    columns = ["title", "snippet", "full_content", "token_key", "relevance"]
+    pairs = docs.crossJoin(tokens.select("token_key")).withColumn("relevance", F.lit(None).cast("double"))
+    expected = score_assigned(pairs, tokens).filter("relevance >= threshold").select(columns)
+    found = match_tokens(docs, tokens, strategy=strategy)
+    assert found.columns == [*docs.columns, "token_key", "relevance"]
+    assert sorted(map(str, found.select(columns).collect())) == sorted(map(str, expected.collect()))
+
+
 @pytest.mark.parametrize("strategy", ["inline", "grams"])
 def test_low_thresholds_keep_every_article(spark, strategy):
     docs = articles(spark, 60)
@@ -140,3 +154,17 @@ def test_query_plan_lists_every_combination_shortest_first(spark):
 def test_query_plan_of_many_phrases(spark):
     tokens = registry(spark, [token("N", "S", None, [], [f"p{i}" for i in range(14)])])
     assert query_plan(tokens).select("query").distinct().count() == 2**14
+
+
+@pytest.mark.parametrize("n", [12, 13, 16])
+def test_query_plan_numbers_every_mask(spark, n):
+    tokens = registry(spark, [token("N", "S", None, [], [f"p{i}" for i in range(n)])])
+    plan = query_plan(tokens).agg(F.count_distinct("query_order"), F.max("query_order"), F.sum("n_phrases")).first()
+    assert tuple(plan) == (2**n, n * 2**n, n * 2 ** (n - 1))
+
+
+@pytest.mark.parametrize("n", [63, 64, 70])
+def test_query_plan_refuses_what_it_cannot_number(spark, n):
+    tokens = registry(spark, [token("N", "S", None, [], [f"p{i}" for i in range(n)])])
+    with pytest.raises(Exception, match="too many additional phrases"):
+        query_plan(tokens).count()

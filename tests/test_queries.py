@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from workload import catalog
 from workload.check import ROOT, compare, database
 
 SF_DIR = f"{ROOT}/sf0.001"
@@ -16,7 +17,7 @@ def con():
     return database(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog()))
 def test_query(spark, con, name):
     ours = entry.queries()[name](spark, SF_DIR).toPandas()
     assert compare(ours, con.execute(entry.oracle_sql()[name]).fetchdf()) == "ok"

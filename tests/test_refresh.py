@@ -43,7 +43,7 @@ def rows(spark, source, data, **constants):
     return df
 
 
-def run(spark, previous, search=(), default=(), own=(), now=NOW, strategy="auto"):
+def run(spark, previous, search=(), default=(), own=(), now=NOW, strategy="grams"):
     return refresh(
         tokens=registry(spark),
         previous=previous_articles(previous),

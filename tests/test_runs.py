@@ -4,6 +4,7 @@ from newsweave.plans.runs import run_publication, run_refresh, run_registry
 from newsweave.sources import landed
 from newsweave.operators.tokens import prepare_tokens
 from newsweave.sources.registry_files import load_settings, read_registry
+from newsweave.sources.snapshots import read_published, read_snapshot
 from test_sources import NOW, RSS, put
 
 DAY = 86400
@@ -25,7 +26,7 @@ def test_two_refreshes_from_files(spark, tmp_path):
         put(tmp_path / "feeds" / f"url=https%3A%2F%2F{name}%2Frss" / "fetched=1" / "d.xml", RSS.replace("Feed &amp; Co", name))
     query = landed.planned_queries(prepare_tokens(tokens, settings)).filter("query like 'Zork%'").first()
     result = {"title": "Zork Zork", "link": "/s", "snippet": "Zork", "source": "s", "date": "3 hours ago"}
-    put(tmp_path / "search" / f"query_id={query.query_id}" / "page=1" / "r.json", json.dumps({"news_results": [result]}))
+    put(tmp_path / "search" / f"query_id={query.query_id}" / "page=1" / f"fetched={NOW - 60}" / "r.json", json.dumps({"news_results": [result]}))
     paths = dict(
         search_path=str(tmp_path / "search"), feeds_path=str(tmp_path / "feeds"),
         snapshots=str(tmp_path / "snapshots"), published=str(tmp_path / "out"),
@@ -34,23 +35,41 @@ def test_two_refreshes_from_files(spark, tmp_path):
     # both entries of the own feed, the search row, and no other row scores 6.5
     assert [(r.kept, r.previous) for r in report.collect()] == [(3, 0)]
     assert {r.title for r in new.collect()} == {"A & B", "No date", "Zork Zork"}
+    first = sorted(map(str, read_snapshot(spark, paths["snapshots"]).collect()))
     report, new = run_refresh(spark, settings, tokens, as_of=NOW + DAY, **paths)
-    # the undated entry is read as "now" again, so it moves up; nothing is new
+    # nothing was fetched since, so nothing moves
     assert [(r.kept, r.previous) for r in report.collect()] == [(3, 3)] and new.count() == 0
-    lines = [json.loads(x) for f in sorted((tmp_path / "out").rglob("*.json")) for x in f.read_text().splitlines()]
-    assert [x["title"] for x in lines] == ["No date", "Zork Zork", "A & B"]
+    assert sorted(map(str, read_snapshot(spark, paths["snapshots"]).collect())) == first
+    out = tmp_path / "out" / f"snapshot={NOW + DAY}"
+    lines = [json.loads(x) for f in sorted(out.rglob("part-*")) for x in f.read_text().splitlines() if x]
+    # the undated entry is as old as its fetch
+    assert [x["title"] for x in lines] == ["Zork Zork", "A & B", "No date"]
     assert "relevance" not in lines[0]
+    assert read_published(spark, paths["published"]).count() == 3
+    # the token without articles has an empty list of its own
+    assert len([p for p in out.iterdir() if p.name.startswith("token_key=")]) == 2
+
+
+def test_only_new_landings_are_read(spark, tmp_path):
+    for fetched in (5, 50):
+        put(tmp_path / "url=a" / f"fetched={fetched}" / "d.xml", RSS)
+    new = landed.landed_since(landed.read_feed_entries(spark, str(tmp_path)), 50)
+    assert {r.fetched for r in new.collect()} == {50}
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [((isnull(fetched" in plan
 
 
 def test_registry_run(spark, tmp_path):
     a = "0x" + "a" * 40
     put(tmp_path / "platforms.json", json.dumps({"data": {"platformToChainIdMap": {"eth": 1}}}))
-    put(tmp_path / "coins" / "network=eth" / "a.json", json.dumps({"data": {"tokens": [{"address": a, "symbol": "x"}]}}))
+    put(tmp_path / "coins" / "network=eth" / "a.json", json.dumps({"data": {"tokens": [{"address": a, "symbol": "x"}, {"address": "0x12", "symbol": "lost"}]}}))
     put(tmp_path / "metadata.json", json.dumps({"chain_id": 1, "address": a, "name": "N", "symbol": "S"}))
     paths = dict(networks_path=str(tmp_path / "platforms.json"), candidates_path=str(tmp_path / "coins"),
                  metadata_path=str(tmp_path / "metadata.json"), registry_root=str(tmp_path / "registry"))
     for as_of, fresh in ((1, 1), (2, 0)):
-        counts = {r.network: (r.total_tokens, r.new_tokens) for r in run_registry(spark, as_of=as_of, **paths).collect()}
+        report, failed = run_registry(spark, as_of=as_of, **paths)
+        counts = {r.network: (r.total_tokens, r.new_tokens) for r in report.collect()}
+        assert [r.symbol for r in failed.collect()] == ["lost"]
         assert counts == {"eth": (1, fresh), None: (1, fresh)}
         assert read_registry(spark, str(tmp_path / "registry")).count() == 1
 

@@ -34,7 +34,7 @@ def _literal_array(items) -> Column:
     return F.array(*map(F.lit, items))
 
 
-def _parsed(texts: DataFrame) -> DataFrame:
+def _parsed(texts: DataFrame, *extra: str) -> DataFrame:
     dated = with_computed(texts, "d", parse_date("text", as_of()))
     return dated.select(
         "event_id",
@@ -43,6 +43,7 @@ def _parsed(texts: DataFrame) -> DataFrame:
         "d.timestamp",
         "d.date_source",
         utc_text("d.timestamp").alias("utc_time"),
+        *extra,
     )
 
 
@@ -107,17 +108,9 @@ def absolute_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
         written = F.concat(F.lit(before), F.date_format(ts, pattern), F.lit(after))
         text = F.when(pick == i, written).otherwise(text)
     texts = table(spark, sf_dir, "events").select("event_id", text.alias("text"))
-    wall = absolute_epoch("text", ignore_offset=True)
-    exact = absolute_epoch("text", strict=True)
-    read = _parsed(texts).join(
-        texts.select(
-            "event_id",
-            F.coalesce(wall, F.lit(NO_DATE)).alias("wall_time"),
-            F.coalesce(exact, F.lit(NO_DATE)).alias("exact"),
-        ),
-        "event_id",
-    )
-    return read
+    for name, options in (("wall_time", {"ignore_offset": True}), ("exact", {"strict": True})):
+        texts = with_computed(texts, name, F.coalesce(absolute_epoch("text", **options), F.lit(NO_DATE)))
+    return _parsed(texts, "wall_time", "exact")
 
 
 def _form_case() -> str:

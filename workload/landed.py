@@ -12,7 +12,7 @@ from newsweave.sources.landed import (
     read_search,
     search_articles,
 )
-from newsweave.sources.snapshots import read_snapshot, write_published, write_snapshot
+from newsweave.sources.snapshots import read_published, read_snapshot, write_published, write_snapshot
 from newsweave.plans.refresh import SEARCH, arrival
 from newsweave.streaming.latest import (
     current_rows,
@@ -54,7 +54,9 @@ def _landed_search(spark: SparkSession, sf_dir: str) -> str:
         "page",
         F.when(failed, F.lit("quota exceeded")).alias("error"),
         F.transform("r", lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias("news_results"),
-    ).write.partitionBy("query_id", "page").json(path)
+        # even queries were fetched a day before the run, the others at an unknown time
+        F.when(F.substring("query_id", 2, 9).cast("bigint") % 2 == 0, AS_OF - DAY).cast("bigint").alias("fetched"),
+    ).write.partitionBy("query_id", "page", "fetched").json(path)
     return path
 
 
@@ -69,7 +71,7 @@ def landed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 LANDED_SEARCH_SQL = f"""
 WITH d AS (SELECT *, 'q' || (doc_id % {QUERIES_LANDED}) AS query_id,
                   (doc_id // {PER_PAGE * QUERIES_LANDED})::BIGINT AS page,
-                  {AS_OF}::BIGINT - (doc_id % 30) * {DAY} AS ts
+                  {AS_OF}::BIGINT - (doc_id % 30 + CASE WHEN doc_id % {QUERIES_LANDED} % 2 = 0 THEN 1 ELSE 0 END) * {DAY} AS ts
            FROM ({sql.CLEANED_DOCUMENTS}))
 SELECT query_id, page,
        row_number() OVER (PARTITION BY query_id, page ORDER BY doc_id) - 1 AS item,
@@ -148,7 +150,7 @@ def landed_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 LANDED_FEEDS_SQL = f"""
 WITH d AS (SELECT *, doc_id % {FEEDS} AS n, (doc_id // {PER_FETCH * FEEDS})::BIGINT AS page FROM ({sql.CLEANED_DOCUMENTS})),
 e AS (SELECT *, row_number() OVER (PARTITION BY n, page ORDER BY doc_id) - 1 AS item,
-             CASE WHEN n >= 4 THEN timestamp WHEN doc_id % 5 = 0 THEN {AS_OF}
+             CASE WHEN n >= 4 THEN timestamp WHEN doc_id % 5 = 0 THEN page
                   WHEN doc_id % 4 = 0 THEN timestamp ELSE timestamp - 7200 END::BIGINT AS ts
       FROM d)
 SELECT 'https://feed' || n || '.example/x?a=1' AS url, page, item,
@@ -194,18 +196,27 @@ FROM ({sql.DOCUMENTS}) WHERE doc_id % 4 > 0
 
 
 def published_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Published files after a run for all tokens and a later one for token k1."""
+    """Published files after a run for all tokens and a later one that leaves k0 without articles.
+
+    A row without a title and link stands for a token's empty list.
+    """
     root = shared_folder(configure(spark), "published")
     state = _state(spark, sf_dir).withColumn("position", F.col("doc_id"))
-    write_published(state, root)
-    write_published(state.filter("token_key = 'k1' and doc_id % 2 = 0"), root)
-    schema = "title string, link string, source string, timestamp bigint, tag string, token_key string"
-    return spark.read.schema(schema).json(root)
+    tokens = spark.createDataFrame([("k0",), ("k1",), ("k2",), ("new",)], "token_key string")
+    write_published(state, root, AS_OF, tokens)
+    later = write_published(state.filter("token_key <> 'k0'"), root, AS_OF + DAY, tokens)
+    columns = ["title", "link", "source", "timestamp", "tag", "token_key"]
+    listed = spark.read.option("basePath", later).text(later)
+    empty = listed.filter("value = ''").select(
+        *(F.lit(None).cast("bigint" if c == "timestamp" else "string").alias(c) for c in columns[:-1]), "token_key"
+    )
+    return read_published(spark, root).select(*columns).unionByName(empty)
 
 
 PUBLISHED_SQL = f"""
 SELECT title, link, source, timestamp, 't' AS tag, 'k' || (doc_id % 3) AS token_key
-FROM ({sql.DOCUMENTS}) WHERE doc_id % 3 <> 1 OR doc_id % 2 = 0
+FROM ({sql.DOCUMENTS}) WHERE doc_id % 3 <> 0
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, k FROM (VALUES ('k0'), ('new')) v(k)
 """
 
 
@@ -220,7 +231,7 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_changes(
         latest_stream(slim, arrival="doc_id"), f"{root}/changes", f"{root}/checkpoint"
     ).awaitTermination()
-    return current_rows(spark, f"{root}/changes").select(
+    return current_rows(spark, f"{root}/changes", arrival="doc_id").select(
         "source", "link", "title", "timestamp", F.col("doc_id").alias("kept_doc_id"),
         F.col("first_arrival").alias("first_doc_id"), "n_chars",
     )

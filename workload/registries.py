@@ -22,7 +22,7 @@ from newsweave.schemas import TOKEN
 from . import sql
 from .articles import REFRESH_INPUT_CTES
 from .sql import AS_OF, q
-from .views import as_of, documents, refresh_inputs, table
+from .views import DAY, _token_of, as_of, documents, refresh_inputs, table, token_rows
 
 # -- tokens ------------------------------------------------------------------------
 
@@ -118,11 +118,19 @@ FROM b
 
 
 def high_water_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search windows per token, with how many search rows fall inside."""
-    inputs = refresh_inputs(spark, sf_dir)
-    windows = search_windows(inputs["tokens"], inputs["previous"], as_of())
+    """Search windows per token, with how many rows fall inside.
+
+    Every document was seen by one token half a month ago and is found for another now.
+    """
+    doc = F.col("doc_id")
+    docs = documents(spark, sf_dir).select("doc_id", "timestamp")
+    previous = docs.select(
+        _token_of(doc % 3).alias("token_key"), (F.col("timestamp") - 15 * DAY).alias("timestamp")
+    )
+    search = docs.select(_token_of(doc % 4).alias("token_key"), "timestamp")
+    windows = search_windows(token_rows(spark), previous, as_of())
     inside = (
-        within_window(inputs["search"], windows)
+        within_window(search, windows)
         .groupBy("token_key")
         .agg(F.count(F.lit(1)).alias("n_inside"))
     )
@@ -132,7 +140,16 @@ def high_water_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HIGH_WATER_SQL = f"""
-WITH {REFRESH_INPUT_CTES}
+WITH docs AS ({sql.DOCUMENTS}),
+windows AS (
+    SELECT t.token_key, coalesce(max(p.timestamp) - {15 * DAY}, {AS_OF} - 2 * 365 * {DAY}) AS start_ts
+    FROM ({sql.token_values()}) t LEFT JOIN docs p ON t.idx = p.doc_id % 3 GROUP BY t.token_key),
+windowed AS (
+    SELECT w.token_key FROM docs d JOIN ({sql.token_values()}) t ON t.idx = d.doc_id % 4
+    JOIN windows w ON w.token_key = t.token_key
+    WHERE make_timestamp(d.timestamp::BIGINT * 1000000)::DATE
+          BETWEEN make_timestamp(w.start_ts::BIGINT * 1000000)::DATE
+              AND make_timestamp({AS_OF}::BIGINT * 1000000)::DATE)
 SELECT w.token_key, w.start_ts::BIGINT AS start_ts, {AS_OF}::BIGINT AS end_ts,
        (SELECT count(*) FROM windowed s WHERE s.token_key = w.token_key) AS n_inside
 FROM windows w
@@ -147,8 +164,9 @@ def _two_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
             "link": F.when(doc % 9 > 0, F.col("link")),
         }
     )
-    before = docs.filter((doc % 2 == 0) & (F.col("token_key") != "k2"))
-    return docs.filter(doc % 3 > 0), before
+    # every document is in one of them; k1 and k3 have no rows before
+    before = docs.filter((doc % 2 == 0) & ((F.col("token_key") != "k2") | (doc % 3 == 0)))
+    return docs.filter((doc % 3 > 0) | (doc % 2 == 1)), before
 
 
 def only_new(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,8 +177,8 @@ def only_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 SNAPSHOT_CTES = f"""
 d AS (SELECT * REPLACE (CASE WHEN doc_id % 9 > 0 THEN link END AS link), 'k' || (doc_id % 4) AS token_key
       FROM ({sql.DOCUMENTS})),
-cur AS (SELECT * FROM d WHERE doc_id % 3 > 0),
-prev AS (SELECT * FROM d WHERE doc_id % 2 = 0 AND token_key <> 'k2')
+cur AS (SELECT * FROM d WHERE doc_id % 3 > 0 OR doc_id % 2 = 1),
+prev AS (SELECT * FROM d WHERE doc_id % 2 = 0 AND (token_key <> 'k2' OR doc_id % 3 = 0))
 """
 ONLY_NEW_SQL = f"""
 WITH {SNAPSHOT_CTES}

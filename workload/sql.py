@@ -11,6 +11,9 @@ from newsweave.functions import dates, relevance, wordlists
 from .views import AS_OF, TOKENS
 
 
+AGO = "(^|[^a-z])ago([^a-z]|$)"
+
+
 def q(text: str | None) -> str:
     return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
 
@@ -257,7 +260,7 @@ def relative(c: str) -> str:
     n, unit = group(c, dates.RELATIVE, 1), group(c, dates.RELATIVE, 2)
     size = " ".join(f"WHEN {q(u)} THEN {s}" for u, s in wordlists.UNIT_SECONDS.items())
     return (
-        f"CASE WHEN regexp_matches({c}, {q(dates.AGO)}) "
+        f"CASE WHEN regexp_matches({c}, {q(AGO)}) "
         f"THEN {AS_OF}::BIGINT - {number(n)}::BIGINT * (CASE {unit} {size} END) END"
     )
 
@@ -292,8 +295,8 @@ def parsed_dates(source: str, text: str) -> str:
     return f"""
 tr AS (SELECT *, {translate_date(text)} AS translated FROM {source}),
 lo AS (SELECT *, lower(translated) AS low FROM tr),
-parsed AS (SELECT *, regexp_matches(low, {q(dates.AGO)}) AS ago,
-                  CASE WHEN regexp_matches(low, {q(dates.AGO)}) THEN {relative('low')}
+parsed AS (SELECT *, regexp_matches(low, {q(AGO)}) AS ago,
+                  CASE WHEN regexp_matches(low, {q(AGO)}) THEN {relative('low')}
                        ELSE {absolute('low')} END AS epoch
            FROM lo)"""
 

@@ -19,10 +19,6 @@ from newsweave.session import configure
 from newsweave.settings import Settings
 from newsweave.schemas import TOKEN
 
-# tables with costly work per row, and the size up to which Spark reads them in one task
-TEXT_TABLES = ("documents", "pages", "events")
-ONE_SPLIT = 128 * 2**20
-
 AS_OF = 1706745600  # 2024-02-01 00:00:00 UTC
 DAY = 86400
 
@@ -31,7 +27,7 @@ TOKENS = [
     ("Onenst", "EAUXAN", 8.0, ["onenst", "stupid"], ["therea", "license", "ing"],
      [("asset-issuer", "feed0"), ("dao-governance", "feed1")]),
     ("Tionble", "TIONBLE", None, ["ndthe"], ["hean", "tion"], [("asset-issuer", "feed1")]),
-    ("Queaux", "QX#", 6.5, ["lescion"], ["entre", "ción", ""], []),
+    ("Queaux", "QX#", 6.5, ["lescion"], ["entre", "ción", ""], [("research", "feed2")]),
     ("Unseen Coin", "UNSEEN", None, [], ["defi", "the"], []),
 ]
 # a token that keeps every article, as no score is below the bonus of 1
@@ -43,13 +39,8 @@ def as_of() -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; one that fits a single split is spread over the cores."""
-    configure(spark)
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if name in TEXT_TABLES and size < ONE_SPLIT:
-        return df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    """A given table."""
+    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def token_rows(spark: SparkSession, rows=TOKENS) -> DataFrame:
@@ -129,7 +120,7 @@ def refresh_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     )
     default_feed = as_articles(
         _with_time(
-            articles.filter((doc % 5).isin(0, 2, 3)), (doc % 2) * 50 - 20
+            articles.filter(doc % 5 != 4), (doc % 2) * 50 - 20
         ).withColumns(
             {
                 "tag": F.lit("independent-news"),
