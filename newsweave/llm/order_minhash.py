@@ -29,9 +29,9 @@ THRESHOLD = 0.8
 SKETCHES = 20
 TAKEN = 4
 # Rounds in which buckets are compared with one of their texts, before all that is left is.
-ROUNDS = 3
+ROUNDS = 2
 # Longs of the bitmap that bounds from below how many shingles two texts don't share.
-PARITY = 64
+PARITY = 32
 _rng = np.random.default_rng(20)
 _SEEDS = _rng.integers(0, 1 << 63, SKETCHES, np.uint64)[:, None]
 _FACTORS = (_rng.integers(0, 1 << 63, SKETCHES, np.uint64) | np.uint64(1))[:, None]
@@ -74,7 +74,7 @@ def parity(hashes: np.ndarray) -> np.ndarray:
 
     Bitmaps of two texts differ in no more bits than the texts have shingles apart.
     """
-    at = labelled(hashes) >> np.uint64(64 - 12)
+    at = labelled(hashes) >> np.uint64(64 - 11)
     odd = (np.bincount(at.astype(np.int64), minlength=PARITY * 64) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
@@ -191,11 +191,21 @@ def _row_key():
     return F.xxhash64("doc_id", "text")
 
 
-def _may_be_near(n_a, n_b, parity_a, parity_b):
-    """Whether lengths and bitmaps let two texts reach the threshold: true for all that do."""
-    apart = F.aggregate(F.zip_with(parity_a, parity_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def _may_be_near():
+    """Whether lengths and bitmaps let texts a and b reach the threshold: true for all that do."""
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    apart = F.lit(0)
+    for i in range(PARITY):
+        apart = apart + F.bit_count(F.col("bits_a")[f"b{i}"].bitwiseXOR(F.col("bits_b")[f"b{i}"]))
     fits = F.least(n_a, n_b) >= F.lit(THRESHOLD) * F.greatest(n_a, n_b)
-    return F.when(fits, apart <= (n_a + n_b) * F.lit((1 - THRESHOLD) / (1 + THRESHOLD)) + 1e-6).otherwise(False)
+    return fits & (apart <= (n_a + n_b) * F.lit((1 - THRESHOLD) / (1 + THRESHOLD)) + 1e-6)
+
+
+def _sides(rows: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """rows twice, as texts a and b, with the bitmap's longs as fields."""
+    bits = F.struct(*(F.col("parity")[i].alias(f"b{i}") for i in range(PARITY)))
+    rows = rows.withColumn("bits", bits)
+    return tuple(rows.select(*(F.col(c).alias(f"{c}_{x}") for c in (*columns, "id", "n", "bits"))) for x in "ab")
 
 
 def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -217,10 +227,9 @@ def _star_pairs(members: DataFrame, texts: DataFrame, turn: int) -> DataFrame:
         .select(F.least("id", "chosen.id").alias("a"), F.greatest("id", "chosen.id").alias("b"))
         .distinct()
     )
-    one, two = (texts.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "parity"))) for x in "ab")
-    near = _may_be_near(F.col("n_a"), F.col("n_b"), F.col("parity_a"), F.col("parity_b"))
+    one, two = _sides(texts)
     sides = pairs.join(one, F.col("a") == F.col("id_a")).join(two, F.col("b") == F.col("id_b"))
-    return written(sides.where(near).select("a", "b"), "pairs")
+    return written(sides.where(_may_be_near()).select("a", "b"), "pairs")
 
 
 def _open_members(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -277,12 +286,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if members.isEmpty():
             break
     own = F.col("id") == F.col("text_id")
-    sides = members.join(texts.select(F.col("id").alias("text_id"), "n", "parity"), own)
-    one, two = (sides.select("bucket", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "parity"))) for x in "ab")
-    near = _may_be_near(F.col("n_a"), F.col("n_b"), F.col("parity_a"), F.col("parity_b"))
+    members = members.join(texts.select(F.col("id").alias("text_id"), "n", "parity", "sketches"), own)
+    one, two = _sides(members, "bucket", "component", "sketches")
+    # A pair counts in the first of the buckets that it shares.
+    shared = F.zip_with("sketches_a", "sketches_b", lambda x, y: F.when(x == y, x))
     rest = (
-        one.join(two, "bucket")
-        .where((F.col("component_a") < F.col("component_b")) & near)
+        one.join(two, F.col("bucket_a") == F.col("bucket_b"))
+        .where((F.col("component_a") < F.col("component_b")) & _may_be_near())
+        .where(F.filter(shared, lambda x: x.isNotNull())[0] == F.col("bucket_a"))
         .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
         .distinct()
     )
