@@ -11,7 +11,7 @@ from newsweave.session import shared_folder
 # Bits of a membership bitmap: 2 MB, however many keys are in it.
 BITMAP_BITS = 24
 # One Arrow batch holds at most this many bytes, so long texts stay within a worker's memory.
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
