@@ -242,7 +242,7 @@ def _open_members(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, class_id, kept), one row per row of docs.
+    """(doc_id, text_hash, class_id, kept, has_words), one row per row of docs.
 
     Texts with the same words, letter case and punctuation aside, are copies of each other;
     texts are linked whose aligned similarity of 5-word shingles is 0.8 or more; a class is
@@ -318,6 +318,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "text_hash",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         (alone | (F.col("text_hash") == F.col("head"))).alias("kept"),
+        (~alone).alias("has_words"),
     )
 
 
@@ -326,10 +327,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Of repeated rows (equal doc_id and text) with words one is kept.
     """
-    lost = (
-        near_duplicates(docs).where(~F.col("kept")).select(F.col("text_hash").alias("__lost")).distinct()
-    )
+    found = near_duplicates(docs)
+    lost = found.where(~F.col("kept")).select(F.col("text_hash").alias("__lost")).distinct()
+    repeated = found.where(F.col("kept") & F.col("has_words")).groupBy(F.col("text_hash").alias("__twice")).count().where("count > 1").select("__twice")
     kept = docs.withColumn("__key", _row_key()).join(lost, F.col("__key") == F.col("__lost"), "left_anti")
-    empty = F.col("text").isNull() | ~F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")
-    repeated = kept.withColumn("__key", F.when(empty, F.uuid()).otherwise(F.col("__key").cast("string")))
-    return repeated.dropDuplicates(["__key"]).drop("__key")
+    twice = F.col("__key") == F.col("__twice")
+    once = kept.join(repeated, twice, "left_anti")
+    return once.unionByName(kept.join(repeated, twice, "left_semi").dropDuplicates(["__key"])).drop("__key")
