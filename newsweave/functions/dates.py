@@ -31,6 +31,15 @@ DAY_MONTH = (
     1,
 )
 COMPACT = (r"\b(\d{4})(\d{2})(\d{2})(?:t?\d{4}(?:\d{2})?)?z?\b", 1, 2, 3)
+# Years of two digits; a colon behind them makes them an hour.
+SHORT_NUMBERS = r"\b(\d{1,2})[-/.](\d{1,2})[-/.](\d{2})\b(?![-/.:])"
+SHORT_DAY_MONTH = (rf"\b(\d{{1,2}})[-\s]+{_MONTH}\.?,?[-\s]+(\d{{2}})\b(?!:)", 3, 2, 1)
+# Dates with parts left out, which the reference time fills in.
+NO_YEAR = [
+    (rf"\b{_MONTH}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?\b(?!:)", 1, 2),
+    (rf"\b(\d{{1,2}})(?:st|nd|rd|th)?[-\s]+(?:of\s+)?{_MONTH}\b", 2, 1),
+]
+NO_DAY = rf"\b{_MONTH}\.?,?\s+(\d{{4}})\b"
 COMPACT_TIME = r"\b\d{8}t?(\d{2})(\d{2})(\d{2})?"
 
 _ZONES = "|".join(ZONE_HOURS)
@@ -71,14 +80,68 @@ def _by_numbers(text: Column) -> Column:
     )
 
 
-def date_part(lowered: Column) -> Column:
-    """Day of the first date form found in a lower-cased text, else null."""
+def _century(year: Column) -> Column:
+    """The year of two digits: 1970 to 2069."""
+    return year + F.when(year < 70, 2000).otherwise(1900)
+
+
+def _by_short_year(text: Column) -> Column:
+    """nn/nn/yy as nn/nn/yyyy, or day, month name and yy."""
+    numbers = F.array(*(_number(F.regexp_extract(text, SHORT_NUMBERS, i)) for i in (1, 2, 3)))
+    pattern, y, m, d = SHORT_DAY_MONTH
+    return F.coalesce(
+        bind(
+            numbers,
+            lambda n: F.when(n[0] > 12, date_of(_century(n[2]), n[1], n[0])).otherwise(
+                date_of(_century(n[2]), n[0], n[1])
+            ),
+        ),
+        date_of(
+            _century(_number(F.regexp_extract(text, pattern, y))),
+            month_number(F.regexp_extract(text, pattern, m), loose=True),
+            _number(F.regexp_extract(text, pattern, d)),
+        ),
+    )
+
+
+def _by_parts(text: Column, reference: Column) -> Column:
+    """Month and year with the reference's day, the month's last at most; or month and day
+    with its year."""
+    now = F.to_date(F.timestamp_seconds(reference))
+    first = date_of(
+        _number(F.regexp_extract(text, NO_DAY, 2)),
+        month_number(F.regexp_extract(text, NO_DAY, 1), loose=True),
+        F.lit(1),
+    )
+    whole_month = F.least(F.date_add(first, F.dayofmonth(now) - 1), F.last_day(first))
+    return F.coalesce(
+        whole_month,
+        *(
+            date_of(
+                F.year(now),
+                month_number(F.regexp_extract(text, pattern, m), loose=True),
+                _number(F.regexp_extract(text, pattern, d)),
+            )
+            for pattern, m, d in NO_YEAR
+        ),
+    )
+
+
+def date_part(lowered: Column, reference: Column | None = None) -> Column:
+    """Day of the first date form found in a lower-cased text, else null.
+
+    ``reference`` is the time that parts left out are taken from; without it such dates
+    aren't read.
+    """
+    partial = [] if reference is None else [_by_parts(lowered, reference)]
     return F.coalesce(
         _by_groups(lowered, YEAR_FIRST, False),
         _by_numbers(lowered),
         _by_groups(lowered, MONTH_DAY, True),
         _by_groups(lowered, DAY_MONTH, True),
         _by_groups(lowered, COMPACT, False),
+        _by_short_year(lowered),
+        *partial,
     )
 
 
@@ -123,7 +186,8 @@ def _offset(zone: Column) -> Column:
 
 
 def _leftover(lowered: Column) -> Column:
-    for pattern in [YEAR_FIRST[0], NUMBERS, MONTH_DAY[0], DAY_MONTH[0], COMPACT[0]]:
+    whole = [YEAR_FIRST[0], NUMBERS, MONTH_DAY[0], DAY_MONTH[0], COMPACT[0]]
+    for pattern in [*whole, SHORT_NUMBERS, SHORT_DAY_MONTH[0]]:
         lowered = F.regexp_replace(lowered, pattern, " ")
     # the T of an ISO date-time stays behind, glued to the time
     for pattern in [rf"t?{TIME}", FILLER]:
@@ -132,16 +196,21 @@ def _leftover(lowered: Column) -> Column:
 
 
 def absolute_epoch(
-    c: ColumnOrName, *, ignore_offset: bool = False, strict: bool = False
+    c: ColumnOrName,
+    *,
+    ignore_offset: bool = False,
+    strict: bool = False,
+    reference: Column | None = None,
 ) -> Column:
     """Epoch of the date (and time) found in a text, else null.
 
     ``ignore_offset`` reads the wall time as UTC; otherwise offsets and the RFC 822
     zone names are applied.  ``strict`` wants nothing else in the text.
+    With a ``reference`` time, dates without a year or a day are read as well.
     """
 
     def read(text: Column) -> Column:
-        seconds = F.unix_date(date_part(text)).cast("bigint") * 86400 + _clock(
+        seconds = F.unix_date(date_part(text, reference)).cast("bigint") * 86400 + _clock(
             text, ignore_offset
         )
         if strict:
@@ -175,7 +244,7 @@ def parse_date(c: ColumnOrName, as_of: Column, *, ignore_offset: bool = False) -
     def read(text: Column) -> Column:
         ago = is_relative(text)
         epoch = F.when(ago, relative_epoch(text, as_of)).otherwise(
-            absolute_epoch(text, ignore_offset=ignore_offset)
+            absolute_epoch(text, ignore_offset=ignore_offset, reference=as_of)
         )
         return bind(
             epoch,

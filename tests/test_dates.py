@@ -36,7 +36,7 @@ def test_relative_dates(column):
 
 
 def test_unreadable_dates_fall_back(column):
-    texts = ["moments ago", "Chicago 3 days", "", None, "31/02/2024", "Dec 4", "99999999999999 years ago"]
+    texts = ["moments ago", "Chicago 3 days", "", None, "31/02/2024", "99999999999999 years ago"]
     for x in column(texts, parse_date("t", as_of())):
         assert (x.timestamp, x.date_source) == (NOW, "fallback")
 
@@ -106,3 +106,14 @@ PAGES = {
 def test_publication_dates(column):
     found = column(list(PAGES), publication_date("t", as_of()))
     assert [x and (x.date_source, x.epoch) for x in found] == list(PAGES.values())
+
+
+def test_parts_left_out_come_from_the_reference_time(column):
+    texts = ["Dec 4", "4 December, by us", "updated December 2024", "12/04/24", "25/12/99", "Wed, 04 Dec 24 10:30:00 GMT", "4 Dec 10:30", "Feb 30"]
+    now = epoch(2025, 1, 31)
+    read = column(texts, parse_date("t", F.lit(now).cast("bigint")))
+    assert [x.timestamp for x in read] == [
+        epoch(2025, 12, 4), epoch(2025, 12, 4), epoch(2024, 12, 31), epoch(2024, 12, 4), epoch(1999, 12, 25),
+        epoch(2024, 12, 4, 10, 30), epoch(2025, 12, 4, 10, 30), now,
+    ]
+    assert column(texts[:3], absolute_epoch("t")) == [None] * 3

@@ -58,12 +58,13 @@ FROM parsed
 
 
 def relative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every unit; also no number, and a word that merely holds "ago"."""
+    """Every unit; also no number, a glued "ago", and a word that merely holds it."""
     e = F.col("event_id")
     unit = F.get(_literal_array(UNITS), (e % 7).cast("int"))
     text = (
         F.when(e % 13 == 0, F.concat(F.lit("Chicago "), (e % 30).cast("string"), F.lit(" days")))
         .when(e % 17 == 0, F.lit("moments ago"))
+        .when(e % 19 == 0, F.concat(F.lit("ago"), (e % 30).cast("string"), F.lit(" "), unit))
         .otherwise(
             F.concat(
                 (e % 30).cast("string"), F.lit(" "), unit,
@@ -74,13 +75,21 @@ def relative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(table(spark, sf_dir, "events").select("event_id", text.alias("text")))
 
 
-RELATIVE_SQL = _parsed_sql(
-    f"""SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'Chicago ' || (event_id % 30) || ' days'
-    WHEN event_id % 17 = 0 THEN 'moments ago'
-    ELSE (event_id % 30) || ' ' || ({sql.strings(UNITS)})[event_id % 7 + 1]
-         || CASE WHEN event_id % 2 = 0 THEN 's ago' ELSE ' ago' END END AS text
-    FROM events"""
-)
+_UNIT_SIZES = "[1, 60, 3600, 86400, 604800, 2592000, 31536000]"
+_PLAIN = "event_id % 13 <> 0 AND event_id % 17 <> 0"
+# from the event's number alone: no pattern reads the text here
+RELATIVE_SQL = f"""
+SELECT event_id, text, text AS translated, timestamp, date_source,
+       {sql.utc_text('timestamp')} AS utc_time
+FROM (SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'Chicago ' || (event_id % 30) || ' days'
+             WHEN event_id % 17 = 0 THEN 'moments ago'
+             WHEN event_id % 19 = 0 THEN 'ago' || (event_id % 30) || ' ' || unit
+             ELSE (event_id % 30) || ' ' || unit || CASE WHEN event_id % 2 = 0 THEN 's ago' ELSE ' ago' END END AS text,
+             ({AS_OF} - CASE WHEN {_PLAIN} THEN (event_id % 30) * size ELSE 0 END)::BIGINT AS timestamp,
+             CASE WHEN {_PLAIN} THEN 'relative' ELSE 'fallback' END AS date_source
+      FROM (SELECT event_id, ({sql.strings(UNITS)})[event_id % 7 + 1] AS unit,
+                   {_UNIT_SIZES}[event_id % 7 + 1] AS size FROM events))
+"""
 
 # written forms: (Spark date pattern, SQL date pattern, text before, text after)
 FORMS = [
@@ -97,6 +106,9 @@ FORMS = [
     ("dd MMM yyyy HH:mm", "%d %b %Y %H:%M", "", " EST"),
     ("yyyy-02-30", "%Y-02-30", "", ""),
     ("MMM d", "%b %-d", "", ""),
+    ("MM/dd/yy", "%m/%d/%y", "", ""),
+    ("dd MMM yy HH:mm", "%d %b %y %H:%M", "", " GMT"),
+    ("MMMM yyyy", "%B %Y", "in ", ""),
 ]
 
 
@@ -121,13 +133,49 @@ def _form_case() -> str:
     return f"CASE event_id % {len(FORMS)} {whens} END"
 
 
+# epoch, wall time and strict reading of each form, from ts alone; null: not readable
+_EXPECTED = [
+    ("s - 7200", "s", "s - 7200"),
+    ("m", "m", "m"),
+    ("d", "d", "d"),
+    ("swapped", "swapped", "swapped"),
+    ("d", "d", "NULL"),
+    ("d", "d", "d"),
+    ("d + 54300", "d + 54300", "d + 54300"),
+    ("s", "s", "s"),
+    ("s + 19800", "s", "s + 19800"),
+    ("s", "s", "s"),
+    ("m + 18000", "m", "m + 18000"),
+    ("NULL", "NULL", "NULL"),
+    ("this_year", "NULL", "NULL"),
+    ("d", "d", "d"),
+    ("m", "m", "m"),
+    ("month", "NULL", "NULL"),
+]
+
+
+def _expected(which: int) -> str:
+    whens = " ".join(f"WHEN {i} THEN {row[which]}" for i, row in enumerate(_EXPECTED))
+    return f"(CASE event_id % {len(FORMS)} {whens} END)"
+
+
 ABSOLUTE_SQL = f"""
-WITH p AS ({_parsed_sql(f'SELECT event_id, {_form_case()} AS text FROM events')}),
-l AS (SELECT *, lower(text) AS low FROM p)
-SELECT * EXCLUDE (low),
-       coalesce({sql.absolute('low', ignore_offset=True)}, {NO_DATE})::BIGINT AS wall_time,
-       coalesce({sql.absolute('low', strict=True)}, {NO_DATE})::BIGINT AS exact
-FROM l
+WITH t AS (
+    SELECT event_id, {_form_case()} AS text, epoch(date_trunc('second', ts))::BIGINT AS s,
+           epoch(date_trunc('minute', ts))::BIGINT AS m, epoch(date_trunc('day', ts))::BIGINT AS d,
+           -- day first is read as month first where it can be
+           epoch(CASE WHEN day(ts) > 12 THEN date_trunc('day', ts)
+                      ELSE make_date(year(ts), day(ts), month(ts))::TIMESTAMP END)::BIGINT AS swapped,
+           -- the run's day is the first of a month in a leap year
+           epoch(make_date(2024, month(ts), day(ts))::TIMESTAMP)::BIGINT AS this_year,
+           epoch(date_trunc('month', ts))::BIGINT AS month
+    FROM events)
+SELECT event_id, text, text AS translated, coalesce({_expected(0)}, {AS_OF})::BIGINT AS timestamp,
+       CASE WHEN {_expected(0)} IS NULL THEN 'fallback' ELSE 'absolute' END AS date_source,
+       {sql.utc_text(f'coalesce({_expected(0)}, {AS_OF})')} AS utc_time,
+       coalesce({_expected(1)}, {NO_DATE})::BIGINT AS wall_time,
+       coalesce({_expected(2)}, {NO_DATE})::BIGINT AS exact
+FROM t
 """
 
 

@@ -199,6 +199,12 @@ def match_low_threshold_by_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _match(spark, sf_dir, [*TOKENS[:2], OPEN_TOKEN], "grams")
 
 
+def match_shared_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles that share their arrival, as documents of one fetch may."""
+    docs = documents(spark, sf_dir).withColumn("arrival", F.col("doc_id") % 3)
+    return match_tokens(docs, token_rows(spark, TOKENS)).select("doc_id", "token_key", "relevance")
+
+
 MATCH_SQL = _match_sql(TOKENS)
 MATCH_LOW_SQL = _match_sql([*TOKENS[:2], OPEN_TOKEN])
 
@@ -211,6 +217,7 @@ QUERIES = {
     "day_bonus": (day_bonus, DAY_BONUS_SQL),
     "match_phrases": (match_phrases, MATCH_SQL),
     "match_phrases_by_grams": (match_phrases_by_grams, MATCH_SQL),
+    "match_shared_arrivals": (match_shared_arrivals, MATCH_SQL),
     "match_low_threshold": (match_low_threshold, MATCH_LOW_SQL),
     "match_low_threshold_by_grams": (match_low_threshold_by_grams, MATCH_LOW_SQL),
 }

@@ -12,9 +12,10 @@ from newsweave.sources.landed import (
     read_search,
     search_articles,
 )
-from newsweave.sources.snapshots import read_published, read_snapshot, write_published, write_snapshot
+from newsweave.sources.snapshots import append_items, read_published, read_snapshot, write_published, write_snapshot
 from newsweave.plans.refresh import SEARCH, arrival
 from newsweave.streaming.latest import (
+    compact_changes,
     current_rows,
     latest_stream,
     stream_articles,
@@ -208,7 +209,7 @@ def published_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["title", "link", "source", "timestamp", "tag", "token_key"]
     listed = spark.read.option("basePath", later).text(later)
     empty = listed.filter("value = ''").select(
-        *(F.lit(None).cast("bigint" if c == "timestamp" else "string").alias(c) for c in columns[:-1]), "token_key"
+        *(F.lit(0 if c == "timestamp" else "").alias(c) for c in columns[:-1]), "token_key"
     )
     return read_published(spark, root).select(*columns).unionByName(empty)
 
@@ -216,7 +217,7 @@ def published_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 PUBLISHED_SQL = f"""
 SELECT title, link, source, timestamp, 't' AS tag, 'k' || (doc_id % 3) AS token_key
 FROM ({sql.DOCUMENTS}) WHERE doc_id % 3 <> 0
-UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, k FROM (VALUES ('k0'), ('new')) v(k)
+UNION ALL SELECT '', '', '', 0, '', k FROM (VALUES ('k0'), ('new')) v(k)
 """
 
 
@@ -237,7 +238,39 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream with closed days: the newest documents arrive first, older days later."""
+    root = shared_folder(configure(spark), "stream")
+    fields = ["doc_id", "source", "link", "title", "timestamp", "full_content"]
+    docs = keyed_documents(spark, sf_dir).select(*fields)
+    for late in (False, True):
+        part = docs.filter((F.col("timestamp") < 1705363200) == late)
+        part.repartition(2, "doc_id").write.mode("append").json(f"{root}/landed")
+        arrived = stream_articles(spark, f"{root}/landed", docs.schema)
+        slim = arrived.withColumn("n_chars", F.length("full_content").cast("bigint")).drop("full_content")
+        changes = latest_stream(slim, arrival="doc_id", retention="40 days")
+        write_changes(changes, f"{root}/changes", f"{root}/checkpoint").awaitTermination()
+    compact_changes(spark, f"{root}/changes", f"{root}/compact", arrival="doc_id")
+    return current_rows(spark, f"{root}/compact", arrival="doc_id").select(
+        "source", "link", "title", "timestamp", F.col("doc_id").alias("kept_doc_id"),
+        F.col("first_arrival").alias("first_doc_id"), "n_chars",
+    )
+
+
+def appended_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended to one folder in two runs."""
+    path = shared_folder(configure(spark), "items")
+    docs = documents(spark, sf_dir).select("doc_id", "title", "link")
+    for rest in (0, 1):
+        append_items(docs.filter(F.col("doc_id") % 2 == rest), path)
+    return spark.read.schema(docs.schema).json(path)
+
+
+APPENDED_SQL = f"SELECT doc_id, title, link FROM ({sql.DOCUMENTS})"
+
 QUERIES = {
+    "stream_retention": (stream_retention, DEDUP_SQL),
+    "appended_items": (appended_items, APPENDED_SQL),
     "landed_search": (landed_search, LANDED_SEARCH_SQL),
     "landed_feeds": (landed_feeds, LANDED_FEEDS_SQL),
     "snapshot_latest": (snapshot_latest, SNAPSHOT_SQL),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,11 @@ from newsweave.operators.chains import with_chain_id, with_chain_name, with_rpc_
 from newsweave.operators.registry import drop_native, new_candidates
 from newsweave.operators.tokens import prepare_tokens, query_plan
 from newsweave.plans.registry import RegistryRefresh, refresh_registry
+from newsweave.plans.runs import run_registry
 from newsweave.schemas import TOKEN
+from newsweave.session import configure, shared_folder
+from newsweave.sources import landed
+from newsweave.sources.registry_files import load_settings, read_registry, write_registry
 
 from . import sql
 from .articles import REFRESH_INPUT_CTES
@@ -436,7 +442,115 @@ FROM r LEFT JOIN ch ON ch.id = asked_id LEFT JOIN rpc ON rpc.id = asked_id
        LEFT JOIN f ON f.l = lower(wanted)
 """
 
+# -- landed files ------------------------------------------------------------------
+
+
+def search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search result per planned query, given to every token that asked it."""
+    tokens = part_tokens(spark, sf_dir)
+    queries = landed.planned_queries(tokens).select("query_id", "query").distinct()
+    zero = F.lit(0).cast("bigint")
+    results = queries.select("query_id", F.col("query").alias("title"), zero.alias("page"), zero.alias("item"))
+    return landed.token_search_articles(results, tokens).select(
+        "token_key", "title", F.col("arrival.list").alias("query_order")
+    )
+
+
+SEARCH_ROWS_SQL = f"SELECT token_key, query AS title, query_order FROM ({QUERY_PLAN_SQL})"
+
+
+def _landed_registry(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Networks, candidates and metadata as the files that a registry run reads."""
+    root = shared_folder(configure(spark), "registry")
+    networks = _networks(spark, sf_dir).agg(
+        F.map_from_entries(F.collect_list(F.struct("network", "chain_id"))).alias("platformToChainIdMap")
+    )
+    networks.select(F.struct("platformToChainIdMap").alias("data")).write.json(f"{root}/networks")
+    listed = _candidates(spark, sf_dir).groupBy("network", (F.col("pos") % 50).alias("file"))
+    files = listed.agg(F.collect_list(F.struct("address", "symbol")).alias("tokens"))
+    files.select("network", F.struct("tokens").alias("data")).write.partitionBy("network").option(
+        "maxRecordsPerFile", 1
+    ).json(f"{root}/coins")
+    _metadata(spark, sf_dir).write.json(f"{root}/metadata")
+    write_registry(_registry(spark, sf_dir), f"{root}/registry", 1)
+    return {
+        "networks_path": f"{root}/networks", "candidates_path": f"{root}/coins",
+        "metadata_path": f"{root}/metadata", "registry_root": f"{root}/registry",
+    }
+
+
+def registry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry that a run over landed files writes."""
+    paths = _landed_registry(spark, sf_dir)
+    run_registry(spark, as_of=2, **paths)
+    return _flat(read_registry(spark, paths["registry_root"]))
+
+
+# a run takes the first of equal addresses by letters, capitals first
+REGISTRY_RUN_SQL = REGISTRY_REFRESH_SQL.replace("lower(address) ORDER BY pos", "lower(address) ORDER BY address, symbol")
+
+
+def listed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as the tokens of a settings file, read back."""
+    path = f"{shared_folder(configure(spark), 'settings')}"
+    key = F.col("s_suppkey")
+    entry = F.struct(
+        F.col("s_name").alias("name"), F.concat(F.lit("S"), key.cast("string")).alias("symbol"),
+        F.create_map(F.lit("chain"), key.cast("string")).alias("address"),
+        F.when(key % 2 == 0, 7.25).alias("relevance_threshold"),
+    )
+    # one settings file is small by its nature: a few suppliers each
+    files = table(spark, sf_dir, "supplier").groupBy((key % 8).alias("file")).agg(F.collect_list(entry).alias("tokens"))
+    body = files.select("file", F.to_json(F.struct(F.lit(7.5).alias("default_relevance_threshold"), "tokens")).alias("value"))
+    body.repartition(8, "file").write.partitionBy("file").text(path)
+    found = []
+    for i in range(8):
+        settings, tokens = load_settings(spark, f"{path}/file={i}")
+        found.append(prepare_tokens(tokens, settings).select("name", "symbol", "threshold", "lookback_years"))
+    return reduce(DataFrame.unionByName, found).withColumn("lookback_years", F.col("lookback_years").cast("bigint"))
+
+
+LISTED_TOKENS_SQL = """
+SELECT s_name AS name, 'S' || s_suppkey AS symbol, CASE WHEN s_suppkey % 2 = 0 THEN 7.25e0 ELSE 7.5e0 END AS threshold,
+       2::BIGINT AS lookback_years
+FROM supplier
+"""
+
+
+def chain_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chain names and endpoints as the files that are downloaded, read back."""
+    root = shared_folder(configure(spark), "chains")
+    nation = table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    entries = F.array_sort(F.collect_list(F.struct(key.alias("id"), F.col("n_name").alias("name"))))
+    names = nation.agg(entries.alias("e")).select(
+        F.to_json(F.map_from_entries(F.transform("e", lambda x: F.struct(x["id"].cast("string"), x["name"])))).alias("value")
+    )
+    names.write.text(f"{root}/names")
+    rpc = F.struct(
+        key.cast("bigint").alias("chainId"),
+        F.array(F.struct(F.concat(F.lit("https://rpc"), key.cast("string")).alias("url"))).alias("rpc"),
+    )
+    nation.agg(F.to_json(F.array_sort(F.collect_list(rpc))).alias("value")).write.text(f"{root}/rpcs")
+    chains = landed.read_chain_names(spark, f"{root}/names")
+    rpcs = landed.read_chain_rpcs(spark, f"{root}/rpcs").withColumnRenamed("pos", "rpc_pos")
+    return chains.join(rpcs, F.col("chain_id") == F.col("chainId")).select(
+        "chain_id", "chain_name", F.col("pos").cast("bigint").alias("pos"),
+        F.col("rpc_pos").cast("bigint").alias("rpc_pos"), F.col("rpc")[0]["url"].alias("url"),
+    )
+
+
+CHAIN_FILES_SQL = """
+SELECT n_nationkey::BIGINT AS chain_id, n_name AS chain_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS pos,
+       row_number() OVER (ORDER BY n_nationkey) - 1 AS rpc_pos, 'https://rpc' || n_nationkey AS url
+FROM nation
+"""
+
 QUERIES = {
+    "search_rows": (search_rows, SEARCH_ROWS_SQL),
+    "registry_run": (registry_run, REGISTRY_RUN_SQL),
+    "listed_tokens": (listed_tokens, LISTED_TOKENS_SQL),
+    "chain_files": (chain_files, CHAIN_FILES_SQL),
     "query_plan": (planned_queries, QUERY_PLAN_SQL),
     "token_registry": (token_registry, TOKEN_REGISTRY_SQL),
     "token_feed_articles": (token_feeds, TOKEN_FEEDS_SQL),
