@@ -38,14 +38,17 @@ def _with(schema: StructType, **partitions) -> StructType:
 # -- search --------------------------------------------------------------------------
 
 
-def read_search(spark: SparkSession, path: str, *, lines: bool = True) -> DataFrame:
+def read_search(
+    spark: SparkSession, path: str, *, lines: bool = True, stream: bool = False
+) -> DataFrame:
     """Responses under ``<path>/query_id=<id>/page=<n>/fetched=<epoch>/``, one JSON text per line.
 
     A landing may leave out ``fetched``, the time of the response; it is null then.
     ``lines=False`` takes files that hold one pretty-printed response each.
     """
     schema = _with(SEARCH_RESPONSE, query_id=StringType(), page=LongType(), fetched=LongType())
-    return spark.read.schema(schema).option("multiLine", not lines).json(path)
+    reader = spark.readStream if stream else spark.read
+    return reader.schema(schema).option("multiLine", not lines).json(path)
 
 
 def search_articles(responses: DataFrame, as_of: Column) -> DataFrame:
