@@ -53,30 +53,15 @@ def _place(key: Column, weight: Column) -> Column:
     return 1 - F.pow(uniform, 1 / weight)
 
 
-def mixed(docs: DataFrame, labels: DataFrame, keep_all: bool = False) -> DataFrame:
-    """(doc, size, source_size, target, taken), one row per row of docs.
-
-    ``doc`` holds the row's doc_id or, with keep_all, all its columns, so that names can't
-    clash.  ``size`` is the text's words (0 for null and empty texts), ``taken`` the words
-    that the mix takes, repeats counted: a source's taken words add up to its target rounded
-    down, and no document exceeds twice its size.  Labels weigh documents by quality
-    (repeated labels by the lowest, none or null as 1).  Ties of keys go by doc_id and by a
-    hash of id and text; equal rows are alike.  Empty tables give no rows.
-
-    Sources are cut into runs along the keys.  Words are added up by run, then inside the
-    runs, so a source of any size spreads over many tasks.
-    """
+def _sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size and key of the rows: all that the decisions need."""
     key = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(
-        F.struct("doc_id" if not keep_all else "*").alias("doc"), F.col("doc_id"), F.col("source"), size.alias("size"), key.alias("key")
-    )
-    if not keep_all:
-        rows = written(rows, "sizes")
-    targets = written(source_targets(rows.select("source", "size")), "targets")
-    total = targets.agg(F.sum("docs")).first()[0] or 0
-    runs = F.lit(total // RUN_ROWS + 1)
+    return docs.select("*", size.alias("__size"), key.alias("__key"))
+
 
+def _placed(rows: DataFrame, labels: DataFrame, targets: DataFrame) -> DataFrame:
+    """rows (.., doc_id, source, size, key) with their source's numbers and their place in it."""
     quality = F.create_map(*(F.lit(x) for pair in QUALITY_WEIGHTS.items() for x in pair))
     graded = (
         labels.where(F.col("doc_id").isNotNull())
@@ -85,27 +70,83 @@ def mixed(docs: DataFrame, labels: DataFrame, keep_all: bool = False) -> DataFra
         .select("label_id", F.coalesce(F.try_element_at(quality, F.col("quality")), F.lit(1.0)).alias("weight"))
     )
     by_source = targets.withColumnRenamed("source", "of_source")
-    placed = (
+    order = F.struct(_place(F.col("key"), F.coalesce("weight", F.lit(1.0))).alias("place"), "doc_id", "key")
+    return (
         rows.join(graded, F.col("doc_id") == F.col("label_id"), "left")
-        .withColumn("place", _place(F.col("key"), F.coalesce("weight", F.lit(1.0))))
-        .withColumn("run", (F.col("place") * runs).cast("long"))
         .join(by_source, F.col("source").eqNullSafe(F.col("of_source")))
-        .select("doc", "doc_id", "key", "size", "place", "run", "source_no", "source_size", "target")
+        .select(*rows.columns, *[c for c in targets.columns if c != "source"], order.alias("order"))
     )
-    sums = placed.groupBy("source_no", "run").agg(F.sum("size").alias("words"))
+
+
+def _limits(sizes: DataFrame, labels: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets with where a source's fractional selection ends.
+
+    ``last`` is the order of its last document and ``left`` the words that this document, or
+    its equal rows together, still give; both are null where complete epochs are all.
+    Words are added up by run of the order, then inside the one run in which a source ends.
+    """
+    total = targets.agg(F.sum("docs")).first()[0] or 0
+    rows = _placed(sizes, labels, targets).withColumn("run", (F.col("order.place") * F.lit(total // RUN_ROWS + 1)).cast("long"))
     along = Window.partitionBy("source_no").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source_no", "run", F.coalesce(F.sum("words").over(along), F.lit(0)).alias("run_start"))
-    inside = (
-        Window.partitionBy("source_no", "run").orderBy("place", "doc_id", "key").rowsBetween(Window.unboundedPreceding, -1)
+    ends = (
+        rows.groupBy("source_no", "run", "rest").agg(F.sum("size").alias("words"))
+        .withColumn("run_start", F.coalesce(F.sum("words").over(along), F.lit(0)))
+        .where("run_start < rest and rest <= run_start + words")
+        .select("source_no", "run", "run_start")
+    )
+    inside = Window.partitionBy("source_no").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
+    started = (
+        rows.select("source_no", "run", "rest", "size", "order").join(ends, ["source_no", "run"])
+        .withColumn("before", F.col("run_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        .where("before < rest")
+        .groupBy("source_no", "order", "rest").agg(F.min("before").alias("start"))
     )
+    last = started.groupBy("source_no").agg(
+        F.max(F.struct("order", (F.col("rest") - F.col("start")).alias("left"))).alias("end")
+    )
+    return targets.join(last, "source_no", "left").select(*targets.columns, F.col("end.order").alias("last"), F.col("end.left").alias("left"))
+
+
+def mixed(docs: DataFrame, labels: DataFrame, keep_all: bool = False) -> DataFrame:
+    """(doc, size, source_size, target, taken), one row per row of docs.
+
+    ``doc`` holds the row's doc_id or, with keep_all, all its columns, so that names can't
+    clash.  ``size`` is the text's words (0 for null and empty texts), ``taken`` the words
+    that the mix takes, repeats counted: a source's taken words add up to its target rounded
+    down, and no document exceeds twice its size.  Labels weigh documents by quality
+    (repeated labels by the lowest, none or null as 1).  Ties of keys go by doc_id and by a
+    hash of id and text; equal rows give their words one after the other.  Empty tables give
+    no rows.
+
+    The decisions are made without the texts: where each source's selection ends follows
+    from sums of runs along the keys and one run per source.  Rows then compare themselves
+    with that end.
+    """
+    sized = _sized(docs).select(
+        F.struct(*docs.columns if keep_all else ["doc_id"]).alias("doc"), "doc_id", "source",
+        F.col("__size").alias("size"), F.col("__key").alias("key"),
+    )
+    light = written(sized.select("doc_id", "source", "size", "key"), "sizes")
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    before = F.col("run_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    rest = budget - epochs * F.col("source_size") - before
-    taken = epochs * F.col("size") + F.greatest(F.least(rest, F.col("size")), F.lit(0))
-    return placed.join(starts, ["source_no", "run"]).select(
-        "doc", "size", "source_size", "target", taken.cast("long").alias("taken")
-    )
+    targets = source_targets(light.select("source", "size")).withColumn("epochs", epochs)
+    targets = written(targets.withColumn("rest", budget - F.col("epochs") * F.col("source_size")), "targets")
+    limits = written(_limits(light, labels, targets), "limits")
+
+    rows = sized if keep_all else light.withColumn("doc", F.struct("doc_id"))
+    placed = _placed(rows, labels, limits)
+    at_end = F.coalesce(F.col("order") == F.col("last"), F.lit(False))
+    whole = F.when(F.col("order") < F.col("last"), F.col("size")).otherwise(0)
+    number = F.row_number().over(Window.partitionBy("source_no").orderBy("order"))
+    share = F.greatest(F.least(F.col("left") - (number - 1) * F.col("size"), F.col("size")), F.lit(0))
+    parts = [(placed.where(~at_end), whole), (placed.where(at_end), share)]
+    out = [
+        part.withColumn("some", some).select(
+            "doc", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("some")).cast("long").alias("taken")
+        )
+        for part, some in parts
+    ]
+    return out[0].unionByName(out[1])
 
 
 def mixture(docs: DataFrame, labels: DataFrame) -> DataFrame:
