@@ -204,11 +204,10 @@ def _planted(frame: pd.DataFrame) -> pd.DataFrame:
 def _near_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     near = np.sqrt(2.0 - 2.0 * THRESHOLD)
     for frame in frames:
-        if len(frame):
-            a, b = _matrix(frame["vector_a"]), _matrix(frame["vector_b"])
+        for _, part in frame.groupby("dim"):
+            a, b = _matrix(part["vector_a"]), _matrix(part["vector_b"])
             d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a * b).sum(axis=1)))
-            frame = frame[d <= frame["reach_a"] + frame["reach_b"] + near + SLACK]
-        yield frame[["a", "b"]]
+            yield part[d <= part["reach_a"] + part["reach_b"] + near + SLACK][["a", "b"]]
 
 
 def _links_of(frame: pd.DataFrame) -> pd.DataFrame:
@@ -279,7 +278,7 @@ def linked_vectors(embeddings: DataFrame) -> DataFrame:
     roots = trees.where("place = 0").select("label", "dim", "block", "vector", F.col("reach")[0].alias("reach"))
     one = roots.withColumnsRenamed({"block": "a", "vector": "vector_a", "reach": "reach_a"})
     two = roots.withColumnsRenamed({"block": "b", "vector": "vector_b", "reach": "reach_b"})
-    couples = one.join(two, ["label", "dim"]).where("a <= b").drop("label", "dim")
+    couples = one.join(two, ["label", "dim"]).where("a <= b").drop("label")
     couples = written(couples.mapInPandas(_near_blocks, "a long, b long"), "couples")
     member = ["node", "copies", "vector", "place", "level", "parent", "reach"]
     left = trees.join(couples.select(F.col("a").alias("block"), "a", "b"), "block").select("a", "b", F.lit(0).alias("side"), *member)

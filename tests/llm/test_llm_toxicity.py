@@ -54,7 +54,7 @@ def made(n=1500, seed=15):
     rng = random.Random(seed)
     docs, labels = [], []
     for i in range(n):
-        words = ["w" + "".join(rng.choice("aeioukrt") for _ in range(rng.randint(2, 6))) for _ in range(40)]
+        words = ["z" + "".join(rng.choice("aeioukrt") for _ in range(rng.randint(2, 6))) for _ in range(40)]
         toxic = rng.random() < 0.2
         if toxic:
             words[rng.randrange(40)] = rng.choice(["blockhead", "nitwit", "numskull"])
