@@ -43,6 +43,8 @@ ADDRESS = frozenset("you your youre u ur yourself du dich dir ihr euch tu te toi
 FEATURES = ["exact_abuse", "exact_quoted", "fuzzy_abuse", "fuzzy_quoted"]
 # Weights before labels speak: of a base rate, and of each feature.
 PRIOR = (-3.0, 4.0, 1.0, 3.0, 0.5)
+# What a misspelled hit counts, of an exact one, before labels speak.
+FUZZY_SHARE = 0.9
 
 
 def edits_allowed(term: str, stem: bool) -> int:
@@ -255,9 +257,9 @@ def _design(counts: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(counts)), np.log1p(counts)])
 
 
-def fit_weights(counts: np.ndarray, labels: np.ndarray, times: np.ndarray) -> np.ndarray:
+def fit_weights(counts: np.ndarray, labels: np.ndarray, times: np.ndarray, prior: np.ndarray = PRIOR) -> np.ndarray:
     """Logistic regression with a Gaussian prior by Newton steps; rows count ``times`` each."""
-    x, prior = _design(counts), np.array(PRIOR)
+    x, prior = _design(counts), np.array(prior)
     w = prior.copy()
     ridge = np.diag([1e-3, *[0.3] * counts.shape[1]])
     for _ in range(30):
@@ -294,7 +296,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         # Nothing to tell apart: every text gets the share of the one label seen.
         return [], [], [-6.0 if not len(grouped) or grouped["toxic"].iloc[0] == 0 else 6.0, 0.0, 0.0, 0.0, 0.0]
     grouped = grouped.sort_values([*FEATURES, "toxic"])
-    weights = fit_weights(grouped[FEATURES].to_numpy(float), grouped["toxic"].to_numpy(float), grouped["count"].to_numpy(float))
+    data = [grouped[c].to_numpy(float) for c in (FEATURES, "toxic", "count")]
+    exact = fit_weights(*data)[1:3]
+    weights = fit_weights(*data, prior=np.array([*PRIOR[:3], *exact * FUZZY_SHARE]))
     # A hit never speaks for a text.
     return terms, exceptions, [float(weights[0]), *np.maximum(weights[1:], 0.0).tolist()]
 
