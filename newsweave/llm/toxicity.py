@@ -44,7 +44,7 @@ FEATURES = ["exact_abuse", "exact_quoted", "fuzzy_abuse", "fuzzy_quoted"]
 # Weights before labels speak: of a base rate, and of each feature.
 PRIOR = (-3.0, 4.0, 1.0, 3.0, 0.5)
 # What a misspelled hit counts, of an exact one, before labels speak.
-FUZZY_SHARE = 0.9
+FUZZY_SHARE = 0.3
 
 
 def edits_allowed(term: str, stem: bool) -> int:
