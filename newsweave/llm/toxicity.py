@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,8 +44,8 @@ ADDRESS = frozenset("you your youre u ur yourself du dich dir ihr euch tu te toi
 FEATURES = ["exact_abuse", "exact_quoted", "fuzzy_abuse", "fuzzy_quoted"]
 # Weights before labels speak: of a base rate, and of each feature.
 PRIOR = (-3.0, 4.0, 1.0, 3.0, 0.5)
-# What a misspelled hit counts, of an exact one, before labels speak.
-FUZZY_SHARE = 0.3
+# Letters that a misspelling for the fit puts in.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def edits_allowed(term: str, stem: bool) -> int:
@@ -54,18 +55,29 @@ def edits_allowed(term: str, stem: bool) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
+def _shorter(word: str) -> list[str]:
+    """The word without one of its letters."""
+    return [word[:i] + word[i + 1 :] for i in range(len(word))]
+
+
+def _replaced(word: str) -> list[str]:
+    """The word with each letter open; words have no ``*``."""
+    return [f"{word[:i]}*{word[i + 1 :]}" for i in range(len(word))]
+
+
 class Automaton:
     """Accepts words within the allowed edits of a term; a stem accepts any ending.
 
     A state is a set of (trie node, edits so far); transitions are kept as they are found.
     """
 
-    def __init__(self, terms: list[tuple[str, bool]], exceptions: list[str] = ()):
+    def __init__(self, terms: list[tuple[str, bool]], exceptions: list[str] = (), wider: int = 0):
         self.exceptions = frozenset(exceptions)
+        self.beside = frozenset(x for e in self.exceptions for x in (*_shorter(e), *_replaced(e)))
         self.children: list[dict[str, int]] = [{}]
         self.limit, self.whole, self.stem = [0], [-1], [-1]
         for term, stem in terms:
-            node, most = 0, edits_allowed(term, stem)
+            node, most = 0, edits_allowed(term, stem) + wider
             self.limit[0] = max(self.limit[0], most)
             for c in term:
                 if c not in self.children[node]:
@@ -140,7 +152,7 @@ class Automaton:
                 if state == self.dead:
                     break
             known = self.accepts[state]
-            if known and word in self.exceptions:
+            if known and (word in self.exceptions or 1 < known < 9 and self._beside_exception(word)):
                 known = 9
             if len(self.words) >= REMEMBERED:
                 self.words.clear()
@@ -148,6 +160,15 @@ class Automaton:
         return known if known < 9 else None
 
 
+    def _beside_exception(self, word: str) -> bool:
+        """Whether an exception is one edit away: nearer than a term two edits away."""
+        return (
+            word in self.beside
+            or not self.exceptions.isdisjoint(_shorter(word))
+            or not self.beside.isdisjoint(_replaced(word))
+        )
+
+
 def features(text: str | None, automaton: Automaton) -> tuple[int, int, int, int]:
     """Hits by exactness and by context: 0 for a null or empty text."""
     if not text:
@@ -174,6 +195,23 @@ def features(text: str | None, automaton: Automaton) -> tuple[int, int, int, int
     return tuple(counts)
 
 
+def misspelled(text: str, automaton: Automaton) -> str:
+    """The text in small letters with one edit in each word that is a hit as it stands.
+
+    The edit (a letter dropped, doubled or replaced, not the first) is told by word and place.
+    """
+
+    def typo(m: re.Match) -> str:
+        word = m[0]
+        if automaton.edits(word) != 0 or len(word) < 2:
+            return word
+        pick = zlib.crc32(f"{word} {m.start()}".encode())
+        at, letter = 1 + pick % (len(word) - 1), LETTERS[pick // 64 % 26]
+        return word[:at] + ("", word[at] * 2, letter)[pick // 4096 % 3] + word[at + 1 :]
+
+    return WORD.sub(typo, text.lower())
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(toxic, text) of about FIT_ROWS labelled rows of the training folds."""
     train = (
@@ -209,7 +247,9 @@ def lexicon(sample: DataFrame) -> tuple[list[tuple[str, bool]], list[str]]:
 
     Terms come from document counts of words and of their beginnings.  A stem stands for its
     words where they are many and the stem itself is as telling; the shortest such stem is
-    taken.  At most MOST_TERMS and MOST_EXCEPTIONS rows reach the driver.
+    taken.  Exceptions are words of clean documents that a term reaches, and those one edit
+    further, as a word between both is more likely theirs.  At most MOST_TERMS and
+    MOST_EXCEPTIONS rows reach the driver.
     """
     counts = written(
         sample.mapInPandas(_term_counts, "term string, toxic long, clean long")
@@ -245,12 +285,15 @@ def lexicon(sample: DataFrame) -> tuple[list[tuple[str, bool]], list[str]]:
 
     def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = Automaton(terms)
+        wide = Automaton([t for t in terms if edits_allowed(*t) > 1], wider=1)
         for frame in frames:
-            yield frame[[bool(automaton.edits(w)) for w in frame["term"]]]
+            frame["direct"] = [bool(automaton.edits(w)) for w in frame["term"]]
+            yield frame[[d or bool(wide.edits(w)) for d, w in zip(frame["direct"], frame["term"], strict=True)]]
 
     harmless = counts.where(~F.col("term").endswith("*") & (F.col("clean") > 0) & (F.col("toxic") <= F.col("clean")))
-    exceptions = harmless.select("term", "clean").mapInPandas(near, "term string, clean long")
-    return terms, [r["term"] for r in exceptions.orderBy(F.desc("clean"), "term").limit(MOST_EXCEPTIONS).collect()]
+    exceptions = harmless.select("term", "clean").mapInPandas(near, "term string, clean long, direct boolean")
+    best = exceptions.orderBy(F.desc("direct"), F.desc("clean"), "term").limit(MOST_EXCEPTIONS)
+    return terms, [r["term"] for r in best.collect()]
 
 
 def _design(counts: np.ndarray) -> np.ndarray:
@@ -285,10 +328,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = Automaton(*shared.value)
         for frame in frames:
-            found = np.array([features(t, automaton) for t in frame["text"]], np.int64).reshape(-1, 4)
+            texts, toxic = list(frame["text"]), (frame["toxic"].to_numpy() > 0).astype(np.int64)
+            found = np.array([features(t, automaton) for t in texts], np.int64).reshape(-1, 4)
+            # Labelled texts seldom have misspelled hits: those with exact ones count once more, misspelled.
+            exact = np.flatnonzero(found[:, :2].sum(axis=1))
+            typos = np.array([features(misspelled(texts[i], automaton), automaton) for i in exact], np.int64).reshape(-1, 4)
+            caught = typos[:, 2:].sum(axis=1) > 0
+            found, toxic = np.concatenate([found, typos[caught]]), np.concatenate([toxic, toxic[exact[caught]]])
             # Counts over 20 weigh alike, which keeps the combinations few.
-            out = pd.DataFrame(np.minimum(found, 20), columns=FEATURES)
-            yield out.assign(toxic=(frame["toxic"].to_numpy() > 0).astype(np.int64))
+            yield pd.DataFrame(np.minimum(found, 20), columns=FEATURES).assign(toxic=toxic)
 
     schema = ", ".join(f"{c} long" for c in [*FEATURES, "toxic"])
     grouped = sample.mapInPandas(rows, schema).groupBy(*FEATURES, "toxic").count().toPandas()
@@ -296,9 +344,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         # Nothing to tell apart: every text gets the share of the one label seen.
         return [], [], [-6.0 if not len(grouped) or grouped["toxic"].iloc[0] == 0 else 6.0, 0.0, 0.0, 0.0, 0.0]
     grouped = grouped.sort_values([*FEATURES, "toxic"])
-    data = [grouped[c].to_numpy(float) for c in (FEATURES, "toxic", "count")]
-    exact = fit_weights(*data)[1:3]
-    weights = fit_weights(*data, prior=np.array([*PRIOR[:3], *exact * FUZZY_SHARE]))
+    weights = fit_weights(*(grouped[c].to_numpy(float) for c in (FEATURES, "toxic", "count")))
     # A hit never speaks for a text.
     return terms, exceptions, [float(weights[0]), *np.maximum(weights[1:], 0.0).tolist()]
 

@@ -79,6 +79,20 @@ def test_catches_terms_and_misspellings(spark):
     assert scores(df.limit(0), model).count() == 0
 
 
+def test_single_misspelled_term_is_enough(spark):
+    docs, labels = made()
+    model = fit(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS))
+    odd = [(0, "you blokhead", ""), (1, "a nitwitt", ""), (2, "numzkull here", ""), (3, "nothing here", "")]
+    found = {r.doc_id: r.toxicity >= 0.5 for r in scores(spark.createDataFrame(odd, DOCS), model).collect()}
+    assert found == {0: True, 1: True, 2: True, 3: False}
+
+
+def test_words_beside_exceptions():
+    automaton = Automaton([("blockhead", False)], ["brickhead"])
+    words = ["blockhead", "blokhead", "blokheat", "brockhead", "brikhead", "brickheads", "brickhead", "blickheat"]
+    assert [automaton.edits(w) for w in words] == [0, 1, 2, 1, None, None, None, 2]
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1, 0)], [(1, 1, None)]])
 def test_without_both_labels(spark, labels):
     df = spark.createDataFrame([(1, "a b", ""), (2, None, "")], DOCS)
