@@ -245,10 +245,10 @@ def _term_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def lexicon(sample: DataFrame) -> tuple[list[tuple[str, bool]], list[str]]:
     """Terms with whether they are stems, and words that look like misspelled terms but aren't.
 
-    Terms come from document counts of words and of their beginnings.  A stem stands for its
-    words where they are many and the stem itself is as telling; the shortest such stem is
+    Terms come from document counts of words and of their beginnings.  A stem is a term beside
+    its words where they are many and the stem itself is as telling; the shortest such stem is
     taken.  Exceptions are words of clean documents that a term reaches, and those one edit
-    further, as a word between both is more likely theirs.  At most MOST_TERMS and
+    further, as a word between both is more likely theirs.  At most twice MOST_TERMS and
     MOST_EXCEPTIONS rows reach the driver.
     """
     counts = written(
@@ -280,8 +280,17 @@ def lexicon(sample: DataFrame) -> tuple[list[tuple[str, bool]], list[str]]:
         family = max((docs_with[w] for w in words if w.startswith(stem)), default=0)
         if not any(stem.startswith(s) for s in stems) and family < 0.6 * docs_with[stem + "*"]:
             stems.append(stem)
-    whole = [w for w in words if not any(w.startswith(s) for s in stems)]
-    terms = [(s, True) for s in stems] + [(w, False) for w in sorted(whole)]
+    # A stem allows fewer edits than its words do, so those stay terms as well, with or without evidence of their own.
+    family = F.lit(False)
+    for k in STEM_LENGTHS:
+        family = family | F.substring("term", 1, k).isin([s for s in stems if len(s) == k])
+    relatives = (
+        counts.where(~F.col("term").endswith("*") & (p > 0) & (p >= LEAST_SHARE * (p + n)) & family)
+        .orderBy(F.desc("toxic"), "term")
+        .limit(MOST_TERMS)
+        .collect()
+    )
+    terms = [(s, True) for s in stems] + [(w, False) for w in sorted({*words, *(r["term"] for r in relatives)})]
 
     def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = Automaton(terms)

@@ -87,6 +87,18 @@ def test_single_misspelled_term_is_enough(spark):
     assert found == {0: True, 1: True, 2: True, 3: False}
 
 
+def test_misspelling_inside_a_stem(spark):
+    docs, labels = made()
+    rng = random.Random(16)
+    ends = ["head", "heads", "heading", "headed", "ette", "ettes", "ishly", "ishness"]
+    docs = [(i, text.replace(word, "block" + rng.choice(ends)), x) for i, text, x in docs for word in [next((w for w in text.split() if w[0] != "z"), "-")]]
+    terms, _, _ = model = fit(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS))
+    assert any(stem and "blockhead".startswith(term) for term, stem in terms) and ("blockheading", False) in terms
+    odd = [(0, "you blockhead", ""), (1, "you blpckhead", ""), (2, "a blckishness", ""), (3, "blockxyz here", ""), (4, "nothing here", "")]
+    found = {r.doc_id: r.toxicity >= 0.5 for r in scores(spark.createDataFrame(odd, DOCS), model).collect()}
+    assert found == {0: True, 1: True, 2: True, 3: True, 4: False}
+
+
 def test_words_beside_exceptions():
     automaton = Automaton([("blockhead", False)], ["brickhead"])
     words = ["blockhead", "blokhead", "blokheat", "brockhead", "brikhead", "brickheads", "brickhead", "blickheat"]
