@@ -53,6 +53,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(secret_scan.count_of("base", kind).alias(f"n_{kind}") for kind in secret_scan.KINDS),
         F.sha2(secret_scan.digest_text("base"), 256).alias("base_sha256"),
         secret_scan.digest_text("spans").alias("spans"),
+        "unopened",
     )
 
 

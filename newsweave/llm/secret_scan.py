@@ -3,7 +3,8 @@
 A worklist begins with the text.  Every layer is scanned, then unwrapped: URL and Unicode
 escapes are decoded in place, base64 tokens, compressed or not, become layers of their own.
 Layers seen before are left, so the list ends.  Spans are positions in the original text; a
-span inside a base64 token is the token.
+span inside a base64 token is the token.  What a token holds is read in pieces, cut where no
+secret or code can go on, so its size doesn't matter.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
-import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +36,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-# A decompressed layer holds at most this many bytes; larger ones are counted as unopened.
+# A layer is read in pieces of at most this many bytes.  They end at a byte that no pattern has; a layer without one in so
+# many bytes is cut anyway, with the last OVERLAP bytes read again, and counted as not opened whole.
 MOST_BYTES = 16 * 1024 * 1024
+OVERLAP = 64 * 1024
+NEUTRAL = re.compile(rb"[^A-Za-z0-9+/_.=\x20:\"'%\\-]")
+# Compressed data is read, and content given out, about so many bytes at once.
+CHUNK = 256 * 1024
 
 
 def scan(text: str) -> Iterator[tuple[int, int, int]]:
@@ -91,54 +98,188 @@ def _decoded_in_place(text: str, pattern: re.Pattern, chars) -> tuple[str, np.nd
     return "".join([*parts, text[at:]]), np.concatenate(starts), np.concatenate(ends)
 
 
-class TooLarge(Exception):
-    """A layer over MOST_BYTES."""
+class _Zstandard:
+    """A Zstandard frame, read like the other kinds.
 
+    Little is fed at once, as this decompressor doesn't bound what it gives back.
+    """
 
-def _bounded(decompressor, data: bytes) -> bytes:
-    out = decompressor.decompress(data, MOST_BYTES + 1)
-    if len(out) > MOST_BYTES:
-        raise TooLarge
-    return out
+    def __init__(self):
+        self.frame, self.data, self.at = zstandard.ZstdDecompressor().decompressobj(), b"", 0
 
+    @property
+    def eof(self) -> bool:
+        return self.frame.eof
 
-def _decompressed(data: bytes) -> bytes | None:
-    """The content of compressed data, told by its first bytes; None for other data."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return _bounded(zlib.decompressobj(31), data)
-        if data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0:
-            return _bounded(zlib.decompressobj(), data)
-        if data[:3] == b"BZh":
-            return _bounded(bz2.BZ2Decompressor(), data)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return _bounded(lzma.LZMADecompressor(), data)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(MOST_BYTES + 1)
-            if len(out) > MOST_BYTES:
-                raise TooLarge
-            return out
-    except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError):
-        pass
+    @property
+    def needs_input(self) -> bool:
+        return self.at >= len(self.data)
+
+    @property
+    def unused_data(self) -> bytes:
+        return self.frame.unused_data + self.data[self.at :]
+
+    def decompress(self, data: bytes, most: int) -> bytes:
+        if data:
+            self.data, self.at = self.data[self.at :] + data, 0
+        fed = self.data[self.at : self.at + 256]
+        self.at += len(fed)
+        return self.frame.decompress(fed)
+
+
+class _Deflate:
+    """A gzip member or zlib stream, read like the other kinds."""
+
+    def __init__(self, bits: int):
+        self.stream = zlib.decompressobj(bits)
+
+    @property
+    def eof(self) -> bool:
+        return self.stream.eof
+
+    @property
+    def needs_input(self) -> bool:
+        return not self.stream.unconsumed_tail
+
+    @property
+    def unused_data(self) -> bytes:
+        return self.stream.unused_data
+
+    def decompress(self, data: bytes, most: int) -> bytes:
+        return self.stream.decompress(self.stream.unconsumed_tail + data, most)
+
+
+def _decompressor(head: bytes):
+    """What reads compressed data, told by its first bytes; None for other data."""
+    if head[:2] == b"\x1f\x8b":
+        return _Deflate(31)
+    if head[:1] == b"\x78" and len(head) > 1 and (head[0] * 256 + head[1]) % 31 == 0:
+        return _Deflate(15)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return _Zstandard()
     return None
 
 
-def _from_base64(token: str) -> str | None:
-    """The text that a token encodes, decompressed as often as needed; None where it is no text."""
+def _members(data: Iterator[bytes]) -> Iterator[bytes]:
+    """The content of compressed members, one after the other, and as it is what isn't one."""
+    rest, padded = b"", False
+    while True:
+        while len(rest) < 6 and (more := next(data, None)) is not None:
+            rest += more
+        if padded and _decompressor(bare := rest.lstrip(b"\0")):
+            rest = bare
+        if (member := _decompressor(rest)) is None:
+            break
+        taken, given, more = rest, False, rest
+        try:
+            while not member.eof:
+                out = member.decompress(more, CHUNK)
+                if out:
+                    given, taken = True, b""
+                    yield out
+                more = b""
+                if member.needs_input and not member.eof:
+                    more = next(data, b"")
+                    taken += b"" if given else more
+                    if not more and not out:
+                        # cut short
+                        return
+        except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError):
+            rest = taken
+            break
+        # There may be zeros between members.
+        rest, padded = member.unused_data, True
+    if rest:
+        yield rest
+    yield from data
+
+
+def _content(data: bytes) -> Iterator[bytes]:
+    """The bytes of a token in chunks, decompressed as often as needed."""
+    chunks: Iterator[bytes] = iter([data])
+    before = set()
+    while True:
+        head = []
+        size = 0
+        for chunk in chunks:
+            head.append(chunk)
+            size += len(chunk)
+            if size >= CHUNK:
+                break
+        first = b"".join(head)
+        if _decompressor(first) is None:
+            if first:
+                yield first
+            yield from chunks
+            return
+        # Data that holds itself has nothing new.
+        digest = xxhash.xxh3_128_digest(first)
+        if digest in before:
+            return
+        before.add(digest)
+        chunks = _members(itertools.chain([first], chunks))
+
+
+def _pieces(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
+    """The bytes in pieces that can be read by themselves, and whether one was cut where it shouldn't be."""
+    held: list[bytes] = []
+    size = 0
+    for chunk in chunks:
+        for at in range(0, len(chunk), max(MOST_BYTES // 2, 1)):
+            part = chunk[at : at + max(MOST_BYTES // 2, 1)]
+            held.append(part)
+            size += len(part)
+            if size < MOST_BYTES:
+                continue
+            data = b"".join(held)
+            ends = next((m.end() for m in _backwards(data)), 0)
+            if ends:
+                yield data[:ends], False
+                data = data[ends:]
+            else:
+                yield data, True
+                data = data[-min(OVERLAP, MOST_BYTES // 2) :]
+            held, size = [data], len(data)
+    if size:
+        yield b"".join(held), False
+
+
+def _backwards(data: bytes) -> Iterator[re.Match]:
+    """The last neutral byte of the data, looked for from its end."""
+    step = 4096
+    for end in range(len(data), 0, -step):
+        found = None
+        for found in NEUTRAL.finditer(data, max(0, end - step), end):
+            pass
+        if found:
+            yield found
+
+
+def _token_bytes(token: str) -> bytes | None:
+    """The bytes that a base64 token stands for."""
     bare = token.rstrip("=").translate(str.maketrans("-_", "+/"))
     if len(bare) % 4 == 1:
         return None
     try:
-        data = base64.b64decode(bare + "=" * (-len(bare) % 4), validate=True)
+        return base64.b64decode(bare + "=" * (-len(bare) % 4), validate=True)
     except binascii.Error:
         return None
-    before = set()
-    while (more := _decompressed(data)) is not None:
-        digest = hashlib.sha256(data).digest()
-        if digest in before:
-            return None
-        before.add(digest)
-        data = more
+
+
+def _from_base64(token: str) -> Iterator[tuple[str, bool]]:
+    """The text that a token encodes, in pieces, and whether one was cut where it shouldn't be."""
+    data = _token_bytes(token)
+    for piece, cut in _pieces(_content(data)) if data else ():
+        text = _as_text(piece)
+        if text:
+            yield text, cut
+
+
+def _as_text(data: bytes) -> str | None:
     try:
         text = data.decode()
     except UnicodeDecodeError:
@@ -146,41 +287,57 @@ def _from_base64(token: str) -> str | None:
     return text if all(c.isprintable() or c in "\t\r\n" for c in text) else None
 
 
+Layer = tuple[str, np.ndarray | None, np.ndarray | None]
+
+
+def _inside(layer: str, starts: np.ndarray | None, ends: np.ndarray | None) -> Iterator[tuple[Layer, bool]]:
+    """The layers in a layer, one at a time, and whether a token was first found to be cut."""
+    fresh = []
+    if "%" in layer:
+        fresh.append(_decoded_in_place(layer, URL_RUN, _url_chars))
+    if "\\" in layer:
+        fresh.append(_decoded_in_place(layer, UNICODE_RUN, _unicode_chars))
+    for new in fresh:
+        if new is not None and new[0]:
+            yield (new if starts is None else (new[0], starts[new[1]], ends[new[2] - 1])), False
+    for m in BASE64.finditer(layer):
+        start = m.start() if starts is None else int(starts[m.start()])
+        end = m.end() if ends is None else int(ends[m.end() - 1])
+        whole = True
+        for inner, cut in _from_base64(m[0]):
+            # All of it is at the token; the arrays take no memory.
+            yield (inner, np.broadcast_to(start, len(inner)), np.broadcast_to(end, len(inner))), cut and whole
+            whole = whole and not cut
+
+
 def secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
-    """Base spans and all spans (start, kind, end), sorted, and how many layers were too large to open."""
+    """Base spans and all spans (start, kind, end), sorted, and how many layers couldn't be cut well."""
     text = text or ""
     base = sorted(scan(text))
     found, unopened = set(base), 0
-    work: list[tuple[str, np.ndarray | None, np.ndarray | None]] = [(text, None, None)]
+    work = [_inside(text, None, None)]
     # Equal layers at different places are different secrets; one that returns to itself isn't new.
-    seen = {(text, 0)}
+    seen = {(_digest(text), 0)}
     while work:
-        layer, starts, ends = work.pop()
-        if starts is not None:
-            found.update((int(starts[s]), k, int(ends[e - 1])) for s, k, e in scan(layer))
-        fresh = []
-        if "%" in layer:
-            fresh.append(_decoded_in_place(layer, URL_RUN, _url_chars))
-        if "\\" in layer:
-            fresh.append(_decoded_in_place(layer, UNICODE_RUN, _unicode_chars))
-        for m in BASE64.finditer(layer):
-            try:
-                inner = _from_base64(m[0])
-            except TooLarge:
-                unopened += 1
-                continue
-            if inner:
-                fresh.append((inner, np.full(len(inner), m.start()), np.full(len(inner), m.end())))
-        for new in fresh:
-            if new is None or not new[0]:
-                continue
-            inner, s, e = new if starts is None else (new[0], starts[new[1]], ends[new[2] - 1])
-            if (inner, int(s[0])) not in seen:
-                seen.add((inner, int(s[0])))
-                work.append((inner, s, e))
+        step = next(work[-1], None)
+        if step is None:
+            work.pop()
+            continue
+        (layer, starts, ends), cut = step
+        unopened += cut
+        key = (_digest(layer), int(starts[0]))
+        if key in seen:
+            continue
+        seen.add(key)
+        found.update((int(starts[s]), k, int(ends[e - 1])) for s, k, e in scan(layer))
+        work.append(_inside(layer, starts, ends))
     return base, sorted(found), unopened
 
 
+def _digest(layer: str) -> bytes:
+    return xxhash.xxh3_128_digest(layer.encode("utf-8", "surrogatepass"))
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
     named = lambda spans: [{"start": s, "kind": KINDS[k], "end": e} for s, k, e in spans]
@@ -202,8 +359,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     ``base`` are the secrets in the text itself, ``spans`` those and the ones in decoded
     layers: (start, kind, end) in code points of the text, end exclusive, by start, then
-    kind.  Null and empty texts have none.  ``unopened`` counts layers over 16 MB.  Rows are
-    independent, so null and repeated ids don't matter; only doc_id and text are read.
+    kind.  Null and empty texts have none.  ``unopened`` counts layers
+    with 16 MB on end without a byte to cut at.  Rows are independent, so null and repeated ids don't matter; only doc_id and text are read.
     """
     bounded_batches(docs.sparkSession)
     span = "array<struct<start:int,kind:string,end:int>>"

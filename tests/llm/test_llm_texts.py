@@ -1,7 +1,9 @@
 """Decontamination, personal data and secrets against brute force over small texts."""
 
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import re
 import zlib
@@ -9,6 +11,7 @@ from urllib.parse import quote
 
 import pandas as pd
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from newsweave.llm import decontaminate, pii, secret_scan
@@ -179,6 +182,32 @@ def test_large_layers_are_counted(monkeypatch):
     assert secret_scan.secrets(b64(gzip.compress(b"a" * 5000)))[2] == 1
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_later_members(pack):
+    hidden = [b"nothing much", b"token=" + b"g" * 30, KEY.encode(), b"f" * 30]
+    for after in (pack(hidden[3]), hidden[3]):
+        text = "x " + b64(b"".join(pack(h) for h in hidden[:3]) + after)
+        _, spans, unopened = secret_scan.secrets(text)
+        assert {k for _, k, _ in spans} == {0, 1, 2} and not unopened
+        assert {text[s:e] for s, _, e in spans} == {text.split()[1]}
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_large_layers_are_read_whole(monkeypatch, pack):
+    monkeypatch.setattr(secret_scan, "MOST_BYTES", 1000)
+    lines = [f"line {i}, of no use" for i in range(2000)]
+    lines[700], lines[1999] = f"secret: {'%41' * 8}", f"so {b64('the ' + KEY)}"
+    lines[1200] = f"{b64(pack((chr(10).join(lines[:20]) + ' token=abcdefgh').encode()))}"
+    _, spans, unopened = secret_scan.secrets(b64(pack("\n".join(lines).encode())))
+    assert {k for _, k, _ in spans} == {0, 1} and not unopened
+
+
+def test_truncated_members():
+    rng = random.Random(1)
+    packed = gzip.compress(("password=hunter22 " + " ".join(str(rng.random()) for _ in range(900))).encode())
+    assert [k for _, k, _ in secret_scan.secrets(b64(packed[: len(packed) // 2]))[1]] == [0]
+
+
 def test_base_secrets(spark):
     texts = [
         None, "", 'PASSWORD = "abc123" token:abcde secret:=x', "api-key: abcdefg, apikey='abcdefg', ſecret: abcdefg", f"{KEY} {KEY[:19]}",
