@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import itertools
 import lzma
 import re
@@ -58,22 +59,18 @@ def scan(text: str) -> Iterator[tuple[int, int, int]]:
         yield m.start(), 2, m.end()
 
 
-def _url_chars(run: str) -> list[tuple[str, int]] | None:
-    """The characters of a run of URL escapes, with the length of each in the run."""
-    try:
-        return [(c, 3 * len(c.encode())) for c in bytes.fromhex(run.replace("%", "")).decode()]
-    except UnicodeDecodeError:
-        return None
+def _url_chars(run: str) -> list[tuple[str, int]]:
+    """The characters of a run of URL escapes, with the length of each in the run; invalid bytes are U+FFFD."""
+    decoded = bytes.fromhex(run.replace("%", "")).decode(errors="surrogateescape")
+    return [("\ufffd", 3) if "\udc80" <= c <= "\udcff" else (c, 3 * len(c.encode())) for c in decoded]
 
 
-def _unicode_chars(run: str) -> list[tuple[str, int]] | None:
+def _unicode_chars(run: str) -> list[tuple[str, int]]:
+    """Likewise for Unicode escapes, with U+FFFD for lone surrogates."""
     if run[1] == "x":
         return [(chr(int(h, 16)), 4) for h in run.split("\\x")[1:]]
-    try:
-        decoded = b"".join(bytes.fromhex(h) for h in run.split("\\u")[1:]).decode("utf-16-be")
-    except UnicodeDecodeError:
-        return None
-    return [(c, 12 if ord(c) > 0xFFFF else 6) for c in decoded]
+    decoded = b"".join(bytes.fromhex(h) for h in run.split("\\u")[1:]).decode("utf-16-be", "surrogatepass")
+    return [("\ufffd", 6) if "\ud800" <= c <= "\udfff" else (c, 12 if ord(c) > 0xFFFF else 6) for c in decoded]
 
 
 def _decoded_in_place(text: str, pattern: re.Pattern, chars) -> tuple[str, np.ndarray, np.ndarray] | None:
@@ -81,8 +78,6 @@ def _decoded_in_place(text: str, pattern: re.Pattern, chars) -> tuple[str, np.nd
     parts, starts, ends, at = [], [], [], 0
     for m in pattern.finditer(text):
         found = chars(m[0])
-        if found is None:
-            continue
         starts.append(np.arange(at, m.start()))
         ends.append(np.arange(at + 1, m.start() + 1))
         parts.append(text[at : m.start()])
@@ -212,9 +207,7 @@ def _content(data: bytes) -> Iterator[bytes]:
                 break
         first = b"".join(head)
         if _decompressor(first) is None:
-            if first:
-                yield first
-            yield from chunks
+            yield from _bytes_of_text(first, chunks)
             return
         # Data that holds itself has nothing new.
         digest = xxhash.xxh3_128_digest(first)
@@ -224,6 +217,30 @@ def _content(data: bytes) -> Iterator[bytes]:
         chunks = _members(itertools.chain([first], chunks))
 
 
+def _utf_16(head: bytes) -> str | None:
+    """The kind of UTF-16 that data begins with: by its mark, or where NULs alternate."""
+    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16-le" if head[0] == 0xFF else "utf-16-be"
+    head = head[: len(head[:4096]) // 2 * 2]
+    even, odd, pairs = head[::2].count(0), head[1::2].count(0), len(head) // 2
+    if pairs and max(even, odd) > 0.5 * pairs and min(even, odd) < 0.1 * pairs:
+        return "utf-16-le" if odd > even else "utf-16-be"
+    return None
+
+
+def _bytes_of_text(first: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
+    """Data with UTF-16 made single bytes; ``?`` for other characters, which no pattern has."""
+    kind = _utf_16(first)
+    if kind is None:
+        if first:
+            yield first
+        yield from rest
+        return
+    decoder = codecs.getincrementaldecoder(kind)("replace")
+    for chunk in itertools.chain([first], rest):
+        yield decoder.decode(chunk).encode("latin-1", "replace")
+
+
 def _pieces(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
     """The bytes in pieces that can be read by themselves, and whether one was cut where it shouldn't be."""
     held: list[bytes] = []
@@ -273,18 +290,9 @@ def _token_bytes(token: str) -> bytes | None:
 def _from_base64(token: str) -> Iterator[tuple[str, bool]]:
     """The text that a token encodes, in pieces, and whether one was cut where it shouldn't be."""
     data = _token_bytes(token)
+    # Patterns are of ASCII characters alone, so other bytes may be read as any others.
     for piece, cut in _pieces(_content(data)) if data else ():
-        text = _as_text(piece)
-        if text:
-            yield text, cut
-
-
-def _as_text(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\r\n" for c in text) else None
+        yield piece.decode("latin-1"), cut
 
 
 Layer = tuple[str, np.ndarray | None, np.ndarray | None]

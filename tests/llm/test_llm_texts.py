@@ -202,6 +202,27 @@ def test_large_layers_are_read_whole(monkeypatch, pack):
     assert {k for _, k, _ in spans} == {0, 1} and not unopened
 
 
+LINE = "user é; secret: abcdef1"
+ODD_DATA = [
+    "\ufeff" + LINE, "\xa0" + LINE, "\xad\u200d" + LINE, "\f" + LINE, "\0\0" + LINE, "\x1b[31m" + LINE, LINE.encode("latin-1"),
+    LINE.encode("utf-16"), LINE.encode("utf-16-le"), LINE.encode("utf-16-be"), ("😀 " + LINE).encode("utf-16"), b"\xe9 " + b64(LINE.encode("utf-16-le")).encode(),
+]
+
+
+@pytest.mark.parametrize("data", ODD_DATA)
+def test_odd_characters_hide_nothing(data):
+    for text in (f"a {b64(data)} b", f"a {b64(gzip.compress(data if isinstance(data, bytes) else data.encode()))} b"):
+        assert [text[s:e] for s, _, e in secret_scan.secrets(text)[1]] == [text.split()[1]]
+
+
+@pytest.mark.parametrize("before, after", [("%E9", ""), ("", "%ff%C3"), ("\\ud83d", ""), ("", "\\udc00\\ud83d\\ude00")])
+def test_odd_escapes_hide_nothing(before, after):
+    hidden = "token=abcdefgh"
+    coded = "".join(f"\\u{ord(c):04x}" if "\\" in before + after else f"%{ord(c):02x}" for c in hidden)
+    text = f"é {before}{coded}{after} end"
+    assert [text[s:e] for s, _, e in secret_scan.secrets(text)[1]] == [coded]
+
+
 def test_truncated_members():
     rng = random.Random(1)
     packed = gzip.compress(("password=hunter22 " + " ".join(str(rng.random()) for _ in range(900))).encode())
