@@ -23,8 +23,9 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"[A-Z0-9]{15,}+",
-    "ssn": r"[0-9-]{11,}+",
+    # Where an account number may begin; its end is told by mod-97.
+    "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?=(?:[ -]?[A-Z0-9]){11})",
+    "ssn": r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
 }
 # A cheap test that a text without a match mostly fails.
 _GATES = {
@@ -32,7 +33,7 @@ _GATES = {
     "ip": lambda t: t.rlike(r"[0-9]\.[0-9]++\.[0-9]"),
     "card": lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){15}"),
     "phone": lambda t: t.contains("+"),
-    "iban": lambda t: t.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"),
+    "iban": lambda t: t.rlike(PATTERNS["iban"]),
     "ssn": lambda t: t.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"),
 }
 _SCORES = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
@@ -105,14 +106,42 @@ def _valid(kind: str, match: Column) -> Column:
         return F.when(F.char_length(digits).between(16, 19), luhn(digits)).otherwise(False)
     if kind == "phone":
         return F.char_length(F.regexp_replace(match, "[^0-9]", "")).between(8, 15)
-    if kind == "iban":
-        shaped = match.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$")
-        return F.when(shaped, mod97(match)).otherwise(False)
-    if kind == "ssn":
-        return match.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
     return F.lit(True)
 
 
+def ibans(text: Column) -> Column:
+    """Array of (start, end, match) of the account numbers, with single spaces or hyphens between their groups or none.
+
+    A number without separators is taken as it is.  One in groups may be followed by other
+    groups, so it ends at the last group with which it passes the check.
+    """
+
+    def number(x: Column) -> Column:
+        # 34 characters and 33 separators, and the character after them
+        window = F.regexp_extract(F.substring(text, x["start"] + 1, F.lit(68)), "^[A-Z0-9](?:[ -]?[A-Z0-9])*+", 0)
+        plain = F.char_length(F.regexp_extract(window, "^[A-Z0-9]*+", 0))
+        size = F.char_length(window)
+
+        def passes(n: Column) -> Column:
+            bare = F.translate(F.substring(window, F.lit(1), n), " -", "")
+            ends = F.substring(window, n, F.lit(1)).rlike("[A-Z0-9]") & ~F.substring(window, n + 1, F.lit(1)).rlike("[A-Z0-9]")
+            return F.when(ends & (n < 68) & F.char_length(bare).between(15, 34), mod97(bare)).otherwise(False)
+
+        # The lookahead of the pattern makes the window 15 characters at least.
+        ends = F.filter(F.concat(F.array(plain), F.sequence(size, F.lit(15), F.lit(-1))), passes)
+        length = F.get(ends, F.lit(0))
+        return F.struct(x["start"].alias("start"), (x["start"] + length).alias("end"), F.substring(window, F.lit(1), length).alias("match"))
+
+    found = F.filter(F.transform(located(text, PATTERNS["iban"]), number), lambda x: x["end"].isNotNull())
+    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+
+    def add(acc: Column, x: Column) -> Column:
+        before = F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0))
+        return F.when(x["start"] >= before, F.concat(acc, F.array(x))).otherwise(acc)
+
+    return F.aggregate(found, none, add)
+
+
 def _scored(text: Column, kind: str, span: Column) -> Column:
     before = F.greatest(span["start"] - CONTEXT, F.lit(0))
     near = F.lower(F.substring(text, before + 1, span["start"] - before))
@@ -123,7 +152,7 @@ def _scored(text: Column, kind: str, span: Column) -> Column:
 
 
 def _kind_spans(text: Column, kind: str) -> Column:
-    valid = F.filter(located(text, PATTERNS[kind]), lambda x: _valid(kind, x["match"]))
+    valid = ibans(text) if kind == "iban" else F.filter(located(text, PATTERNS[kind]), lambda x: _valid(kind, x["match"]))
     spans = F.transform(valid, lambda x: _scored(text, kind, x))
     if kind not in BASE_KINDS:
         spans = F.filter(spans, lambda x: x["score"] >= LEAST_SCORE)

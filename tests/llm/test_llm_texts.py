@@ -133,6 +133,26 @@ def test_no_ssn_without_context(spark):
     assert pii.personal_data(docs_of(spark, ["part number 078-05-1120"])).first().ssn == []
 
 
+PRINTED = [
+    ("IBAN DE89 3704 0044 0532 0130 00.", ["DE89 3704 0044 0532 0130 00"], []),
+    ("GB82-WEST-1234-5698-7654-32 BIC NWBKGB2L", ["GB82-WEST-1234-5698-7654-32"], []),
+    ("pay BE68 5390 0754 7034 NOW OR NEVER, 😀 DE89 37040044 0532013000", ["BE68 5390 0754 7034", "DE89 37040044 0532013000"], []),
+    ("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32", ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"], []),
+    ("DE89 3704 0044 0532 0130 01, DE89  3704 0044 0532 0130 00 XDE89370400440532013000 " + "DE89370400440532013000" * 3, [], []),
+    ("AB12 " * 500 + "DE89370400440532013000", ["DE89370400440532013000"], []),
+    ("my ssn-078-05-1120 or SSN 078-05-1120--, ssn 1078-05-1120 078-05-11203", [], ["078-05-1120"] * 2),
+]
+
+
+def test_printed_account_numbers_and_ssn(spark):
+    got = {r.doc_id: r for r in pii.personal_data(docs_of(spark, [t for t, _, _ in PRINTED])).collect()}
+    for i, (text, iban, ssn) in enumerate(PRINTED):
+        assert [text[x.start : x.end] for x in got[i].iban] == iban, text
+        assert [text[x.start : x.end] for x in got[i].ssn] == ssn, text
+    masked = {r.doc_id: r.text for r in pii.masked(docs_of(spark, [t for t, _, _ in PRINTED])).collect()}
+    assert masked[0] == "IBAN <IBAN>." and masked[6].startswith("my ssn-<SSN> or SSN <SSN>--")
+
+
 def test_masking(spark):
     docs = docs_of(spark, ["mail a@b.cd or +49 30 1234567 é", None, "", "nothing", "1.2.3.4"]).withColumn("text2", F.lit("a@b.cd"))
     rows = {r.doc_id: r for r in pii.masked(docs).collect()}
