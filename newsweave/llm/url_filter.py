@@ -29,8 +29,8 @@ LISTED = [
 ]
 LEAST_SUPPORT, LEAST_COUNT = 0.005, 5
 LEAST_CONFIDENCE, LEAST_LIFT = 0.8, 1.1
-# The index goes to every task: at most so many rules, of at most so many tokens.
-MOST_RULES, MOST_TOKENS = 2_000, 5
+# The index goes to every task up to so many rules; more are joined.
+MOST_RULES = 2_000
 BLOCK, ALLOW = "label=block", "label=allow"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,8 +78,14 @@ def _tokens(urls: pd.Series) -> pd.Series:
     return pd.Series([sorted(url_tokens(u)) for u in urls])
 
 
-def mined_rules(pages: DataFrame, labels: DataFrame) -> list[tuple[tuple[str, ...], str, float, float]]:
-    """(tokens, verdict, confidence, support) of the rules that labels support, the best first.
+RULES = "tokens array<string>, verdict string, confidence double, support double, rarest string"
+
+
+def rule_table(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(tokens, verdict, confidence, support, rarest), one row per rule that labels support.
+
+    A longer rule is surer than all shorter ones inside it.  ``rarest`` is its token that the
+    fewest labelled URLs have.
 
     A page is labelled by the row of labels with its id: bad where quality is 0 or toxic 1.
     Repeated labels count as bad if one of them is; rows without an id or both labels are
@@ -98,30 +104,51 @@ def mined_rules(pages: DataFrame, labels: DataFrame) -> list[tuple[tuple[str, ..
         "baskets",
     )
     n = baskets.count()
+    none = pages.sparkSession.createDataFrame([], RULES)
     if not n:
-        return []
+        return none
     support = max(LEAST_SUPPORT, LEAST_COUNT / n)
     if support > 1:
-        return []
+        return none
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=LEAST_CONFIDENCE).fit(baskets)
     verdict = F.col("consequent")[0]
-    rows = (
-        model.associationRules.where(verdict.isin(BLOCK, ALLOW) & (F.size("antecedent") <= MOST_TOKENS) & (F.col("lift") >= LEAST_LIFT))
-        .select(F.array_sort("antecedent").alias("tokens"), verdict.alias("verdict"), "confidence", "support")
-        .orderBy(F.desc("confidence"), F.desc("support"), F.size("tokens"), "tokens")
-        .limit(MOST_RULES)
-        .collect()
+    rules = written(
+        model.associationRules.where(verdict.isin(BLOCK, ALLOW) & (F.size("antecedent") > 0) & (F.col("lift") >= LEAST_LIFT)).select(
+            F.array_sort("antecedent").alias("tokens"), F.substring_index(verdict, "=", -1).alias("verdict"), "confidence", "support"
+        ),
+        "rules",
     )
-    kept: list[tuple[tuple[str, ...], str, float, float]] = []
-    best: dict[frozenset, float] = {}
-    for row in sorted(rows, key=lambda r: (len(r["tokens"]), r["tokens"])):
-        tokens = frozenset(row["tokens"])
-        # A longer rule has to be surer than the shorter ones inside it.
-        if any(b >= row["confidence"] for t, b in best.items() if t < tokens):
-            continue
-        best[tokens] = row["confidence"]
-        kept.append((tuple(row["tokens"]), row["verdict"].removeprefix("label="), row["confidence"], row["support"]))
-    return sorted(kept, key=lambda r: (-r[2], -r[3], len(r[0]), r[0]))
+    # Each proper part of a rule's tokens, by the bits of a number.
+    size = F.size("tokens")
+    parts = rules.select("tokens", "confidence", F.explode(F.sequence(F.lit(1).cast("long"), F.pow(F.lit(2), size).cast("long") - 2)).alias("bits")).where(size > 1)
+    parts = parts.select("tokens", "confidence", F.filter("tokens", lambda _, i: F.call_function("getbit", F.col("bits"), i) == 1).alias("part"))
+    shorter = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("sure"))
+    redundant = parts.join(shorter, "part").where("sure >= confidence").select("tokens").distinct()
+    kept = rules.join(redundant, "tokens", "left_anti")
+    counts = baskets.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    rarest = kept.select("tokens", F.explode("tokens").alias("token")).join(counts, "token").groupBy("tokens").agg(F.min_by("token", F.struct("n", "token")).alias("rarest"))
+    return written(kept.join(rarest, "tokens").select("tokens", "verdict", "confidence", "support", "rarest"), "kept-rules")
+
+
+def _ordered(rules: DataFrame) -> list[tuple[tuple[str, ...], str, float, float]]:
+    found = [(tuple(r["tokens"]), r["verdict"], r["confidence"], r["support"]) for r in rules.collect()]
+    return sorted(found, key=lambda r: (-r[2], -r[3], len(r[0]), r[0]))
+
+
+def mined_rules(pages: DataFrame, labels: DataFrame) -> list[tuple[tuple[str, ...], str, float, float]]:
+    """(tokens, verdict, confidence, support) of all rules that labels support, the best first."""
+    return _ordered(rule_table(pages, labels))
+
+
+def _joined(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """pages with the verdict and tokens of the first rule in order that fits the url, by a join on the rules' rarest tokens."""
+    urls = pages.where(F.col("url").isNotNull()).select(F.col("url").alias("__url")).distinct()
+    tokens = written(urls.select("__url", _tokens("__url").alias("has")), "url-tokens")
+    near = tokens.select("__url", "has", F.explode("has").alias("rarest")).join(rules, "rarest")
+    order = F.struct(-F.col("confidence"), -F.col("support"), F.size("tokens"), "tokens")
+    mined = F.struct("verdict", F.array_join("tokens", " & ").alias("mined_rule"))
+    first = near.where(F.size(F.array_except("tokens", "has")) == 0).groupBy("__url").agg(F.min_by(mined, order).alias("mined"))
+    return pages.join(first, F.col("url") == F.col("__url"), "left").drop("__url")
 
 
 class RuleIndex:
@@ -150,8 +177,9 @@ def judged(pages: DataFrame, labels: DataFrame) -> DataFrame:
     matter; other columns aren't read.
     """
     bounded_batches(pages.sparkSession)
-    rules = mined_rules(pages, labels)
-    shared = pages.sparkSession.sparkContext.broadcast(rules)
+    rules = rule_table(pages, labels)
+    few = rules.count() <= MOST_RULES
+    shared = pages.sparkSession.sparkContext.broadcast(_ordered(rules) if few else [])
 
     @F.pandas_udf("verdict string, mined_rule string")
     def mined(urls: pd.Series) -> pd.DataFrame:
@@ -163,7 +191,9 @@ def judged(pages: DataFrame, labels: DataFrame) -> DataFrame:
         }, dtype=object)
 
     url = F.col("url")
-    parts = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), mined(url).alias("mined"))
+    pages = pages.select("page_id", "url")
+    pages = pages.withColumn("mined", mined(url)) if few else _joined(pages, rules)
+    parts = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), "mined")
     listed = parts.withColumn("listed", listed_rule(F.col("host"), F.col("path")))
     return listed.select(
         "page_id",

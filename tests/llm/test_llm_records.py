@@ -102,6 +102,27 @@ def test_mined_rules_against_counting(spark):
     assert (verdicts[planted].verdict == "block").all() and (verdicts[~planted].verdict == "allow").all()
 
 
+@pytest.mark.parametrize("most", [3, 2000])
+def test_no_rule_is_cut(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "MOST_RULES", most)
+    # 20 bad hosts, each with its own path, and one combination of six names that is bad only as a whole
+    urls = [f"http://bad{h}.org/p{h}/" for h in range(20) for _ in range(30)]
+    urls += [f"http://good{h}.org/{h % 7}/" for h in range(1000)]
+    combos = ["&".join(f"n{i}={c}" for i in range(6) if c >> i & 1) for c in range(64) for _ in range(12)]
+    urls += [f"http://good.org/?{q}" for q in combos]
+    bad = ["bad" in u or u.count("n") == 6 for u in urls]
+    pages_ = spark.createDataFrame([*enumerate(urls), (None, None)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - b, None) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    got = url_filter.judged(pages_, labels).toPandas()
+    assert len(got) == len(urls) + 1
+    verdict = {r.page_id: (r.verdict, r.mined_rule) for r in got.itertuples() if r.url is not None}
+    assert [verdict[i][0] == "block" for i in range(len(urls))] == bad
+    index = url_filter.RuleIndex(url_filter.mined_rules(pages_, labels))
+    for u in sorted(set(urls)):
+        i = index.first(url_filter.url_tokens(u))
+        assert verdict[urls.index(u)][1] == (None if i is None else " & ".join(index.rules[i][0]))
+
+
 # Mixing
 
 
