@@ -19,6 +19,7 @@ from newsweave.llm import (
     toxicity,
     url_filter,
     warc,
+    whitening,
 )
 from newsweave.llm.shared import table
 
@@ -105,6 +106,14 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per usable vector and component: its whitened value."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.component_rows(vectors, whitening.fit(vectors)).select(
+        "row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"
+    )
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_cover_tree": (op1_cover_tree, sql.VECTOR_LINKS),
     "op2_order_minhash": (op2_order_minhash, None),
@@ -116,4 +125,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_mixing": (op8_mixing, sql.MIXING),
     "op9_toxicity": (op9_toxicity, None),
     "op10_winnowing": (op10_winnowing, sql.WINNOWING),
+    "op13_whitening": (op13_whitening, None),
 }

@@ -28,11 +28,11 @@ def test_query(spark, con, name):
 @pytest.mark.parametrize("name", sorted(n for n, (_, text) in QUERIES.items() if not text))
 def test_whole_table(spark, name):
     frame = QUERIES[name][0](spark, SF_DIR).toPandas()
-    key = {"op4_transcripts": "conv_id", "op7_url_rules": "page_id"}.get(name, "doc_id")
-    source = {"conv_id": "conversations", "page_id": "pages", "doc_id": "documents"}[key]
+    key = {"op4_transcripts": "conv_id", "op7_url_rules": "page_id", "op13_whitening": "vec_id"}.get(name, "doc_id")
+    source = {"conv_id": "conversations", "page_id": "pages", "doc_id": "documents", "vec_id": "embeddings"}[key]
     ids = table(spark, SF_DIR, source).select(key).toPandas()[key]
     assert set(frame[key]) == set(ids)
-    if key != "conv_id":
+    if key not in ("conv_id", "vec_id"):
         assert len(frame) == len(ids)
 
 
