@@ -11,6 +11,7 @@ from newsweave.llm import (
     chat,
     cover_tree,
     decontaminate,
+    language_model,
     mixing,
     order_minhash,
     pii,
@@ -112,6 +113,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its log10 probability in a model of nine tenths of the documents."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
+    scored = language_model.scores(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.withColumn("held_out", held_out)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per usable vector and component: its whitened value."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -132,5 +140,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_toxicity": (op9_toxicity, None),
     "op10_winnowing": (op10_winnowing, sql.WINNOWING),
     "op11_prefix_trie": (op11_prefix_trie, sql.PREFIX_TRIE),
+    "op12_language_model": (op12_language_model, None),
     "op13_whitening": (op13_whitening, None),
 }
