@@ -120,9 +120,7 @@ def search_windows(tokens: DataFrame, previous: DataFrame, as_of: Column) -> Dat
 
     A token without a snapshot looks back its number of years, 365 days each.
     """
-    marks = previous.groupBy("token_key").agg(
-        F.max(F.coalesce("timestamp", F.lit(0))).alias("high_water")
-    )
+    marks = high_water_marks(previous)
     look_back = F.col("lookback_years").cast("bigint") * (365 * DAY_SECONDS)
     return (
         tokens.select("token_key", "lookback_years")
@@ -142,6 +140,28 @@ def within_window(articles: DataFrame, windows: DataFrame) -> DataFrame:
     return articles.join(windows, "token_key").filter(dated).drop("start_ts", "end_ts")
 
 
+def high_water_marks(snapshot: DataFrame) -> DataFrame:
+    """``token_key, high_water``: the newest article of each token."""
+    return snapshot.groupBy("token_key").agg(F.max(F.coalesce("timestamp", F.lit(0))).alias("high_water"))
+
+
+def within_fetch_window(articles: DataFrame, tokens: DataFrame, marks: DataFrame, as_of: Column) -> DataFrame:
+    """Rows dated inside the window that their search asked for, whole days at both ends.
+
+    A search goes from the mark of the newest snapshot before it to the time it was fetched;
+    ``marks`` has ``high_water`` per token for times from ``since`` up to ``until``.  So a
+    response that lands late is held against what was known when it was sent.
+    """
+    asked = F.coalesce("fetched", as_of)
+    look_back = F.col("lookback_years").cast("bigint") * (365 * DAY_SECONDS)
+    columns = articles.columns
+    timed = articles.join(tokens.select("token_key", "lookback_years"), "token_key").withColumn("_asked", asked)
+    known = (timed["token_key"] == marks["token_key"]) & (F.col("_asked") >= F.col("since")) & (F.col("_asked") < F.col("until"))
+    start = F.coalesce("high_water", F.col("_asked") - look_back)
+    dated = article_day().between(article_day(start), article_day("_asked"))
+    return timed.join(marks, known, "left").filter(dated).select(*(timed[c] for c in columns)).drop("fetched")
+
+
 def new_articles(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Rows of this refresh whose token and key the previous one did not hold."""
     keys = ["token_key", *ARTICLE_KEYS]

@@ -95,6 +95,7 @@ def refresh(
     as_of: Column,
     *,
     strategy: str = "grams",
+    windowed: bool = False,
 ) -> DataFrame:
     """The new state of every token: relevant articles, one per key.
 
@@ -102,11 +103,13 @@ def refresh(
     ``token_feed`` are articles with a ``token_key``, ``default_feed`` is articles
     all tokens share.  Shared articles are not copied per token: each is reduced to
     one row per key, and enters a token's list only where it scores, or where the
-    token holds the same key and the newer of the two must win.
+    token holds the same key and the newer of the two must win.  Search rows are
+    cut to the window up to ``as_of``, unless ``windowed`` says that they are by now.
     """
-    windows = search_windows(tokens, previous, as_of)
+    if not windowed:
+        search = within_window(search, search_windows(tokens, previous, as_of)).select(search.columns)
     assigned = (
-        previous.unionByName(within_window(search, windows).select(search.columns))
+        previous.unionByName(search)
         .unionByName(token_feed)
         .withColumn("first_arrival", F.col("arrival"))
     )

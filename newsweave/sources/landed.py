@@ -35,20 +35,37 @@ def _with(schema: StructType, **partitions) -> StructType:
     )
 
 
+def _reader(spark: SparkSession, stream: bool, max_files: int | None):
+    """A reader, or one of a stream that takes at most so many files a batch."""
+    if not stream:
+        return spark.read
+    return spark.readStream.option("maxFilesPerTrigger", max_files) if max_files else spark.readStream
+
+
+def _landing() -> Column:
+    """The file a row came from, as the ledger of consumed landings knows it."""
+    return F.col("_metadata.file_path").alias("landing")
+
+
 # -- search --------------------------------------------------------------------------
 
 
 def read_search(
-    spark: SparkSession, path: str, *, lines: bool = True, stream: bool = False
+    spark: SparkSession, path: str, *, lines: bool = True, stream: bool = False, files: list[str] | None = None,
+    max_files: int | None = None,
 ) -> DataFrame:
     """Responses under ``<path>/query_id=<id>/page=<n>/fetched=<epoch>/``, one JSON text per line.
 
     A landing may leave out ``fetched``, the time of the response; it is null then.
-    ``lines=False`` takes files that hold one pretty-printed response each.
+    ``lines=False`` takes files that hold one pretty-printed response each, ``files`` reads
+    these only.  ``landing`` is the file.
     """
     schema = _with(SEARCH_RESPONSE, query_id=StringType(), page=LongType(), fetched=LongType())
-    reader = spark.readStream if stream else spark.read
-    return reader.schema(schema).option("multiLine", not lines).json(path)
+    if files is not None and not files:
+        return spark.createDataFrame([], _with(schema, landing=StringType()))
+    reader = _reader(spark, stream, max_files).schema(schema).option("multiLine", not lines)
+    read = reader.json(path) if files is None else reader.option("basePath", path).json(files)
+    return read.select("*", _landing())
 
 
 def search_articles(responses: DataFrame, as_of: Column) -> DataFrame:
@@ -60,13 +77,15 @@ def search_articles(responses: DataFrame, as_of: Column) -> DataFrame:
     """
     results = (
         responses.filter("error is null")
-        .select("query_id", "page", "fetched", F.posexplode("news_results").alias("item", "r"))
-        .select("query_id", "page", "fetched", "item", "r.*")
+        .select("query_id", "page", "fetched", "landing", F.posexplode("news_results").alias("item", "r"))
+        .select("query_id", "page", "fetched", "landing", "item", "r.*")
     )
     dated = with_computed(results, "_date", parse_date("date", F.coalesce("fetched", as_of)))
     rows = clean_articles(dated).select(
         "query_id",
         "page",
+        "fetched",
+        "landing",
         "item",
         "title",
         "link",
@@ -88,7 +107,7 @@ def planned_queries(tokens: DataFrame) -> DataFrame:
 def token_search_articles(
     articles: DataFrame, tokens: DataFrame
 ) -> DataFrame:
-    """Search rows of each token's queries, ready for the refresh."""
+    """Search rows of each token's queries, ready for the refresh; ``fetched`` is kept for their window."""
     plan = planned_queries(tokens).select("query_id", "token_key", "query_order")
     return as_articles(
         articles.join(plan, "query_id").withColumn(
@@ -96,37 +115,30 @@ def token_search_articles(
             arrival(SEARCH, F.col("query_order"), F.col("page"), F.col("item")),
         ),
         "token_key",
+        "fetched",
     )
 
 
 # -- feeds ---------------------------------------------------------------------------
 
 
-def landed_since(landed: DataFrame, since: int | None) -> DataFrame:
-    """What was fetched at ``since`` or later, or at an unknown time; only its folders are read."""
-    if since is None:
-        return landed
-    return landed.filter(F.col("fetched").isNull() | (F.col("fetched") >= since))
-
-
-def _xml(reader, path: str, row_tag: str, schema: StructType) -> DataFrame:
-    return (
-        reader.format("xml")
-        .schema(_with(schema, url=StringType(), fetched=LongType()))
-        .option("rowTag", row_tag)
-        .load(path)
-    )
+def _xml(reader, path: str, files: list[str] | None, row_tag: str, schema: StructType) -> DataFrame:
+    reader = reader.format("xml").schema(_with(schema, url=StringType(), fetched=LongType())).option("rowTag", row_tag)
+    read = reader.load(path) if files is None else reader.option("basePath", path).load(files)
+    return read.select("*", _landing())
 
 
 def _rss_entries(channels: DataFrame) -> DataFrame:
     return channels.select(
         "url",
         "fetched",
+        "landing",
         F.coalesce("title", F.lit(UNKNOWN_FEED)).alias("feed_title"),
         F.posexplode("item").alias("item", "e"),
     ).select(
         "url",
         "fetched",
+        "landing",
         "feed_title",
         F.col("item").cast("bigint").alias("item"),
         "e.title",
@@ -143,11 +155,13 @@ def _atom_entries(feeds: DataFrame) -> DataFrame:
     return feeds.select(
         "url",
         "fetched",
+        "landing",
         F.coalesce("title", F.lit(UNKNOWN_FEED)).alias("feed_title"),
         F.posexplode("entry").alias("item", "e"),
     ).select(
         "url",
         "fetched",
+        "landing",
         "feed_title",
         F.col("item").cast("bigint").alias("item"),
         "e.title",
@@ -158,15 +172,21 @@ def _atom_entries(feeds: DataFrame) -> DataFrame:
     )
 
 
-def read_feed_entries(spark: SparkSession, path: str, *, stream: bool = False) -> DataFrame:
+def read_feed_entries(
+    spark: SparkSession, path: str, *, stream: bool = False, files: list[str] | None = None,
+    max_files: int | None = None,
+) -> DataFrame:
     """Entries of RSS and Atom documents, one document per feed and fetch.
 
-    Layout: ``<path>/url=<escaped feed URL>/fetched=<epoch>/``.
+    Layout: ``<path>/url=<escaped feed URL>/fetched=<epoch>/``.  ``files`` reads these only.
     """
-    reader = spark.readStream if stream else spark.read
-    rss = _rss_entries(_xml(reader, path, "channel", RSS_CHANNEL))
-    atom = _atom_entries(_xml(reader, path, "feed", ATOM_FEED))
-    return rss.unionByName(atom)
+
+    def documents(row_tag: str, schema: StructType) -> DataFrame:
+        if files is not None and not files:
+            return spark.createDataFrame([], _with(schema, url=StringType(), fetched=LongType(), landing=StringType()))
+        return _xml(_reader(spark, stream, max_files), path, files, row_tag, schema)
+
+    return _rss_entries(documents("channel", RSS_CHANNEL)).unionByName(_atom_entries(documents("feed", ATOM_FEED)))
 
 
 def feed_articles(entries: DataFrame, as_of: Column) -> DataFrame:
@@ -180,6 +200,8 @@ def feed_articles(entries: DataFrame, as_of: Column) -> DataFrame:
     return timed.select(
         "url",
         F.col("fetched").alias("page"),
+        "fetched",
+        "landing",
         "item",
         F.coalesce("title", empty).alias("title"),
         F.coalesce("link", empty).alias("link"),

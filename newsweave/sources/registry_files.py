@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..schemas import TOKEN
 from ..settings import Settings
-from .snapshots import exists, newest_snapshot
+from .commits import commit, exists, new_attempt, newest
+
+REGISTRY = "registry"
 
 
 def _parse(text: str):
@@ -65,15 +67,15 @@ def default_feed_urls(spark: SparkSession, settings: Settings) -> DataFrame:
 
 
 def read_registry(spark: SparkSession, root: str) -> DataFrame:
-    """The registry table: the newest one written under ``root``, or an empty one."""
-    path = newest_snapshot(spark, root)
-    if path is None:
+    """The registry table: the newest one committed under ``root``, or an empty one."""
+    done = newest(spark, root)
+    if done is None:
         return spark.createDataFrame([], TOKEN)
-    return spark.read.schema(TOKEN).option("mode", "PERMISSIVE").json(path)
+    return spark.read.schema(TOKEN).option("mode", "PERMISSIVE").json(done.part(spark, REGISTRY))
 
 
-def write_registry(registry: DataFrame, root: str, as_of: int) -> str:
-    """The whole registry, written once per run beside the one it was read from."""
-    path = f"{root}/snapshot={as_of}"
-    registry.write.mode("errorifexists").json(path)
-    return path
+def write_registry(registry: DataFrame, root: str, as_of: int, attempt: str | None = None) -> None:
+    """The whole registry, written once per run beside the one it was read from, and committed."""
+    attempt = attempt or new_attempt()
+    registry.write.json(f"{root}/{attempt}/{REGISTRY}")
+    commit(registry.sparkSession, root, attempt, as_of)

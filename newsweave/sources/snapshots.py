@@ -1,8 +1,9 @@
-"""Snapshot tables: one finished folder per refresh, newest one read back.
+"""Snapshot tables: one committed attempt per refresh, the newest one read back.
 
-Layout: ``<root>/snapshot=<as_of>/token_key=<key>/part-*.parquet``.  A refresh reads
-the newest finished snapshot and writes a new one; overwriting the folder being read
-would destroy the input of the running job.
+A refresh reads the newest committed snapshot and writes another one; overwriting the
+folder being read would destroy the input of the running job.  See ``commits`` for the
+layout.  Public files have a layout of their own,
+``<root>/snapshot=<as_of>/token_key=<key>/``.
 """
 
 from __future__ import annotations
@@ -11,52 +12,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators.articles import published
+from ..operators.articles import high_water_marks, published
 from ..schemas import PUBLISHED_FIELDS, SNAPSHOT
+from .commits import commit, exists, names, new_attempt, newest, write_part
 
 FINISHED = "_SUCCESS"
+STATE, MARKS = "state", "marks"
 SNAPSHOT_PUBLIC = StructType(
     [SNAPSHOT[name] for name in PUBLISHED_FIELDS] + [StructField("token_key", StringType())]
 )
 
 
-def _folder(spark: SparkSession, path: str):
-    """The folder on whatever file system it lives, through Hadoop's own client."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    folder, files = _folder(spark, path)
-    return files.exists(folder)
-
-
-def newest_snapshot(spark: SparkSession, root: str) -> str | None:
-    """Path of the newest snapshot that was written to the end."""
-    folder, files = _folder(spark, root)
-    if not files.exists(folder):
-        return None
-    found = []
-    for status in files.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith("snapshot=") and exists(spark, f"{root}/{name}/{FINISHED}"):
-            found.append(int(name.split("=", 1)[1]))
+def newest_finished(spark: SparkSession, root: str) -> str | None:
+    """Path of the newest public folder that was written to the end."""
+    found = [
+        int(name.split("=", 1)[1])
+        for name in names(spark, root)
+        if name.startswith("snapshot=") and exists(spark, f"{root}/{name}/{FINISHED}")
+    ]
     return f"{root}/snapshot={max(found)}" if found else None
 
 
 def snapshot_time(spark: SparkSession, root: str) -> int | None:
     """When the newest snapshot was taken; None before the first."""
-    path = newest_snapshot(spark, root)
-    return int(path.rsplit("=", 1)[1]) if path else None
+    done = newest(spark, root)
+    return done.time if done else None
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """The previous state, an empty table on the first run."""
-    path = newest_snapshot(spark, root)
-    if path is None:
+    done = newest(spark, root)
+    if done is None:
         return spark.createDataFrame([], SNAPSHOT)
-    return spark.read.schema(SNAPSHOT).option("basePath", path).parquet(path)
+    return spark.read.schema(SNAPSHOT).parquet(done.part(spark, STATE))
 
 
 def ordered(state: DataFrame) -> DataFrame:
@@ -75,17 +63,27 @@ def ordered(state: DataFrame) -> DataFrame:
     )
 
 
-def write_snapshot(state: DataFrame, root: str, as_of: int) -> str:
-    path = f"{root}/snapshot={as_of}"
-    ordered(state).write.partitionBy("token_key").mode("errorifexists").parquet(path)
-    return path
+def write_state(state: DataFrame, root: str, attempt: str) -> DataFrame:
+    """The ordered state and its high-water marks as parts of an attempt; the state read back."""
+    path = f"{root}/{attempt}/{STATE}"
+    ordered(state).write.partitionBy("token_key").parquet(path)
+    current = state.sparkSession.read.schema(SNAPSHOT).parquet(path)
+    write_part(high_water_marks(current), root, attempt, MARKS)
+    return current
+
+
+def write_snapshot(state: DataFrame, root: str, as_of: int) -> None:
+    """Write and commit a state that takes no landings."""
+    attempt = new_attempt()
+    write_state(state, root, attempt)
+    commit(state.sparkSession, root, attempt, as_of)
 
 
 def write_published(snapshot: DataFrame, root: str, as_of: int, tokens: DataFrame) -> str:
     """Public JSON lines, one folder per token of ``tokens``, newest article first.
 
-    A new folder per run, whole when it is finished: nothing of an earlier run stays in
-    it, and a token without articles has an empty list, a file with one blank line.
+    A folder per run, whole when it is finished.  Only a run that died before it was
+    committed has the time of another one, and what it left is replaced.  A token without articles has an empty list, a file with one blank line.
     """
     path = f"{root}/snapshot={as_of}"
     line = F.to_json(F.struct(*PUBLISHED_FIELDS))
@@ -96,13 +94,13 @@ def write_published(snapshot: DataFrame, root: str, as_of: int, tokens: DataFram
     )
     by = ["token_key", "position"]
     rows = articles.unionByName(nobody).repartitionByRange(*by).sortWithinPartitions(*by)
-    rows.drop("position").write.partitionBy("token_key").mode("errorifexists").text(path)
+    rows.drop("position").write.partitionBy("token_key").mode("overwrite").text(path)
     return path
 
 
 def read_published(spark: SparkSession, root: str) -> DataFrame:
     """The public articles of the newest finished run."""
-    path = newest_snapshot(spark, root)
+    path = newest_finished(spark, root)
     schema = SNAPSHOT_PUBLIC
     if path is None:
         return spark.createDataFrame([], schema)

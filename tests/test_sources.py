@@ -1,19 +1,20 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsweave.operators.tokens import prepare_tokens
 from newsweave.plans.refresh import default_feed_articles, token_feed_articles
 from newsweave.schemas import TOKEN
 from newsweave.settings import Settings
-from newsweave.sources import landed
+from newsweave.sources import commits, landed
 from newsweave.sources.registry_files import (
     default_feed_urls,
     load_settings,
     read_registry,
     write_registry,
 )
-from newsweave.sources.snapshots import append_items, newest_snapshot, read_snapshot
+from newsweave.sources.snapshots import append_items, newest_finished, read_snapshot, snapshot_time
 
 NOW = 1735689600
 
@@ -164,9 +165,21 @@ def test_registry_and_chain_files(spark, tmp_path):
 
 def test_unfinished_snapshots_are_not_read(spark, tmp_path):
     assert read_snapshot(spark, str(tmp_path / "none")).count() == 0
-    put(tmp_path / "s" / "snapshot=5" / "_SUCCESS", "")
-    put(tmp_path / "s" / "snapshot=9" / "part.parquet", "half")
-    assert newest_snapshot(spark, str(tmp_path / "s")).endswith("snapshot=5")
+    root = str(tmp_path / "s")
+    for time in (5, 30):
+        commits.commit(spark, root, f"attempt=of{time}", time)
+    put(tmp_path / "s" / "attempt=half" / "state" / "part.parquet", "half")
+    put(tmp_path / "s" / "_commits" / ".draft", "{")
+    assert snapshot_time(spark, root) == 30
+    assert commits.newest(spark, root).part(spark, "state") == f"{root}/attempt=of30/state"
+    for time, batch in ((30, ""), (31, "b-0")):
+        if batch:
+            commits.commit(spark, root, "attempt=x", time, batch)
+        with pytest.raises(FileExistsError):
+            commits.commit(spark, root, "attempt=x", time + bool(batch), batch)
+    put(tmp_path / "p" / "snapshot=5" / "_SUCCESS", "")
+    put(tmp_path / "p" / "snapshot=9" / "part", "half")
+    assert newest_finished(spark, str(tmp_path / "p")).endswith("snapshot=5")
 
 
 def test_append(spark, tmp_path):

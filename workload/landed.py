@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsweave.plans.runs import run_refresh
 from newsweave.session import configure, shared_folder
+from newsweave.settings import Settings
+from newsweave.sources.commits import folder
 from newsweave.sources.landed import (
     feed_articles,
+    planned_queries,
     read_feed_entries,
     read_search,
     search_articles,
@@ -21,10 +25,11 @@ from newsweave.streaming.latest import (
     stream_articles,
     write_changes,
 )
+from newsweave.streaming.refresh import refresh_stream
 
 from . import sql
 from .articles import DEDUP_SQL
-from .views import AS_OF, DAY, as_of, documents, keyed_documents
+from .views import AS_OF, DAY, _token_of, as_of, documents, keyed_documents, raw_token_rows, token_rows
 
 PER_PAGE = 100
 QUERIES_LANDED = 5
@@ -268,7 +273,98 @@ def appended_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 APPENDED_SQL = f"SELECT doc_id, title, link FROM ({sql.DOCUMENTS})"
 
+def _day_of(spark: SparkSession, sf_dir: str, day: int) -> DataFrame:
+    """The search responses of a day: each document is a result of its token's first query."""
+    doc = F.col("doc_id")
+    docs = documents(spark, sf_dir).filter(doc % DAYS == day).withColumns(
+        {
+            "token_key": _token_of(doc % 4),
+            "date": F.concat((doc % 20).cast("string"), F.lit(" hours ago")),
+            "page": F.floor(doc / (PER_PAGE * 4 * DAYS)),
+            "fetched": F.lit(AS_OF + day * DAY + FETCH_HOUR * 3600),
+        }
+    )
+    first = planned_queries(token_rows(spark)).filter("n_phrases = 0").select("token_key", "query_id")
+    result = F.struct("doc_id", "title", "link", "snippet", "source", "date")
+    fields = ["title", "link", "snippet", "source", "date"]
+    return (
+        docs.join(first, "token_key")
+        .groupBy("query_id", "page", "fetched")
+        # a page holds at most 100 results
+        .agg(F.array_sort(F.collect_list(result)).alias("r"))
+        .select("query_id", "page", "fetched", F.transform("r", lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias("news_results"))
+    )
+
+
+def _land_day(spark: SparkSession, sf_dir: str, root: str, day: int) -> None:
+    landed = _day_of(spark, sf_dir, day)
+    landed.write.mode("append").partitionBy("query_id", "page", "fetched").json(f"{root}/search")
+    feeds, files = folder(spark, f"{root}/feeds")
+    files.mkdirs(feeds)  # no feed has landed yet
+
+
+def _refresh_paths(root: str) -> dict[str, str]:
+    return {
+        "search_path": f"{root}/search", "feeds_path": f"{root}/feeds",
+        "snapshots": f"{root}/snapshots", "published": f"{root}/published",
+    }
+
+
+def _kept(spark: SparkSession, root: str) -> DataFrame:
+    return read_snapshot(spark, f"{root}/snapshots").select(
+        "token_key", "title", "link", "source", "timestamp", "utc_time", "relevance"
+    )
+
+
+def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The refresh stream, taken up again after the landings of each of three days."""
+    root = shared_folder(configure(spark), "refresh-stream")
+    for day in range(DAYS):
+        _land_day(spark, sf_dir, root, day)
+        refresh_stream(
+            spark, Settings(), raw_token_rows(spark), checkpoint=f"{root}/checkpoint", **_refresh_paths(root)
+        ).awaitTermination()
+    return _kept(spark, root)
+
+
+def late_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs: the responses of the second day land after the run that follows the third."""
+    root = shared_folder(configure(spark), "refresh-late")
+    for days in LATE:
+        for day in days:
+            _land_day(spark, sf_dir, root, day)
+        as_of_run = AS_OF + (DAYS - 1 + LATE.index(days)) * DAY + 21 * 3600
+        run_refresh(spark, Settings(), raw_token_rows(spark), as_of=as_of_run, **_refresh_paths(root))
+    return _kept(spark, root)
+
+
+DAYS, FETCH_HOUR = 3, 20
+LATE = [(0, 2), (1,)]
+
+
+def _steps_sql(steps) -> str:
+    """What each step leaves: the newest row of a key among those kept and those that landed, if it scores."""
+    kept = "SELECT * FROM s WHERE false"
+    for days in steps:
+        landed_ = f"SELECT * FROM s WHERE doc_id % {DAYS} IN ({', '.join(map(str, days))})"
+        kept = f"""
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY token_key, source, link, title ORDER BY ts DESC, doc_id) AS rn
+  FROM ({kept} UNION ALL {landed_})) WHERE rn = 1 AND relevance >= threshold"""
+    return f"""
+WITH d AS (SELECT * REPLACE (NULL::VARCHAR AS full_content),
+                  ({AS_OF} + doc_id % {DAYS} * {DAY} + ({FETCH_HOUR} - doc_id % 20) * 3600)::BIGINT AS ts
+           FROM ({sql.CLEANED_DOCUMENTS})),
+{sql.feature_ctes('d')},
+p AS (SELECT x.*, token_key, threshold, {sql.scores()} FROM features x JOIN ({sql.token_values()}) t ON t.idx = x.doc_id % 4),
+s AS MATERIALIZED (SELECT *, {sql.SCORE} AS relevance FROM p)
+SELECT token_key, title, link, source, ts AS timestamp, {sql.utc_text('ts')} AS utc_time, relevance FROM ({kept})
+"""
+
+
 QUERIES = {
+    "stream_refresh": (stream_refresh, _steps_sql([(0,), (1,), (2,)])),
+    "late_landing": (late_landing, _steps_sql(LATE)),
     "stream_retention": (stream_retention, DEDUP_SQL),
     "appended_items": (appended_items, APPENDED_SQL),
     "landed_search": (landed_search, LANDED_SEARCH_SQL),

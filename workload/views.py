@@ -43,17 +43,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def token_rows(spark: SparkSession, rows=TOKENS) -> DataFrame:
+def raw_token_rows(spark: SparkSession, rows=TOKENS) -> DataFrame:
+    """Tokens as a registry has them, named by their symbols."""
     configure(spark)
     data = [
         (name, symbol, {"chain": f"0x{symbol}"}, 2, threshold, mandatory, additional, feeds)
         for name, symbol, threshold, mandatory, additional, feeds in rows
     ]
     # the symbol alone identifies these, and reads well in results
-    return prepare_tokens(
-        spark.createDataFrame(data, TOKEN).withColumn("token_key", F.lower("symbol")),
-        Settings(),
-    )
+    return spark.createDataFrame(data, TOKEN).withColumn("token_key", F.lower("symbol"))
+
+
+def token_rows(spark: SparkSession, rows=TOKENS) -> DataFrame:
+    return prepare_tokens(raw_token_rows(spark, rows), Settings())
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
