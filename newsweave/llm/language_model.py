@@ -33,6 +33,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -43,8 +44,8 @@ from newsweave.llm.elias_fano import Trie
 from newsweave.llm.numbering import numbered
 from newsweave.llm.shared import bounded_batches, written
 
-BLOCK_TOKENS = 3_000_000
-SLICE_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
+SLICE_TOKENS = 2_500_000
 # Bytes of a long text that are split into words at once.
 PIECE = 4 * 1024 * 1024
 # Words longer than this are known by their 128-bit hash.  No word holds a space.
@@ -294,19 +295,23 @@ class Weighted:
 
 
 def _trigrams(coded: DataFrame, counts: Counts) -> DataFrame:
-    """``slice, block, payload``, or ``doc, score`` without a slice: what every block asks of each slice.
+    """``slice, block, payload, own``: what a block asks of each slice, and what it knows by itself.
 
-    The second kind is the part of a score that no slice knows of: unknown words.
+    The latter, one row a block that any slice hands on, are the figures of its documents and
+    the part of their scores that no slice knows of: starts and unknown words.
     """
-    ddl = "slice long, block long, payload binary, doc int, n_tokens long, n_known long, base double, score double"
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    names = [c.split()[0] for c in ddl.split(", ")]
+    ddl = "slice long, block long, payload binary, own boolean"
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+    names = ["slice", "block", "payload", "own"]
     empty = math.log10(B)
 
+    def row(*values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
+
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                block, n_words, tokens, lens, trained, dictionary = (batch.column(i)[row].as_py() for i in range(6))
+            for at in range(batch.num_rows):
+                block, n_words, tokens, lens, trained, dictionary = (batch.column(i)[at].as_py() for i in range(6))
                 yield from one(block, n_words, tokens, np.array(lens, np.int64), np.array(trained, bool), dictionary)
 
     def one(block, n_words, tokens, lens, trained, dictionary) -> Iterator[pa.RecordBatch]:
@@ -334,10 +339,9 @@ def _trigrams(coded: DataFrame, counts: Counts) -> DataFrame:
         alone = ~sent
         local = np.log10(B * counts.unseen(names_[v[alone]], names_[w[alone]])) - np.where(last[alone], 0, empty)
         score = np.bincount(doc[alone], local, len(lens)) - math.log10(counts.documents + B)
-        figures = [lens, np.bincount(doc, w != unknown, len(lens)).astype(np.int64), np.bincount(doc, base[w], len(lens)), score]
         n = len(lens)
-        columns = [[None] * n, [block] * n, [None] * n, np.arange(n), *figures]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        figures = [lens, np.bincount(doc, w != unknown, n).astype(np.int64), np.bincount(doc, base[w], n), score]
+        yield row(block % counts.slices(), block, _packed(*figures), True)
 
         v, w, u, doc = v[sent], w[sent], u[sent], doc[sent]
         pairs, of = np.unique(v * size + w, return_inverse=True)
@@ -362,8 +366,7 @@ def _trigrams(coded: DataFrame, counts: Counts) -> DataFrame:
                 trained.astype(np.uint8),
                 ids[:1],  # the end, the first word of every block
             )
-            columns = [[int(slices[p0])], [block], [payload], *[[None]] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            yield row(int(slices[p0]), block, payload, False)
 
     slim = coded.select(
         "block", F.size("words").alias("n_words"), "tokens", F.col("docs.n").alias("lens"), F.col("docs.trained").alias("trained"), "dictionary"
@@ -392,7 +395,9 @@ def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 
 
 def _answers(rows: pa.Table, counts: Counts) -> pa.Table:
-    """Sums per document over the trigrams of one slice, looked up in its trie."""
+    """For each block one sum per document, over the trigrams of one slice, looked up in its trie."""
+    own = rows.filter(rows.column("own"))
+    rows = rows.filter(pc.invert(rows.column("own")))
     payloads = rows.column("payload")
     parts, held = [(np.zeros(0, np.int64),) * 4], 0
     for payload in payloads:
@@ -402,19 +407,43 @@ def _answers(rows: pa.Table, counts: Counts) -> pa.Table:
         pair = x["pair"][met]
         parts.append((x["pair_v"][pair], x["pair_w"][pair], x["key_u"][met], c[met]))
         held += len(met)
-        if held > 2 * counts.slice_tokens:  # what is held grows with distinct trigrams alone
+        if held > counts.slice_tokens:  # what is held grows with distinct trigrams alone
             parts = [_merged(parts)]
             held = len(parts[0][0]) // 2
     model = Weighted.build(*_merged(parts), counts)
-    out = []
-    for block, payload in zip(rows.column("block").to_pylist(), payloads):
+    del parts
+    sums = []
+    for payload in payloads:
         x = _asked(payload.as_py())
         weight, after = model.weights(x["pair_v"], x["pair_w"], x["pair"], x["key_u"], counts)
         after[x["pair_w"] == x["end"]] = 0  # nothing follows the end
-        score = np.bincount(x["doc"], x["times"] * (weight - after[x["pair"]])[x["key"]], len(x["trained"]))
-        doc = np.unique(x["doc"])
-        out.append(pa.table({"block": pa.array(np.full(len(doc), block)), "doc": pa.array(doc, pa.int32()), "score": score[doc]}))
-    return pa.concat_tables(out)
+        sums.append(_packed(np.bincount(x["doc"], x["times"] * (weight - after[x["pair"]])[x["key"]], len(x["trained"]))))
+    answered = pa.table({"block": rows.column("block"), "sums": pa.array(sums, pa.binary()), "own": pa.array([None] * len(sums), pa.binary())})
+    handed = pa.table({"block": own.column("block"), "sums": pa.array([None] * len(own), pa.binary()), "own": own.column("payload")})
+    return pa.concat_tables([answered, handed])
+
+
+def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document of each block, whose rows follow each other."""
+    names = ["block", "doc", "n_tokens", "n_known", "base_score", "score"]
+    block, own, total = None, None, 0.0
+
+    def closed() -> pa.RecordBatch:
+        lens, known, base, score = _unpacked(own)
+        columns = [np.full(len(lens), block), np.arange(len(lens), dtype=np.int32), lens, known, base.view(float), score.view(float) + total]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    for batch in batches:
+        for b, sums, figures in zip(*(c.to_pylist() for c in batch.columns)):
+            if b != block:
+                if block is not None:
+                    yield closed()
+                block, own, total = b, None, 0.0
+            if sums is not None:
+                total = total + _unpacked(sums)[0].view(float)
+            own = figures or own
+    if block is not None:
+        yield closed()
 
 
 # -- documents -----------------------------------------------------------------------
@@ -429,22 +458,20 @@ def scores(
 
     ``trained`` says which documents the model learns from; null counts as false.
     """
-    bounded_batches(docs.sparkSession)
+    spark = bounded_batches(docs.sparkSession)
+    # what is written needs the shuffle files behind it no more
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     read = written(blocks(docs, doc_id, text, trained, block_tokens), "blocks")
     known, counts = vocabulary(read, slice_tokens)
-    coded = read.join(dictionaries(read, known), "block", "left")
-    asked = written(_trigrams(coded, counts), "trigrams")
-    answers = (
-        asked.where("slice is not null").select("slice", "block", "payload")
-        .groupBy("slice").applyInArrow(lambda rows: _answers(rows, counts), "block long, doc int, score double")
+    numbers = written(dictionaries(read, known), "dictionaries")
+    coded = read.join(numbers, "block", "left")
+    answers = _trigrams(coded, counts).groupBy("slice").applyInArrow(
+        lambda rows: _answers(rows, counts), "block long, sums binary, own binary"
     )
-    own = asked.where("slice is null").select("block", "doc", "n_tokens", "n_known", "base", "score")
-    blank = [F.lit(None).cast(k).alias(c) for c, k in (("n_tokens", "long"), ("n_known", "long"), ("base", "double"))]
-    summed = own.unionByName(answers.select("block", "doc", *blank, "score")).groupBy("block", "doc").agg(
-        *(F.max(c).alias(c) for c in ("n_tokens", "n_known", "base")), F.sum("score").alias("score")
+    figures = answers.repartition("block").sortWithinPartitions("block").mapInArrow(
+        _figures, "block long, doc int, n_tokens long, n_known long, base_score double, score double"
     )
     ids = read.select("block", F.posexplode("docs.id").alias("doc", doc_id))
-    return summed.join(ids, ["block", "doc"]).select(
-        doc_id, "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"),
-        F.col("base").alias("base_score"), "score",
+    return figures.join(ids, ["block", "doc"]).select(
+        doc_id, "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
