@@ -51,6 +51,20 @@ def load_settings(spark: SparkSession, path: str) -> tuple[Settings, DataFrame]:
     return Settings(**values), token_table(spark, tokens if isinstance(tokens, list) else [])
 
 
+def read_listed_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """The tokens of all JSON settings files under ``path``, read where they lie.
+
+    A token without a threshold of its own has its file's.  A file that is malformed, or whose
+    ``tokens`` is no list, has no tokens.
+    """
+    schema = f"default_relevance_threshold double, tokens array<{TOKEN.simpleString()}>"
+    files = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("s"))
+    listed = files.select(F.col("s.default_relevance_threshold").alias("default"), F.explode("s.tokens").alias("t"))
+    return listed.select("t.*", "default").withColumn(
+        "relevance_threshold", F.coalesce("relevance_threshold", "default")
+    ).drop("default")
+
+
 def token_table(spark: SparkSession, tokens: list[dict]) -> DataFrame:
     """Token mappings as a registry table; keys that are absent become null."""
     rows = [json.dumps(t) for t in tokens]

@@ -11,6 +11,7 @@ from newsweave.sources import commits, landed
 from newsweave.sources.registry_files import (
     default_feed_urls,
     load_settings,
+    read_listed_tokens,
     read_registry,
     write_registry,
 )
@@ -57,6 +58,19 @@ def test_settings_from_yaml(spark, tmp_path):
     assert [r.url for r in default_feed_urls(spark, settings).orderBy("feed").collect()] == ["https://a/rss", "https://b/rss"]
 
 
+def test_tokens_of_many_settings_files(spark, tmp_path):
+    token = {"name": "A", "symbol": "a", "relevance_threshold": None}
+    for name, body in {
+        "one": json.dumps({"default_relevance_threshold": 7.5, "tokens": [token, {**token, "symbol": "b", "relevance_threshold": 9.0}]}),
+        "two": json.dumps({"tokens": [{**token, "symbol": "c"}]}),
+        "odd": json.dumps({"tokens": "none"}), "broken": "{broken", "empty": "",
+    }.items():
+        put(tmp_path / f"{name}.json", body)
+    listed = read_listed_tokens(spark, str(tmp_path))
+    assert listed.schema == TOKEN
+    assert {r.symbol: r.relevance_threshold for r in listed.collect()} == {"a": 7.5, "b": 9.0, "c": None}
+
+
 def test_bad_settings_give_defaults(spark, tmp_path):
     for i, text in enumerate(["- a\n- b", "{broken: [", "", '{"tokens": "none"}']):
         put(tmp_path / f"{i}.yaml", text)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +20,9 @@ from newsweave.plans.registry import RegistryRefresh, refresh_registry
 from newsweave.plans.runs import run_registry
 from newsweave.schemas import TOKEN
 from newsweave.session import configure, shared_folder
+from newsweave.settings import Settings
 from newsweave.sources import landed
-from newsweave.sources.registry_files import load_settings, read_registry, write_registry
+from newsweave.sources.registry_files import read_listed_tokens, read_registry, write_registry
 
 from . import sql
 from .articles import REFRESH_INPUT_CTES
@@ -491,7 +490,7 @@ REGISTRY_RUN_SQL = REGISTRY_REFRESH_SQL.replace("lower(address) ORDER BY pos", "
 
 
 def listed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as the tokens of a settings file, read back."""
+    """Suppliers as the tokens of settings files, up to 100 in each, all read in one job."""
     path = f"{shared_folder(configure(spark), 'settings')}"
     key = F.col("s_suppkey")
     entry = F.struct(
@@ -499,15 +498,11 @@ def listed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.create_map(F.lit("chain"), key.cast("string")).alias("address"),
         F.when(key % 2 == 0, 7.25).alias("relevance_threshold"),
     )
-    # one settings file is small by its nature: a few suppliers each
-    files = table(spark, sf_dir, "supplier").groupBy((key % 8).alias("file")).agg(F.collect_list(entry).alias("tokens"))
+    files = table(spark, sf_dir, "supplier").groupBy(F.floor(key / 100).alias("file")).agg(F.collect_list(entry).alias("tokens"))
     body = files.select("file", F.to_json(F.struct(F.lit(7.5).alias("default_relevance_threshold"), "tokens")).alias("value"))
-    body.repartition(8, "file").write.partitionBy("file").text(path)
-    found = []
-    for i in range(8):
-        settings, tokens = load_settings(spark, f"{path}/file={i}")
-        found.append(prepare_tokens(tokens, settings).select("name", "symbol", "threshold", "lookback_years"))
-    return reduce(DataFrame.unionByName, found).withColumn("lookback_years", F.col("lookback_years").cast("bigint"))
+    body.write.partitionBy("file").text(path)
+    tokens = prepare_tokens(read_listed_tokens(spark, path), Settings())
+    return tokens.select("name", "symbol", "threshold", F.col("lookback_years").cast("bigint").alias("lookback_years"))
 
 
 LISTED_TOKENS_SQL = """
