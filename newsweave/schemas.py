@@ -95,6 +95,9 @@ ATOM_FEED = _struct(
         )
     ),
 )
+# What a feed's root holds: channels of RSS, or the title and entries of an Atom feed; feeds
+# may also be wrapped in a root of their own.
+FEED_DOCUMENT = _struct(channel=ArrayType(RSS_CHANNEL), feed=ArrayType(ATOM_FEED), title=STRING, entry=ATOM_FEED["entry"].dataType)
 
 NETWORKS = _struct(data=_struct(platformToChainIdMap=MapType(STRING, LONG)))
 CANDIDATES = _struct(

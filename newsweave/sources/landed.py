@@ -17,11 +17,10 @@ from ..operators.articles import clean_articles
 from ..operators.tokens import query_plan
 from ..plans.refresh import SEARCH, arrival, as_articles
 from ..schemas import (
-    ATOM_FEED,
     CANDIDATES,
     CHAIN_RPCS,
+    FEED_DOCUMENT,
     NETWORKS,
-    RSS_CHANNEL,
     SEARCH_RESPONSE,
     TOKEN_METADATA,
 )
@@ -122,54 +121,27 @@ def token_search_articles(
 # -- feeds ---------------------------------------------------------------------------
 
 
-def _xml(reader, path: str, files: list[str] | None, row_tag: str, schema: StructType) -> DataFrame:
-    reader = reader.format("xml").schema(_with(schema, url=StringType(), fetched=LongType())).option("rowTag", row_tag)
-    read = reader.load(path) if files is None else reader.option("basePath", path).load(files)
-    return read.select("*", _landing())
+def _entries(feed: Column, kind: str) -> Column:
+    """Title and entries of an RSS channel or an Atom feed, in one form."""
 
+    def main_link(e: Column) -> Column:
+        main = F.filter(e["link"], lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+        return F.coalesce(F.get(main, F.lit(0)), F.get(e["link"], F.lit(0)))["_href"]
 
-def _rss_entries(channels: DataFrame) -> DataFrame:
-    return channels.select(
-        "url",
-        "fetched",
-        "landing",
-        F.coalesce("title", F.lit(UNKNOWN_FEED)).alias("feed_title"),
-        F.posexplode("item").alias("item", "e"),
-    ).select(
-        "url",
-        "fetched",
-        "landing",
-        "feed_title",
-        F.col("item").cast("bigint").alias("item"),
-        "e.title",
-        "e.link",
-        F.col("e.description").alias("summary"),
-        F.col("e.pubDate").alias("published"),
-        F.lit(None).cast("string").alias("updated"),
-    )
+    def form(title: Column, link: Column, summary: Column, published: Column, updated: Column) -> Column:
+        return F.struct(
+            title.alias("title"), link.alias("link"), summary.alias("summary"),
+            published.alias("published"), updated.alias("updated"),
+        )
 
-
-def _atom_entries(feeds: DataFrame) -> DataFrame:
-    links = F.col("e.link")
-    main = F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
-    return feeds.select(
-        "url",
-        "fetched",
-        "landing",
-        F.coalesce("title", F.lit(UNKNOWN_FEED)).alias("feed_title"),
-        F.posexplode("entry").alias("item", "e"),
-    ).select(
-        "url",
-        "fetched",
-        "landing",
-        "feed_title",
-        F.col("item").cast("bigint").alias("item"),
-        "e.title",
-        F.coalesce(F.get(main, F.lit(0)), F.get(links, F.lit(0)))["_href"].alias("link"),
-        "e.summary",
-        "e.published",
-        "e.updated",
-    )
+    nothing = F.lit(None).cast("string")
+    if kind == "rss":
+        entries = F.transform(feed["item"], lambda e: form(e["title"], e["link"], e["description"], e["pubDate"], nothing))
+    else:
+        entries = F.transform(
+            feed["entry"], lambda e: form(e["title"], main_link(e), e["summary"], e["published"], e["updated"])
+        )
+    return F.struct(F.coalesce(feed["title"], F.lit(UNKNOWN_FEED)).alias("feed_title"), entries.alias("entries"))
 
 
 def read_feed_entries(
@@ -179,14 +151,29 @@ def read_feed_entries(
     """Entries of RSS and Atom documents, one document per feed and fetch.
 
     Layout: ``<path>/url=<escaped feed URL>/fetched=<epoch>/``.  ``files`` reads these only.
+    Each document is read and parsed once; its root tells which kind it is.
     """
-
-    def documents(row_tag: str, schema: StructType) -> DataFrame:
-        if files is not None and not files:
-            return spark.createDataFrame([], _with(schema, url=StringType(), fetched=LongType(), landing=StringType()))
-        return _xml(_reader(spark, stream, max_files), path, files, row_tag, schema)
-
-    return _rss_entries(documents("channel", RSS_CHANNEL)).unionByName(_atom_entries(documents("feed", ATOM_FEED)))
+    schema = StructType([StructField("value", StringType()), StructField("url", StringType()), StructField("fetched", LongType())])
+    if files is not None and not files:
+        documents = spark.createDataFrame([], _with(schema, landing=StringType()))
+    else:
+        reader = _reader(spark, stream, max_files).schema(schema)
+        read = reader.text(path, wholetext=True) if files is None else reader.option("basePath", path).text(files, wholetext=True)
+        documents = read.select("*", _landing())
+    parsed = with_computed(documents, "d", F.from_xml("value", FEED_DOCUMENT))
+    entry = "struct<title:string,link:string,summary:string,published:string,updated:string>"
+    none = F.array().cast(f"array<struct<feed_title:string,entries:array<{entry}>>>")
+    feeds = F.concat(
+        F.coalesce(F.transform("d.channel", lambda c: _entries(c, "rss")), none),
+        F.coalesce(F.transform("d.feed", lambda f: _entries(f, "atom")), none),
+        F.when(F.col("d.entry").isNotNull(), F.array(_entries(F.col("d"), "atom"))).otherwise(none),
+    )
+    keys = ["url", "fetched", "landing"]
+    return (
+        parsed.select(*keys, F.explode(feeds).alias("f"))
+        .select(*keys, "f.feed_title", F.posexplode("f.entries").alias("item", "e"))
+        .select(*keys, "feed_title", F.col("item").cast("bigint").alias("item"), "e.*")
+    )
 
 
 def feed_articles(entries: DataFrame, as_of: Column) -> DataFrame:

@@ -177,6 +177,12 @@ def test_registry_and_chain_files(spark, tmp_path):
     assert [(r.chainId, r.rpc and [x.url for x in r.rpc]) for r in rpcs] == [(1, ["u"]), (2, None)]
 
 
+def test_feeds_are_scanned_once(spark, tmp_path):
+    put(tmp_path / "url=a" / "fetched=1" / "d.xml", RSS)
+    plan = landed.read_feed_entries(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("from_xml") == 1
+
+
 def test_unfinished_snapshots_are_not_read(spark, tmp_path):
     assert read_snapshot(spark, str(tmp_path / "none")).count() == 0
     root = str(tmp_path / "s")
