@@ -5,8 +5,10 @@ scores exactly the day bonus.  Two exact ways find the pairs that do score, and
 same rows for any input:
 
 ``grams``   For any registry, and what is used unless asked otherwise.  Character trigrams
-            of the text are equi-joined to one trigram per phrase, candidates are verified
-            in the text, and scores are summed by equi-joins and partial aggregation.
+            of the text are equi-joined to one trigram per phrase, the rarest in texts; a
+            bitmap of these keeps other trigrams out of the shuffle.
+            Candidates are verified in the text, and scores are summed by equi-joins and
+            partial aggregation.
 ``inline``  For a caller who knows that the registry is small.  It is one literal of the
             plan; each article is scored where it lies and only pairs at or above the
             token's threshold are emitted.  No join and no shuffle.
@@ -40,6 +42,10 @@ from ..functions.relevance import (
 INLINE_TOKENS = 500
 INLINE_PHRASES = 2000
 GRAM = 3
+# bits that tell which grams are looked for: 128 KB
+GRAM_SLOTS = 1 << 20
+# one text in so many says which grams are rare; the pairs found are the same whatever it says
+COUNTED = 64
 TOKEN_LIST = "array<struct<token_key:string,threshold:double,weights:map<string,int>>>"
 FIELDS = ["title", "snippet", "full_content"]
 # joins phrases of different fields apart; no phrase holds it
@@ -231,23 +237,74 @@ def _phrase_roles(tokens: DataFrame) -> DataFrame:
 
 
 def _text_key() -> Column:
-    """What tells the texts of articles apart, letter case aside."""
-    return F.sha2(F.array_join(_lowered(), BREAK), 256)
+    """What tells the texts of articles apart, letter case aside: 128 bits."""
+    return F.substring(F.unhex(F.sha2(F.array_join(_lowered(), BREAK), 256)), 1, 16)
 
 
-def _candidates(texts: DataFrame, roles: DataFrame) -> DataFrame:
-    """``text_key, phrase``: phrases whose first trigram occurs in the text."""
-    size = F.least(F.length("phrase"), F.lit(GRAM))
-    anchors = roles.select(
-        "phrase", F.substring(F.col("phrase"), F.lit(1), size).alias("gram")
-    ).distinct()
-    text = F.array_join(_lowered(), BREAK)
-    grams = F.concat(*(_grams(text, n) for n in range(1, GRAM + 1)))
-    return (
-        texts.select("text_key", F.explode(F.array_distinct(grams)).alias("gram"))
-        .join(anchors, "gram")
-        .select("text_key", "phrase")
+def _phrase_grams(roles: DataFrame) -> DataFrame:
+    """``phrase, gram``: every trigram of a phrase, or all of a shorter one."""
+    grams = F.when(F.length("phrase") < GRAM, F.array("phrase")).otherwise(_grams(F.col("phrase"), GRAM))
+    phrases = roles.select("phrase").where("phrase != ''").distinct()
+    return phrases.select("phrase", F.explode(F.array_distinct(grams)).alias("gram"))
+
+
+def _slots_of(grams: DataFrame) -> Column:
+    """A bitmap of the grams' hashes as one value of the plan, an array of longs.
+
+    Its size is fixed.  Grams are of three characters at most, so they are few however
+    many phrases there are; a full bitmap lets more through and loses nothing.
+    """
+    slot = _slot(F.col("gram"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), slot % 64)
+    taken = grams.groupBy((slot / 64).cast("bigint").alias("id")).agg(F.bit_or(bit).alias("bits"))
+    every = grams.sparkSession.range(0, GRAM_SLOTS // 64, 1, 1).join(taken, "id", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
+    return every.agg(ordered["bits"].alias("slots")).scalar()
+
+
+def _slot(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(GRAM_SLOTS)).cast("int")
+
+
+def _gram_rows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``text_key, gram``: the wanted grams of each text, and few others.
+
+    One scan takes up to three characters at each place; shorter grams are beginnings of
+    these.  What the bitmap of the wanted ones doesn't know goes before any shuffle.
+    """
+    scanned = F.regexp_extract_all(F.array_join(_lowered(), BREAK), F.lit(rf"(?s)(?=(.{{1,{GRAM}}}))"), F.lit(1))
+
+    def beginnings(longest: Column, n: int) -> Column:
+        return F.array_distinct(F.transform(longest, lambda g: F.substring(g, 1, n)))
+
+    every = bind(
+        F.array_distinct(scanned),
+        lambda longest: F.array_distinct(F.concat(longest, *(beginnings(longest, n) for n in range(1, GRAM)))),
     )
+    at = _slot(F.col("gram"))
+    bits = F.get(_slots_of(wanted), (at / 64).cast("int"))
+    return texts.select("text_key", F.explode(every).alias("gram")).where(
+        F.call_function("shiftright", bits, at % 64).bitwiseAND(1) == 1
+    )
+
+
+def _anchors(texts: DataFrame, roles: DataFrame) -> DataFrame:
+    """``phrase, gram``: of each phrase the gram that the fewest of the counted texts have.
+
+    Any gram of a phrase finds all its texts, a rare one finds few others.  So how often
+    grams occur is counted in a share of the texts only, chosen by their keys.
+    """
+    grams = _phrase_grams(roles)
+    counted = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(COUNTED)) == 0)
+    texts_with = _gram_rows(counted, grams).groupBy("gram").agg(F.count("*").alias("n"))
+    rarity = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")
+    return grams.join(texts_with, "gram", "left").groupBy("phrase").agg(F.min(rarity)["gram"].alias("gram"))
+
+
+def _candidates(texts: DataFrame, roles: DataFrame) -> DataFrame:
+    """``text_key, phrase``: phrases whose rarest gram occurs in the text."""
+    anchors = _anchors(texts, roles)
+    return _gram_rows(texts, anchors).join(anchors, "gram").select("text_key", "phrase")
 
 
 def _match_grams(articles: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from newsweave.operators import matching
 from newsweave.operators.matching import match_tokens, score_assigned
 from newsweave.operators.tokens import prepare_tokens, query_plan, token_key
 from newsweave.schemas import TOKEN
@@ -168,3 +169,30 @@ def test_query_plan_refuses_what_it_cannot_number(spark, n):
     tokens = registry(spark, [token("N", "S", None, [], [f"p{i}" for i in range(n)])])
     with pytest.raises(Exception, match="too many additional phrases"):
         query_plan(tokens).count()
+
+
+def test_a_phrase_is_looked_for_by_its_rarest_gram(spark, monkeypatch):
+    monkeypatch.setattr(matching, "COUNTED", 1)
+    texts = spark.createDataFrame([(0, "abc abx"), (1, "abc"), (2, "abc xyz"), (3, None)], "id int, title string")
+    texts = texts.select(F.col("id").alias("text_key"), "title", *(F.lit("").alias(c) for c in ("snippet", "full_content")))
+    phrases = spark.createDataFrame([("abc abx",), ("abc xyz",), ("abcd",), ("b",), ("zz",), ("",)], "phrase string")
+    found = {r.phrase: r.gram for r in matching._anchors(texts, phrases).collect()}
+    assert set(found) == {"abc abx", "abc xyz", "abcd", "b", "zz"}
+    assert found["b"] == "b" and found["abcd"] == "bcd" and "abc" not in found.values()
+    pairs = {tuple(r) for r in matching._candidates(texts, phrases).collect()}
+    assert pairs == {(0, "abc abx"), (2, "abc xyz"), (0, "b"), (1, "b"), (2, "b")}
+
+
+def test_only_wanted_grams_become_rows(spark):
+    texts = spark.createDataFrame([(0, "the quick brown fox \U0001f600x")], "text_key int, title string")
+    texts = texts.select("*", *(F.lit("").alias(c) for c in ("snippet", "full_content")))
+    wanted = spark.createDataFrame([("qui",), ("x",), ("ox",), ("fo",), ("\U0001f600x",), ("cow",)], "gram string")
+    rows = matching._gram_rows(texts, wanted)
+    assert sorted(r.gram for r in rows.collect()) == sorted(["qui", "x", "ox", "fo", "\U0001f600x"])
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+
+
+def test_an_empty_registry_or_table_matches_nothing(spark):
+    docs, tokens = articles(spark, 20), registry(spark, TOKENS)
+    assert match_tokens(docs, tokens.limit(0)).count() == 0
+    assert match_tokens(docs.limit(0), tokens).count() == 0
