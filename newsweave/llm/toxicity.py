@@ -27,12 +27,10 @@ FIT_ROWS = 20_000
 # Evidence a term needs: the G statistic, toxic documents with it, and their share.
 LEAST_G, LEAST_DOCS, LEAST_SHARE = 24.0, 4, 0.8
 STEM_LENGTHS = range(4, 8)
-# The lexicon keeps the terms with the most evidence, and of the words near a term that
-# clean documents have the most frequent ones.
-MOST_TERMS, MOST_EXCEPTIONS = 5_000, 20_000
 WINDOW = 6
-# Distinct words whose result a task remembers.
-REMEMBERED = 200_000
+# Distinct words whose result a task remembers, and states of the automaton that it keeps; both are found anew when
+# needed again.
+REMEMBERED, KEPT_STATES = 200_000, 50_000
 
 WORD = re.compile(r"[^\W_]+")
 QUOTES = re.compile('["“”„«»]')
@@ -60,20 +58,16 @@ def _shorter(word: str) -> list[str]:
     return [word[:i] + word[i + 1 :] for i in range(len(word))]
 
 
-def _replaced(word: str) -> list[str]:
-    """The word with each letter open; words have no ``*``."""
-    return [f"{word[:i]}*{word[i + 1 :]}" for i in range(len(word))]
-
-
 class Automaton:
     """Accepts words within the allowed edits of a term; a stem accepts any ending.
 
-    A state is a set of (trie node, edits so far); transitions are kept as they are found.
+    A state is a set of (trie node, edits so far); transitions are kept as they are found, up
+    to KEPT_STATES states.
     """
 
     def __init__(self, terms: list[tuple[str, bool]], exceptions: list[str] = (), wider: int = 0):
         self.exceptions = frozenset(exceptions)
-        self.beside = frozenset(x for e in self.exceptions for x in (*_shorter(e), *_replaced(e)))
+        self.letters = sorted({c for e in self.exceptions for c in e})
         self.children: list[dict[str, int]] = [{}]
         self.limit, self.whole, self.stem = [0], [-1], [-1]
         for term, stem in terms:
@@ -92,13 +86,16 @@ class Automaton:
                 self.stem[node] = max(self.stem[node], most)
             else:
                 self.whole[node] = max(self.whole[node], most)
+        self.words: dict[str, int] = {}
+        self._begin()
+
+    def _begin(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.members: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.accepts: list[int] = []
         self.dead = self._state({})
         self.start = self._state(self._closed({0: 0}))
-        self.words: dict[str, int] = {}
 
     def _closed(self, found: dict[int, int]) -> dict[int, int]:
         """Letters of a term may be missing from the word."""
@@ -143,6 +140,8 @@ class Automaton:
         """The least edits from the word to a term that accepts it; None where there is none."""
         known = self.words.get(word)
         if known is None:
+            if len(self.members) >= KEPT_STATES:
+                self._begin()
             state = self.start
             for c in word:
                 following = self.moves[state].get(c)
@@ -159,13 +158,15 @@ class Automaton:
             self.words[word] = known
         return known if known < 9 else None
 
-
     def _beside_exception(self, word: str) -> bool:
         """Whether an exception is one edit away: nearer than a term two edits away."""
-        return (
-            word in self.beside
-            or not self.exceptions.isdisjoint(_shorter(word))
-            or not self.beside.isdisjoint(_replaced(word))
+        if not self.exceptions.isdisjoint(_shorter(word)):
+            return True
+        return any(
+            word[:i] + c + word[j:] in self.exceptions
+            for i in range(len(word) + 1)
+            for j in (i, i + 1)
+            for c in self.letters
         )
 
 
@@ -248,8 +249,8 @@ def lexicon(sample: DataFrame) -> tuple[list[tuple[str, bool]], list[str]]:
     Terms come from document counts of words and of their beginnings.  A stem is a term beside
     its words where they are many and the stem itself is as telling; the shortest such stem is
     taken.  Exceptions are words of clean documents that a term reaches, and those one edit
-    further, as a word between both is more likely theirs.  At most twice MOST_TERMS and
-    MOST_EXCEPTIONS rows reach the driver.
+    further, as a word between both is more likely theirs.  Both come from the sample alone,
+    whose size bounds what reaches the driver; none is left out.
     """
     counts = written(
         sample.mapInPandas(_term_counts, "term string, toxic long, clean long")
@@ -267,10 +268,8 @@ def lexicon(sample: DataFrame) -> tuple[list[tuple[str, bool]], list[str]]:
     rows = (
         counts.where((F.col("term") != "") & (p >= LEAST_DOCS))
         .where(p >= LEAST_SHARE * (p + n))
-        .select("term", "toxic", g.alias("g"))
-        .where(F.col("g") >= LEAST_G)
-        .orderBy(F.desc("g"), "term")
-        .limit(MOST_TERMS)
+        .where(g >= LEAST_G)
+        .select("term", "toxic")
         .collect()
     )
     docs_with = {r["term"]: r["toxic"] for r in rows}
@@ -284,25 +283,19 @@ def lexicon(sample: DataFrame) -> tuple[list[tuple[str, bool]], list[str]]:
     family = F.lit(False)
     for k in STEM_LENGTHS:
         family = family | F.substring("term", 1, k).isin([s for s in stems if len(s) == k])
-    relatives = (
-        counts.where(~F.col("term").endswith("*") & (p > 0) & (p >= LEAST_SHARE * (p + n)) & family)
-        .orderBy(F.desc("toxic"), "term")
-        .limit(MOST_TERMS)
-        .collect()
-    )
+    related = ~F.col("term").endswith("*") & (p > 0) & (p >= LEAST_SHARE * (p + n)) & family
+    relatives = counts.where(related).select("term").collect()
     terms = [(s, True) for s in stems] + [(w, False) for w in sorted({*words, *(r["term"] for r in relatives)})]
 
     def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = Automaton(terms)
         wide = Automaton([t for t in terms if edits_allowed(*t) > 1], wider=1)
         for frame in frames:
-            frame["direct"] = [bool(automaton.edits(w)) for w in frame["term"]]
-            yield frame[[d or bool(wide.edits(w)) for d, w in zip(frame["direct"], frame["term"], strict=True)]]
+            yield frame[[bool(automaton.edits(w)) or bool(wide.edits(w)) for w in frame["term"]]]
 
     harmless = counts.where(~F.col("term").endswith("*") & (F.col("clean") > 0) & (F.col("toxic") <= F.col("clean")))
-    exceptions = harmless.select("term", "clean").mapInPandas(near, "term string, clean long, direct boolean")
-    best = exceptions.orderBy(F.desc("direct"), F.desc("clean"), "term").limit(MOST_EXCEPTIONS)
-    return terms, [r["term"] for r in best.collect()]
+    exceptions = harmless.select("term").mapInPandas(near, "term string").collect()
+    return terms, sorted(r["term"] for r in exceptions)
 
 
 def _design(counts: np.ndarray) -> np.ndarray:
@@ -344,10 +337,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             typos = np.array([features(misspelled(texts[i], automaton), automaton) for i in exact], np.int64).reshape(-1, 4)
             caught = typos[:, 2:].sum(axis=1) > 0
             found, toxic = np.concatenate([found, typos[caught]]), np.concatenate([toxic, toxic[exact[caught]]])
-            # Counts over 20 weigh alike, which keeps the combinations few.
-            yield pd.DataFrame(np.minimum(found, 20), columns=FEATURES).assign(toxic=toxic)
+            yield pd.DataFrame(found, columns=FEATURES).assign(toxic=toxic)
 
     schema = ", ".join(f"{c} long" for c in [*FEATURES, "toxic"])
+    # At most two rows for each of the sample.
     grouped = sample.mapInPandas(rows, schema).groupBy(*FEATURES, "toxic").count().toPandas()
     if grouped["toxic"].nunique() < 2:
         # Nothing to tell apart: every text gets the share of the one label seen.
@@ -374,7 +367,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
         automaton = Automaton(terms, exceptions)
         for texts in batches:
             counts = np.array([features(t, automaton) for t in texts], float).reshape(-1, 4)
-            z = _design(np.minimum(counts, 20)) @ np.array(weights)
+            z = _design(counts) @ np.array(weights)
             yield pd.Series(1 / (1 + np.exp(-z)))
 
     return docs.withColumn("toxicity", toxicity("text"))
@@ -382,4 +375,6 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def unoffending(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that don't score 0.5 or more."""
-    return scores(docs.withColumnRenamed("toxicity", "__toxicity"), fit(docs, labels)).where("toxicity < 0.5").drop("toxicity").withColumnRenamed("__toxicity", "toxicity")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    scored = scores(docs.select("text", F.struct(*columns).alias("row")), fit(docs, labels))
+    return scored.where("toxicity < 0.5").select("row.*")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from newsweave.llm import toxicity
 from newsweave.llm.shared import table
 from newsweave.llm.toxicity import Automaton, edits_allowed, features, fit, scores, unoffending
 from workload.check import ROOT
@@ -120,3 +121,30 @@ def test_held_out_accuracy(spark):
     bad, good = got[got.toxic == 1].toxicity.to_numpy(), got[got.toxic == 0].toxicity.to_numpy()
     auc = np.mean((bad[:, None] > good) + 0.5 * (bad[:, None] == good))
     assert auc > 0.94 and np.mean(bad >= 0.5) > 0.88 and np.mean(good >= 0.5) < 0.01
+
+
+def test_states_are_forgotten_and_found_again(monkeypatch):
+    terms = [("blockhead", False), ("dimwitted", False), ("scumbag", True)]
+    rng = random.Random(5)
+    letters = "blockheadimwtsug"
+    words = []
+    for _ in range(2000):
+        word = rng.choice(terms)[0]
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(word))
+            word = word[:at] + rng.choice(["", rng.choice(letters), word[at] * 2]) + word[at + 1 :]
+        words.append(word)
+    kept = toxicity.Automaton(terms, ["blockade"])
+    monkeypatch.setattr(toxicity, "KEPT_STATES", 20)
+    bounded = toxicity.Automaton(terms, ["blockade"])
+    assert [bounded.edits(w) for w in words] == [kept.edits(w) for w in words]
+    longest = max(map(len, words))
+    assert len(bounded.members) <= 20 + longest < len(kept.members)
+
+
+def test_words_beside_an_exception(monkeypatch):
+    automaton = toxicity.Automaton([("blockheads", False)], ["blackheads"])
+    # two edits from the term and one from the exception, by each kind of edit
+    for word in ("blackhead", "blackheadss", "blackheats", "lackheads"):
+        assert automaton.edits(word) is None
+    assert automaton.edits("blokheds") == 2
