@@ -34,8 +34,13 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+")
+# An escape whose own mark is escaped more than three times over is one escape, so that no layer is needed for each level.
+URL = r"%(?:(?:25){3,})?([0-9A-Fa-f]{2})"
+UNICODE = r"\\u(?:(?:005[Cc]u){3,})?([0-9A-Fa-f]{4})"
+BYTE = r"\\x(?:(?:5[Cc]x){3,})?([0-9A-Fa-f]{2})"
+URL_RUN = re.compile(f"(?:{URL})+")
+UNICODE_RUN = re.compile(f"(?:{UNICODE})+|(?:{BYTE})+")
+URL_ESCAPE, UNICODE_ESCAPE, BYTE_ESCAPE = re.compile(URL), re.compile(UNICODE), re.compile(BYTE)
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 # A layer is read in pieces of at most this many bytes.  They end at a byte that no pattern has; a layer without one in so
 # many bytes is cut anyway, with the last OVERLAP bytes read again, and counted as not opened whole.
@@ -59,18 +64,37 @@ def scan(text: str) -> Iterator[tuple[int, int, int]]:
         yield m.start(), 2, m.end()
 
 
+def _escapes(run: str, escape: re.Pattern) -> tuple[list[str], list[int]]:
+    """The digits of each escape of a run, and how long it is."""
+    found = [(m[1], m.end() - m.start()) for m in escape.finditer(run)]
+    return [digits for digits, _ in found], [length for _, length in found]
+
+
+def _lengths(chars: str, units: list[int], lengths: list[int]) -> list[tuple[str, int]]:
+    """The characters, each with the length of the escapes that it takes."""
+    ends = list(itertools.accumulate(units, initial=0))
+    total = list(itertools.accumulate(lengths, initial=0))
+    return [(c, total[ends[i + 1]] - total[ends[i]]) for i, c in enumerate(chars)]
+
+
 def _url_chars(run: str) -> list[tuple[str, int]]:
     """The characters of a run of URL escapes, with the length of each in the run; invalid bytes are U+FFFD."""
-    decoded = bytes.fromhex(run.replace("%", "")).decode(errors="surrogateescape")
-    return [("\ufffd", 3) if "\udc80" <= c <= "\udcff" else (c, 3 * len(c.encode())) for c in decoded]
+    digits, lengths = _escapes(run, URL_ESCAPE)
+    decoded = bytes.fromhex("".join(digits)).decode(errors="surrogateescape")
+    odd = ["\udc80" <= c <= "\udcff" for c in decoded]
+    units = [1 if o else len(c.encode()) for c, o in zip(decoded, odd, strict=True)]
+    return _lengths("".join("\ufffd" if o else c for c, o in zip(decoded, odd, strict=True)), units, lengths)
 
 
 def _unicode_chars(run: str) -> list[tuple[str, int]]:
     """Likewise for Unicode escapes, with U+FFFD for lone surrogates."""
     if run[1] == "x":
-        return [(chr(int(h, 16)), 4) for h in run.split("\\x")[1:]]
-    decoded = b"".join(bytes.fromhex(h) for h in run.split("\\u")[1:]).decode("utf-16-be", "surrogatepass")
-    return [("\ufffd", 6) if "\ud800" <= c <= "\udfff" else (c, 12 if ord(c) > 0xFFFF else 6) for c in decoded]
+        digits, lengths = _escapes(run, BYTE_ESCAPE)
+        return [(chr(int(h, 16)), n) for h, n in zip(digits, lengths, strict=True)]
+    digits, lengths = _escapes(run, UNICODE_ESCAPE)
+    decoded = bytes.fromhex("".join(digits)).decode("utf-16-be", "surrogatepass")
+    units = [2 if ord(c) > 0xFFFF else 1 for c in decoded]
+    return _lengths("".join("\ufffd" if "\ud800" <= c <= "\udfff" else c for c in decoded), units, lengths)
 
 
 def _decoded_in_place(text: str, pattern: re.Pattern, chars) -> tuple[str, np.ndarray, np.ndarray] | None:

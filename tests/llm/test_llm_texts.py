@@ -6,6 +6,7 @@ import gzip
 import lzma
 import random
 import re
+import time
 import zlib
 from urllib.parse import quote
 
@@ -262,3 +263,36 @@ def test_base_secrets(spark):
     assert words(4, "access") == [KEY]
     assert words(5, "hex") == ["0" * 24, "a1" * 20]
     assert [(x.start, x.kind, x.end) for x in got[6].base] == [(0, "assign", 40_006), (6, "hex", 40_006)]
+
+
+@pytest.mark.parametrize("mark, level", [("%", "25"), ("\\u", "005cu"), ("\\x", "5cx")])
+def test_deep_escapes_take_no_layer_for_each_level(mark, level):
+    last = {"%": "3D", "\\u": "003d", "\\x": "3d"}[mark]
+    for depth in (0, 1, 2, 3, 4, 5, 100_000 // len(level)):
+        text = f"see token{mark}{level * depth}{last}zyxwvuts, and more"
+        started = time.process_time()
+        _, spans, _ = secret_scan.secrets(text)
+        assert "token" + text.split("token")[1].split(",")[0] in [text[s:e] for s, k, e in spans if k == 0]
+        assert time.process_time() - started < 3
+
+
+def test_escapes_of_several_units_keep_their_places():
+    text = "a %252525C3%A9%E2%82%AC%FF \\ud83d\\u005cu005cu005cude00\\ud800 token%3Dabcdefg"
+    _, spans, _ = secret_scan.secrets(text)
+    assert [text[s:e] for s, k, e in spans if k == 0] == ["token%3Dabcdefg"]
+
+
+def test_escapes_are_decoded_as_by_the_library():
+    rng = random.Random(9)
+    for _ in range(500):
+        word = "".join(chr(rng.choice([65, 233, 8364, 0x1F600, 37, 92])) for _ in range(rng.randint(1, 6)))
+        coded = quote(word, safe="") if rng.random() < 0.5 else "".join(f"\\u{x:04x}" for x in _units(word))
+        pattern, chars = (secret_scan.URL_RUN, secret_scan._url_chars) if coded[0] != "\\" else (secret_scan.UNICODE_RUN, secret_scan._unicode_chars)
+        if pattern.fullmatch(coded):
+            found = chars(coded)
+            assert "".join(c for c, _ in found) == word and sum(n for _, n in found) == len(coded)
+
+
+def _units(word):
+    data = word.encode("utf-16-be")
+    return [int.from_bytes(data[i : i + 2]) for i in range(0, len(data), 2)]
