@@ -25,16 +25,18 @@ from newsweave.llm.words import grams, mix, word_hashes
 SHINGLE = 5
 THRESHOLD = 0.8
 # Sketches per text and shingles in each: two texts of similarity 0.8 agree in one with
-# probability 0.41, so that they miss each other in all with 0.00003.
+# probability 0.41, so that they miss each other in all with 0.00003.  Short texts agree less
+# often (of 4 and 5 shingles 1 in 5) and get more sketches: they miss each other with 0.000001.
 SKETCHES = 20
 TAKEN = 4
+SHORT, SHORT_SKETCHES = 25, 64
 # Rounds in which buckets are compared with one of their texts, before all that is left is.
 ROUNDS = 2
 # Longs of the bitmap that bounds from below how many shingles two texts don't share.
 PARITY = 32
 _rng = np.random.default_rng(20)
-_SEEDS = _rng.integers(0, 1 << 63, SKETCHES, np.uint64)[:, None]
-_FACTORS = (_rng.integers(0, 1 << 63, SKETCHES, np.uint64) | np.uint64(1))[:, None]
+_SEEDS = _rng.integers(0, 1 << 63, SHORT_SKETCHES, np.uint64)[:, None]
+_FACTORS = (_rng.integers(0, 1 << 63, SHORT_SKETCHES, np.uint64) | np.uint64(1))[:, None]
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -56,14 +58,16 @@ def labelled(hashes: np.ndarray) -> np.ndarray:
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """One value per hash function: its least labelled shingles, in the text's order."""
     labels = labelled(hashes)
-    keys = (labels ^ _SEEDS) * _FACTORS
+    size = SHORT_SKETCHES if len(labels) <= SHORT else SKETCHES
+    seeds, factors = _SEEDS[:size], _FACTORS[:size]
+    keys = (labels ^ seeds) * factors
     keys ^= keys >> np.uint64(29)
-    keys *= _FACTORS
+    keys *= factors
     if len(labels) > TAKEN:
         at = np.sort(np.argpartition(keys, TAKEN - 1, axis=1)[:, :TAKEN], axis=1)
     else:
-        at = np.broadcast_to(np.arange(len(labels)), (SKETCHES, len(labels)))
-    out = _SEEDS[:, 0].copy()
+        at = np.broadcast_to(np.arange(len(labels)), (size, len(labels)))
+    out = seeds[:, 0].copy()
     for i in range(at.shape[1]):
         out = mix(out * np.uint64(31) + labels[at[:, i]])
     return out
@@ -129,7 +133,7 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOL
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, keys, sketches, sizes, bitmaps = [], [], [], [0], []
+        counts, keys, sketches, sizes, bitmaps, ends = [], [], [], [0], [], [0]
         for data in batch.column("text").to_pylist():
             hashes = shingles(words := word_hashes(data))
             counts.append(len(hashes))
@@ -137,18 +141,18 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(words):
                 sketches.append(sketch(hashes))
                 bitmaps.append(parity(hashes))
-            sizes.append(sizes[-1] + SKETCHES * bool(len(words)))
+            sizes.append(sizes[-1] + (len(sketches[-1]) if len(words) else 0))
+            ends.append(len(bitmaps) * PARITY)
         values = np.concatenate(sketches).view(np.int64) if sketches else np.zeros(0, np.int64)
         bits = np.concatenate(bitmaps) if bitmaps else np.zeros(0, np.int64)
-        offsets = np.array(sizes, np.int32)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 batch.column("text_hash"),
                 pa.array(counts, pa.int32()),
                 pa.array(keys, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                pa.ListArray.from_arrays(pa.array(offsets // SKETCHES * PARITY), pa.array(bits)),
+                pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values)),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bits)),
             ],
             ["doc_id", "text_hash", "n", "words_key", "sketches", "parity"],
         )

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 
-from newsweave.llm.order_minhash import aligned_similarity, near_duplicates, one_of_each, parity, shingles
+from newsweave.llm.order_minhash import aligned_similarity, near_duplicates, one_of_each, parity, shingles, sketch
 from newsweave.llm.words import word_hashes
 
 SCHEMA = "doc_id long, text string, words_key string, n int"
@@ -100,3 +100,20 @@ def test_odd_rows(spark):
     assert sorted(kept.doc_id.dropna()) == [1, 2, 3, 4, 6, 8] and list(kept.columns) == docs.columns
     assert kept.doc_id.isna().sum() == 1
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_short_texts_at_the_threshold_share_a_sketch():
+    rng = random.Random(31)
+    for size, missed in ((8, 0), (12, 0), (28, 0), (60, 1)):
+        lost = 0
+        for _ in range(3000):
+            words = [f"v{rng.randrange(10**9)}" for _ in range(size)]
+            n = size - 4
+            # as many words behind as the threshold allows
+            longer = words + [f"v{rng.randrange(10**9)}" for _ in range(n // 4)]
+            a, b = (shingles(word_hashes(" ".join(t).encode())) for t in (words, longer))
+            assert aligned_similarity(a, b) >= 0.8
+            one, two = sketch(a), sketch(b)
+            shared = min(len(one), len(two))
+            lost += not (one[:shared] == two[:shared]).any()
+        assert lost <= missed
