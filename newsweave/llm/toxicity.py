@@ -351,13 +351,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return terms, exceptions, [float(weights[0]), *np.maximum(weights[1:], 0.0).tolist()]
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column ``toxicity`` from 0 to 1, from the whole text alone.
-
-    Null and empty texts and texts without hits get the model's base rate; so do all texts
-    where labels were missing or all alike.  Rows are scored one by one, so nulls, repeated
-    rows and other columns don't matter; a column named toxicity is replaced.
-    """
+def _score(docs: DataFrame, model: Model) -> Column:
+    """The score of each row's text."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -370,11 +365,19 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             z = _design(counts) @ np.array(weights)
             yield pd.Series(1 / (1 + np.exp(-z)))
 
-    return docs.withColumn("toxicity", toxicity("text"))
+    return toxicity("text")
+
+
+def scores(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with a column ``toxicity`` from 0 to 1, from the whole text alone.
+
+    Null and empty texts and texts without hits get the model's base rate; so do all texts
+    where labels were missing or all alike.  Rows are scored one by one, so nulls, repeated
+    rows and other columns don't matter; a column named toxicity is replaced.
+    """
+    return docs.withColumn("toxicity", _score(docs, model))
 
 
 def unoffending(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that don't score 0.5 or more."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    scored = scores(docs.select("text", F.struct(*columns).alias("row")), fit(docs, labels))
-    return scored.where("toxicity < 0.5").select("row.*")
+    """The rows of docs, all columns whatever their names, that don't score 0.5 or more."""
+    return docs.where(_score(docs, fit(docs, labels)) < 0.5)

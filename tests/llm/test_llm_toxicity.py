@@ -149,3 +149,9 @@ def test_words_beside_an_exception(monkeypatch):
     for word in ("blackhead", "blackheadss", "blackheats", "lackheads"):
         assert automaton.edits(word) is None
     assert automaton.edits("blokheds") == 2
+
+
+def test_columns_of_any_name_are_kept(spark):
+    docs = spark.createDataFrame([(1, "a fine text", "x", "y")], "doc_id long, text string, toxicity string, __toxicity string")
+    kept = unoffending(docs, spark.createDataFrame([], LABELS))
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "a fine text", "x", "y")]
