@@ -3,7 +3,8 @@
 A worklist begins with the text.  Every layer is scanned, then unwrapped: URL and Unicode
 escapes are decoded in place, base64 tokens, compressed or not, become layers of their own.
 Layers seen before are left, so the list ends.  Spans are positions in the original text; a
-span inside a base64 token is the token.  What a token holds is read in pieces, cut where no
+span inside a base64 token is the token, from where it may begin.  Tokens may be wrapped in
+lines and joined to other words; no separate layer is made for each joint.  What a token holds is read in pieces, cut where no
 secret or code can go on, so its size doesn't matter.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import bz2
 import codecs
 import itertools
@@ -42,6 +44,12 @@ URL_RUN = re.compile(f"(?:{URL})+")
 UNICODE_RUN = re.compile(f"(?:{UNICODE})+|(?:{BYTE})+")
 URL_ESCAPE, UNICODE_ESCAPE, BYTE_ESCAPE = re.compile(URL), re.compile(UNICODE), re.compile(BYTE)
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+# Base64 that goes on over line ends, and where a token may begin behind other words.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+LINE_END = re.compile(r"[\x20\t\r\n]+")
+JOINT = re.compile(r"[+/_-]")
+LEAST_TOKEN = 16
+STANDARD = str.maketrans("-_", "+/")
 # A layer is read in pieces of at most this many bytes.  They end at a byte that no pattern has; a layer without one in so
 # many bytes is cut anyway, with the last OVERLAP bytes read again, and counted as not opened whole.
 MOST_BYTES = 16 * 1024 * 1024
@@ -301,10 +309,9 @@ def _backwards(data: bytes) -> Iterator[re.Match]:
 
 
 def _token_bytes(token: str) -> bytes | None:
-    """The bytes that a base64 token stands for."""
-    bare = token.rstrip("=").translate(str.maketrans("-_", "+/"))
-    if len(bare) % 4 == 1:
-        return None
+    """The bytes that a base64 token stands for, without an odd character at its end."""
+    bare = token.rstrip("=").translate(STANDARD)
+    bare = bare[: len(bare) - (len(bare) % 4 == 1)]
     try:
         return base64.b64decode(bare + "=" * (-len(bare) % 4), validate=True)
     except binascii.Error:
@@ -319,6 +326,61 @@ def _from_base64(token: str) -> Iterator[tuple[str, bool]]:
         yield piece.decode("latin-1"), cut
 
 
+def _opens(token: str) -> bool:
+    """Whether a token begins with compressed data, told by its first bytes."""
+    if _decompressor(_token_bytes(token[:8]) or b"") is None:
+        return False
+    head = _token_bytes(token[:256]) or b""
+    try:
+        _decompressor(head).decompress(head, 4096)
+    except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError):
+        return False
+    return True
+
+
+def _beginnings(token: str, lines: list[int]) -> Iterator[int]:
+    """Where a token may begin in a run of its characters: at the start, behind a joint, in a new line.
+
+    A base64 character is a quarter of three bytes, so one beginning per remainder by 4 reads the
+    text of all others with it.  Compressed data has to be read from its own beginning, and what
+    is behind one is taken for a part of it, unless it opens by itself.
+    """
+    yield 0
+    read, packed = {0}, _opens(token[:256])
+    joints = (m.end() for m in JOINT.finditer(token))
+    for at in itertools.chain(lines, joints):
+        if len(token) - at < LEAST_TOKEN:
+            continue
+        opens = _opens(token[at : at + 256])
+        if opens or not packed and at % 4 not in read:
+            read.add(at % 4)
+            packed = packed or opens
+            yield at
+
+
+def _tokens(layer: str) -> Iterator[tuple[str, int, int]]:
+    """What may be base64 in a layer, line ends taken out, with its start and end."""
+    for m in BASE64.finditer(layer):
+        for at in _beginnings(m[0], []):
+            yield m[0][at:], m.start() + at, m.end()
+    if "\n" not in layer:
+        return
+    for m in WRAPPED.finditer(layer):
+        parts, lines, starts, at = [], [], [], m.start()
+        size = 0
+        for gap in LINE_END.finditer(layer, m.start(), m.end()):
+            parts.append(layer[at : gap.start()])
+            size += gap.start() - at
+            at = gap.end()
+            lines.append(size)
+            starts.append(at)
+        joined = "".join([*parts, layer[at : m.end()]])
+        for begin in _beginnings(joined, lines):
+            line = bisect.bisect_right(lines, begin)
+            start = m.start() + begin if line == 0 else starts[line - 1] + begin - lines[line - 1]
+            yield joined[begin:], start, m.end()
+
+
 Layer = tuple[str, np.ndarray | None, np.ndarray | None]
 
 
@@ -332,11 +394,11 @@ def _inside(layer: str, starts: np.ndarray | None, ends: np.ndarray | None) -> I
     for new in fresh:
         if new is not None and new[0]:
             yield (new if starts is None else (new[0], starts[new[1]], ends[new[2] - 1])), False
-    for m in BASE64.finditer(layer):
-        start = m.start() if starts is None else int(starts[m.start()])
-        end = m.end() if ends is None else int(ends[m.end() - 1])
+    for token, first, last in _tokens(layer):
+        start = first if starts is None else int(starts[first])
+        end = last if ends is None else int(ends[last - 1])
         whole = True
-        for inner, cut in _from_base64(m[0]):
+        for inner, cut in _from_base64(token):
             # All of it is at the token; the arrays take no memory.
             yield (inner, np.broadcast_to(start, len(inner)), np.broadcast_to(end, len(inner))), cut and whole
             whole = whole and not cut
@@ -363,7 +425,15 @@ def secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[in
         seen.add(key)
         found.update((int(starts[s]), k, int(ends[e - 1])) for s, k, e in scan(layer))
         work.append(_inside(layer, starts, ends))
-    return base, sorted(found), unopened
+    return base, sorted(_widest(found - set(base)) | set(base)), unopened
+
+
+def _widest(found: set[tuple[int, int, int]]) -> set[tuple[int, int, int]]:
+    """Of the spans of a kind with one end, the one that begins first: a token read from several beginnings is one."""
+    first: dict[tuple[int, int], int] = {}
+    for start, kind, end in found:
+        first[kind, end] = min(start, first.get((kind, end), start))
+    return {(start, kind, end) for (kind, end), start in first.items()}
 
 
 def _digest(layer: str) -> bytes:
@@ -392,7 +462,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     ``base`` are the secrets in the text itself, ``spans`` those and the ones in decoded
     layers: (start, kind, end) in code points of the text, end exclusive, by start, then
     kind.  Null and empty texts have none.  ``unopened`` counts layers
-    with 16 MB on end without a byte to cut at.  Rows are independent, so null and repeated ids don't matter; only doc_id and text are read.
+    with 16 MB on end without a byte to cut at.  Rows are independent: null and repeated ids and
+    equal rows each get their own result, and an empty table gives none; only doc_id and text are read.
     """
     bounded_batches(docs.sparkSession)
     span = "array<struct<start:int,kind:string,end:int>>"

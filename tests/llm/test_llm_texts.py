@@ -296,3 +296,49 @@ def test_escapes_are_decoded_as_by_the_library():
 def _units(word):
     data = word.encode("utf-16-be")
     return [int.from_bytes(data[i : i + 2]) for i in range(0, len(data), 2)]
+
+
+BURIED = b"password: hunter2-is-hidden " * 6
+
+
+def wrapped(data: bytes, width: int, end: str = "\n") -> str:
+    text = base64.b64encode(data).decode()
+    return end.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+@pytest.mark.parametrize("data", [BURIED, gzip.compress(BURIED + random.Random(7).randbytes(300)), zlib.compress(BURIED + random.Random(7).randbytes(300)), bz2.compress(BURIED)])
+@pytest.mark.parametrize("width, end", [(76, "\n"), (64, "\r\n"), (61, "\n  ")])
+def test_tokens_wrapped_in_lines(data, width, end):
+    text = f"see:\n{wrapped(data, width, end)}\n\nand more"
+    spans = secret_scan.secrets(text)[1]
+    assert any(k == 0 and text[s:e].startswith(wrapped(data, width, end)[:20]) for s, k, e in spans)
+
+
+@pytest.mark.parametrize("before", ["https://x.com/cb/", "v1-", "a_b-c+", "/one/two/three/", "key-abc_de/"])
+@pytest.mark.parametrize("data", [BURIED, gzip.compress(BURIED), zlib.compress(BURIED)])
+@pytest.mark.parametrize("encode", [base64.b64encode, base64.urlsafe_b64encode])
+def test_tokens_joined_to_other_words(before, data, encode):
+    token = encode(data).decode()
+    text = f"go {before}{token} there"
+    assert any(k == 0 and text[s:e].endswith(token) or token.startswith(text[s:e][:8]) for s, k, e in secret_scan.secrets(text)[1])
+
+
+def test_tokens_with_words_behind_them():
+    token = base64.b64encode(b"password: hunter2-is-hidden").decode().rstrip("=")
+    for tail in ("/", "/cb", "-x", "_abc", "/a/b/c"):
+        assert [k for _, k, _ in secret_scan.secrets(f"{token}{tail}")[1]] == [0]
+
+
+def test_many_joints_take_linear_time():
+    """Runs of joints, and of what looks like compressed data behind them."""
+    for unit in ("/", "-ab", "eJw/", "H4sI/", "word-\n", "aaaaaaaaaaaaaaaaaaaa\n"):
+        begin = time.monotonic()
+        secret_scan.secrets(unit * (200_000 // len(unit)))
+        assert time.monotonic() - begin < 8
+
+
+def test_secrets_of_repeated_and_no_rows(spark):
+    text = "x v1-" + base64.b64encode(BURIED).decode()
+    got = secret_scan.find_secrets(docs_of(spark, [text, text, None, ""])).collect()
+    assert sorted(len(r.spans) for r in got) == [0, 0, 1, 1]
+    assert secret_scan.find_secrets(docs_of(spark, ["x"]).limit(0)).count() == 0
