@@ -2,7 +2,8 @@
 
 States are the first line and the further lines of a system, user or assistant turn.  A line
 shows the kind of speaker marker that it begins with, its length and whether it asks.  The
-model is counted from labelled transcripts.  Conversations are cut into segments: one pass
+model is counted from labelled transcripts.  Blocks are numbered along conversation, turn and
+text, and conversations cut into segments of so many numbers: one pass
 reduces each segment to a matrix of best scores from any state to any other, the matrices
 of a conversation are chained, and a second pass runs Viterbi inside each segment between
 the states that the chain fixed.  The path is the best of the whole conversation, and no
@@ -11,6 +12,7 @@ task holds more than a segment.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -19,13 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsweave.llm.numbering import numbered
 from newsweave.llm.shared import bounded_batches, written
 
 ROLES = ["system", "user", "assistant"]
 # State 2r begins a turn of role r, state 2r + 1 continues it.
 STATES = 2 * len(ROLES)
-# Blocks of a segment.
+# Blocks of a segment, at most.
 SEGMENT = 256
+# Ranges of blocks are told apart by so many characters of their texts.
+RANGE_CHARS = 256
 # The model is counted from about this many segments.
 FIT_SEGMENTS = 5_000
 
@@ -121,15 +126,21 @@ def _segments(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tu
 
 
 def _blocks(transcripts: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Blocks with their conversation's key and segment; equal blocks are one."""
+    """Blocks with their conversation's key and segment, written; equal blocks are one.
+
+    Segments are stretches of the numbers of all blocks, so none has more than SEGMENT
+    blocks, however many of a conversation have one turn or none.
+    """
     text = F.coalesce("text", F.lit(""))
     alone = F.col("conv_id").isNull()
     rows = transcripts.select("conv_id", "turn", text.alias("text"), *(extra or [])).distinct()
-    return rows.select(
+    keyed = rows.select(
         F.when(alone, F.concat(F.lit("-"), F.sha1(F.concat_ws(":", "turn", "text")))).otherwise(F.col("conv_id").cast("string")).alias("conv"),
-        F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(-1)).cast("long").alias("segment"),
         "conv_id", "turn", "text", *(extra or []),
     )
+    ranges = ["conv", "turn", F.substring("text", 1, RANGE_CHARS)]
+    placed = numbered(keyed, ["conv", "turn", "text", *(extra or [])], "place", "blocks", ranges)
+    return placed.withColumn("segment", F.floor(F.col("place") / SEGMENT)).drop("place")
 
 
 def _dealt(blocks: DataFrame) -> DataFrame:
@@ -144,13 +155,15 @@ def fit(transcripts: DataFrame) -> Model:
     """Count a model from transcripts with a column ``role``; rows with other roles are skipped over."""
     blocks = _blocks(transcripts, ["role"])
     segments = blocks.select("conv", "segment").distinct().count()
+    low = blocks.groupBy(F.col("conv").alias("of")).agg(F.min("segment").alias("low"))
     every = -(-max(segments, 1) // FIT_SEGMENTS)
     sample = blocks.where(F.pmod(F.xxhash64("conv", "segment"), F.lit(every)) == 0)
+    sample = sample.join(low, F.col("conv") == F.col("of")).select("conv", "segment", "turn", "text", "role", (F.col("segment") == F.col("low")).alias("begins"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, moves = np.zeros(STATES), np.zeros((STATES, STATES))
         shows = [np.zeros((STATES, n)) for n in SIZES]
-        for (_, segment), held in _segments(batches, ["conv", "segment"]):
+        for (_, _, begins), held in _segments(batches, ["conv", "segment", "begins"]):
             before = None
             for row in held:
                 if row["role"] not in ROLES:
@@ -161,7 +174,7 @@ def fit(transcripts: DataFrame) -> Model:
                     state = 2 * role + (i > 0)
                     if before is not None:
                         moves[before, state] += 1
-                    elif segment <= 0:
+                    elif begins:
                         first[state] += 1
                     for table, value in zip(shows, observe(line), strict=False):
                         table[state, value] += 1
@@ -213,13 +226,13 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
     part; ``continues`` marks a piece whose turn began in an earlier block.  ``rendered`` is
     the canonical turn, without its speaker marker.  Null and empty texts are one empty line.
     Blocks without a conv_id are each a conversation of their own; those without a turn
-    come first; blocks with equal turns go by text; equal blocks are one.  Other columns
-    aren't read.
+    come first; blocks with equal turns go by text; equal blocks are one.  conv_id and turn may
+    have any type that sorts.  An empty table gives no rows.  Other columns aren't read.
     """
     spark = transcripts.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    blocks = written(_blocks(transcripts), "blocks")
+    blocks = _blocks(transcripts)
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -237,7 +250,11 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
 
     def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for _, held in _segments(batches, ["conv", "segment"]):
+        head = next(batches, None)
+        if head is None:
+            return
+        id_kind, turn_kind = (head.schema.field(c).type for c in ("conv_id", "turn"))
+        for _, held in _segments(itertools.chain([head], batches), ["conv", "segment"]):
             entry, exit_ = held[0]["entry"], held[0]["exit"]
             start = None
             if entry is not None:
@@ -264,8 +281,6 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
             )
 
     types = dict(transcripts.dtypes)
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    id_kind, turn_kind = arrow[types["conv_id"]], arrow[types["turn"]]
     span = blocks.groupBy("conv").agg(F.min("segment").alias("low"), F.max("segment").alias("high"))
     # Conversations of one segment need no chain.
     long = written(span.where("low < high").select(F.col("conv").alias("of"), "low"), "long-conversations")

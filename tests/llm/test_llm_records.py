@@ -247,3 +247,19 @@ def test_rendering_and_odd_blocks(spark, model):
     assert sorted(got.conv_id.fillna(-1).unique()) == [-1, 1, 2, 3, 4] and (got.conv_id.isna()).sum() == 1
     assert chat.parse(spark.createDataFrame([], TALK), model).count() == 0
     assert chat.fit(spark.createDataFrame([], TALK)).path(np.zeros((2, 3), int), None)
+
+
+def test_no_segment_is_larger_than_its_bound(spark, model):
+    """Ten thousand rows of one turn, and of none, are cut like others."""
+    rows = [(1, t, "user", f"line {i}", 0) for t in (7, None) for i in range(5_000)] + [(2, 0, "user", "user: hi", 0)]
+    blocks = chat._blocks(chat.as_transcripts(spark.createDataFrame(rows, TALK)))
+    assert blocks.groupBy("conv", "segment").count().agg({"count": "max"}).first()[0] <= chat.SEGMENT
+    assert chat.parse(chat.as_transcripts(spark.createDataFrame(rows, TALK)), model).select("conv_id", "turn", "text").count() >= len(rows)
+
+
+def test_ids_and_turns_of_other_types(spark, model):
+    rows = spark.createDataFrame([(1, 0, "user", "user: hi", 0), (1, 1, "assistant", "assistant: hello", 0)], TALK)
+    cast = rows.selectExpr("cast(conv_id as smallint) conv_id", "cast(turn as decimal(9,1)) turn", "role", "text")
+    got = chat.parse(cast, model)
+    assert dict(got.dtypes)["turn"] == "decimal(9,1)" and dict(got.dtypes)["conv_id"] == "smallint"
+    assert [(int(r.turn), r.role, r.text) for r in got.orderBy("turn").collect()] == [(0, "user", "hi"), (1, "assistant", "hello")]
