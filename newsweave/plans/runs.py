@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.articles import new_articles, refresh_report, within_fetch_window
+from ..operators.articles import within_fetch_window
 from ..operators.registry import registry_report
 from ..operators.tokens import prepare_tokens
 from ..session import configure
@@ -31,7 +31,14 @@ from ..sources.landed import (
     token_search_articles,
 )
 from ..sources.registry_files import default_feed_urls, read_registry, write_registry
-from ..sources.snapshots import MARKS, read_snapshot, write_published, write_state
+from ..sources.snapshots import (
+    new_in_state,
+    read_state,
+    read_totals,
+    totals_report,
+    write_published,
+    write_state,
+)
 from .publication import publication_dates
 from .refresh import (
     default_feed_articles,
@@ -54,7 +61,7 @@ def known_marks(spark: SparkSession, snapshots: str, earliest: int | None) -> Da
     for this, after in zip(done, [*done[1:], None]):
         until = after.time if after else FOREVER
         if earliest is None or until > earliest:
-            marks = spark.read.parquet(this.part(spark, MARKS))
+            marks = read_totals(spark, this).drop("kept")
             parts = parts.unionByName(marks.withColumns({"since": F.lit(this.time), "until": F.lit(until)}))
     return parts
 
@@ -78,14 +85,14 @@ def commit_refresh(
     Its time is ``as_of``, or the second after the newest snapshot's.  The state, the
     landings it took, the marks and the public files are written first, the commit last:
     wherever the job dies, a rerun gives the same.  A batch that is committed is left alone.
-    Returns the new state and the one before it.
+    Returns the report per token and the rows that are new, both read from what was written.
     """
     last = newest(spark, snapshots)
     if batch and any(c.batch == batch for c in commits(spark, snapshots)):
         return None
     now = as_of if last is None else max(as_of, last.time + 1)
     time = F.lit(now).cast("bigint")
-    previous = read_snapshot(spark, snapshots)
+    previous = read_state(spark, last)
     marks = known_marks(spark, snapshots, earliest)
     state = refresh(
         tokens=prepared,
@@ -100,8 +107,9 @@ def commit_refresh(
     current = write_state(state, snapshots, attempt)
     write_part(landings, snapshots, attempt, LANDINGS)
     write_published(current, published, now, prepared)
-    commit(spark, snapshots, attempt, now, batch)
-    return current, previous
+    done = commit(spark, snapshots, attempt, now, batch)
+    report = totals_report(read_totals(spark, done), read_totals(spark, last))
+    return report, new_in_state(current, previous)
 
 
 def _fetched(path: str) -> int | None:
@@ -137,7 +145,7 @@ def run_refresh(
     paths = {kind: [r.path for r in rows] for kind, rows in files.items()}
     fetched = [f for p in paths["search"] if (f := _fetched(p)) is not None]
     taken = [(r.landing,) for rows in files.values() for r in rows]
-    current, previous = commit_refresh(
+    return commit_refresh(
         spark,
         settings,
         prepare_tokens(tokens, settings),
@@ -149,7 +157,6 @@ def run_refresh(
         published=published,
         as_of=as_of,
     )
-    return refresh_report(current, previous), new_articles(current, previous)
 
 
 def run_registry(

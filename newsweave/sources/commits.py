@@ -92,6 +92,39 @@ def commit(spark: SparkSession, root: str, attempt: str, time: int, batch: str =
     return done
 
 
+def write_buckets(df: DataFrame, root: str, attempt: str, part: str, key: str, buckets: int) -> DataFrame:
+    """A part in so many files, one per bucket of ``key``; the part read back.
+
+    ``key`` has to be spread evenly, as a hash is.
+    """
+    path = f"{root}/{attempt}/{part}-{buckets}"
+    name = f"{part}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return _only_read(df.sparkSession, name)
+
+
+def read_buckets(done: Commit, spark: SparkSession, part: str, schema: StructType, key: str) -> DataFrame:
+    """A part written by ``write_buckets``, whose joins on ``key`` need no shuffle."""
+    attempt = f"{done.root}/{done.attempt(spark)}"
+    found = next(n for n in names(spark, attempt) if n.startswith(f"{part}-"))
+    name = f"{part}_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    buckets = int(found.rsplit("-", 1)[1])
+    path = f"{attempt}/{found}".replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (path '{path}') "
+        f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS"
+    )
+    return _only_read(spark, name)
+
+
+def _only_read(spark: SparkSession, name: str) -> DataFrame:
+    """A table's rows, after its entry is taken from the catalog; its files belong to the attempt and stay."""
+    rows = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return rows
+
+
 def write_part(df: DataFrame, root: str, attempt: str, part: str) -> str:
     path = f"{root}/{attempt}/{part}"
     df.write.parquet(path)

@@ -2,22 +2,29 @@
 
 A refresh reads the newest committed snapshot and writes another one; overwriting the
 folder being read would destroy the input of the running job.  See ``commits`` for the
-layout.  Public files have a layout of their own,
+layout.  The state lies in buckets of the hash of token and article key, as many as the
+session has shuffle partitions, however many tokens there are: a token with a third of all
+rows is spread like any other, and two snapshots are compared bucket by bucket.  Beside it
+lies one row per token, with what reports and windows need of it.  Public files have a layout of their own,
 ``<root>/snapshot=<as_of>/token_key=<key>/``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..operators.articles import high_water_marks, published
-from ..schemas import PUBLISHED_FIELDS, SNAPSHOT
-from .commits import commit, exists, names, new_attempt, newest, write_part
+from ..operators.articles import published
+from ..schemas import ARTICLE_KEYS, PUBLISHED_FIELDS, SNAPSHOT
+from .commits import Commit, commit, exists, names, new_attempt, newest, read_buckets, write_buckets, write_part
 
 FINISHED = "_SUCCESS"
 STATE, MARKS = "state", "marks"
+# What a row of the state is known by.
+ROW_KEY = "row_key"
+STATE_SCHEMA = StructType([*SNAPSHOT.fields, StructField(ROW_KEY, StringType())])
+TOTALS = StructType([StructField("token_key", StringType()), StructField("high_water", LongType()), StructField("kept", LongType())])
 SNAPSHOT_PUBLIC = StructType(
     [SNAPSHOT[name] for name in PUBLISHED_FIELDS] + [StructField("token_key", StringType())]
 )
@@ -41,10 +48,45 @@ def snapshot_time(spark: SparkSession, root: str) -> int | None:
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """The previous state, an empty table on the first run."""
-    done = newest(spark, root)
+    return read_state(spark, newest(spark, root)).select(*SNAPSHOT.fieldNames())
+
+
+def read_state(spark: SparkSession, done: Commit | None) -> DataFrame:
+    """The state of a commit with the key of its buckets, an empty table for none."""
     if done is None:
-        return spark.createDataFrame([], SNAPSHOT)
-    return spark.read.schema(SNAPSHOT).parquet(done.part(spark, STATE))
+        return spark.createDataFrame([], STATE_SCHEMA)
+    return read_buckets(done, spark, STATE, STATE_SCHEMA, ROW_KEY)
+
+
+def read_totals(spark: SparkSession, done: Commit | None) -> DataFrame:
+    """``token_key, high_water, kept`` of a commit: the newest article and the number of them."""
+    if done is None:
+        return spark.createDataFrame([], TOTALS)
+    return spark.read.schema(TOTALS).parquet(done.part(spark, MARKS))
+
+
+def row_key() -> Column:
+    """128 bits that tell rows of the state apart by token and article key; nulls are values of their own."""
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in ("token_key", *ARTICLE_KEYS)]
+    return F.md5(F.concat(*parts))
+
+
+def new_in_state(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """Rows of a state whose token and key another one does not hold, bucket by bucket.
+
+    Takes what ``write_state`` and ``read_state`` give.  No row moves where both have the same
+    number of buckets.
+    """
+    return current.join(previous.select(ROW_KEY), ROW_KEY, "left_anti").select(*SNAPSHOT.fieldNames())
+
+
+def totals_report(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """``refresh_report`` from the totals of two snapshots, one row per token each."""
+    zero = F.lit(0).cast("bigint")
+    before = previous.select("token_key", F.col("kept").alias("previous"))
+    joined = current.select("token_key", "kept").join(before, "token_key", "full")
+    counts = joined.select("token_key", F.coalesce("kept", zero).alias("kept"), F.coalesce("previous", zero).alias("previous"))
+    return counts.withColumn("added", F.col("kept") - F.col("previous"))
 
 
 def ordered(state: DataFrame) -> DataFrame:
@@ -64,11 +106,13 @@ def ordered(state: DataFrame) -> DataFrame:
 
 
 def write_state(state: DataFrame, root: str, attempt: str) -> DataFrame:
-    """The ordered state and its high-water marks as parts of an attempt; the state read back."""
-    path = f"{root}/{attempt}/{STATE}"
-    ordered(state).write.partitionBy("token_key").parquet(path)
-    current = state.sparkSession.read.schema(SNAPSHOT).parquet(path)
-    write_part(high_water_marks(current), root, attempt, MARKS)
+    """The ordered state and its totals per token as parts of an attempt; the state read back."""
+    spark = state.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = ordered(state).withColumn(ROW_KEY, row_key())
+    current = write_buckets(keyed, root, attempt, STATE, ROW_KEY, buckets)
+    newest_of = F.max(F.coalesce("timestamp", F.lit(0))).alias("high_water")
+    write_part(current.groupBy("token_key").agg(newest_of, F.count(F.lit(1)).alias("kept")), root, attempt, MARKS)
     return current
 
 

@@ -15,7 +15,20 @@ from newsweave.sources.registry_files import (
     read_registry,
     write_registry,
 )
-from newsweave.sources.snapshots import append_items, newest_finished, read_snapshot, snapshot_time
+from newsweave.operators.articles import new_articles, refresh_report
+from newsweave.schemas import SNAPSHOT
+from newsweave.sources.commits import commits as commits_of
+from newsweave.sources.snapshots import (
+    append_items,
+    new_in_state,
+    newest_finished,
+    read_snapshot,
+    read_state,
+    read_totals,
+    snapshot_time,
+    totals_report,
+    write_snapshot,
+)
 
 NOW = 1735689600
 
@@ -207,3 +220,37 @@ def test_append(spark, tmp_path):
     for i in range(2):
         append_items(spark.createDataFrame([(i,)], "i int"), path)
     assert sorted(r.i for r in spark.read.schema("i int").json(path).collect()) == [0, 1]
+
+
+def _rows(spark, numbers, tokens):
+    """State rows of so many tokens, a third of all of the first; every fifth has no link."""
+    rows = [(f"k{0 if i % 3 == 0 else i % tokens}", f"t{i}", None if i % 5 == 0 else f"/{i}", "s", i) for i in numbers]
+    made = spark.createDataFrame(rows, "token_key string, title string, link string, source string, timestamp long")
+    rest = {f.name: F.lit(None).cast(f.dataType) for f in SNAPSHOT if f.name not in made.columns}
+    return made.withColumns({**rest, "first_arrival": F.lit(0).cast("long")})
+
+
+def test_snapshots_are_compared_bucket_by_bucket(spark, tmp_path):
+    root = str(tmp_path / "state")
+    old, new = _rows(spark, range(0, 600, 2), 400), _rows(spark, range(0, 600, 3), 400)
+    write_snapshot(old, root, 1)
+    write_snapshot(new, root, 2)
+    before, after = commits_of(spark, root)
+    found = new_in_state(read_state(spark, after), read_state(spark, before))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace("BroadcastExchange", "")
+    assert sorted(r.title for r in found.collect()) == sorted(r.title for r in new_articles(new, old).collect())
+    report = totals_report(read_totals(spark, after), read_totals(spark, before))
+    assert sorted(map(tuple, report.collect())) == sorted(map(tuple, refresh_report(new, old).collect()))
+
+
+def test_files_of_a_snapshot_do_not_grow_with_tokens(spark, tmp_path):
+    counts = []
+    for tokens in (3, 500):
+        root = tmp_path / f"state{tokens}"
+        write_snapshot(_rows(spark, range(600), tokens), str(root), 1)
+        counts.append(len(list(root.glob("attempt=*/state-*/part-*"))))
+        assert read_snapshot(spark, str(root)).count() == 600
+    assert counts[0] == counts[1] == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # no entries stay in the catalog
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("state_")]

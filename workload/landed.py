@@ -16,7 +16,18 @@ from newsweave.sources.landed import (
     read_search,
     search_articles,
 )
-from newsweave.sources.snapshots import append_items, read_published, read_snapshot, write_published, write_snapshot
+from newsweave.sources.commits import commits
+from newsweave.sources.snapshots import (
+    append_items,
+    new_in_state,
+    read_published,
+    read_snapshot,
+    read_state,
+    read_totals,
+    totals_report,
+    write_published,
+    write_snapshot,
+)
 from newsweave.plans.refresh import SEARCH, arrival
 from newsweave.streaming.latest import (
     compact_changes,
@@ -201,6 +212,31 @@ FROM ({sql.DOCUMENTS}) WHERE doc_id % 4 > 0
 """
 
 
+def snapshot_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a written snapshot that the one before it does not hold, with how many its token has of all."""
+    root = shared_folder(configure(spark), "snapshots")
+    state = _state(spark, sf_dir).withColumn("link", F.expr("CASE WHEN doc_id % 7 > 0 THEN link END"))
+    write_snapshot(state.filter("doc_id % 4 > 0"), root, AS_OF)
+    write_snapshot(state.filter("doc_id % 5 > 0"), root, AS_OF + DAY)
+    before, after = commits(spark, root)
+    report = totals_report(read_totals(spark, after), read_totals(spark, before))
+    new = new_in_state(read_state(spark, after), read_state(spark, before))
+    return new.join(report, "token_key").select("token_key", "title", "link", "source", "timestamp", "kept", "previous", "added")
+
+
+SNAPSHOT_NEW_SQL = f"""
+WITH d AS (SELECT * REPLACE (CASE WHEN doc_id % 7 > 0 THEN link END AS link), 'k' || (doc_id % 3) AS token_key
+           FROM ({sql.DOCUMENTS})),
+n AS (SELECT token_key, count(*) FILTER (doc_id % 5 > 0) AS kept, count(*) FILTER (doc_id % 4 > 0) AS previous FROM d GROUP BY 1)
+SELECT c.token_key, title, link, source, timestamp, kept, previous, kept - previous AS added
+FROM d c JOIN n USING (token_key)
+WHERE doc_id % 5 > 0 AND NOT EXISTS (
+    SELECT 1 FROM d p WHERE p.doc_id % 4 > 0 AND p.token_key = c.token_key
+    AND p.source IS NOT DISTINCT FROM c.source AND p.link IS NOT DISTINCT FROM c.link
+    AND p.title IS NOT DISTINCT FROM c.title)
+"""
+
+
 def published_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Published files after a run for all tokens and a later one that leaves k0 without articles.
 
@@ -370,6 +406,7 @@ QUERIES = {
     "landed_search": (landed_search, LANDED_SEARCH_SQL),
     "landed_feeds": (landed_feeds, LANDED_FEEDS_SQL),
     "snapshot_latest": (snapshot_latest, SNAPSHOT_SQL),
+    "snapshot_new": (snapshot_new, SNAPSHOT_NEW_SQL),
     "published_json": (published_json, PUBLISHED_SQL),
     "stream_latest": (stream_latest, DEDUP_SQL),
 }
