@@ -106,7 +106,12 @@ def planned_queries(tokens: DataFrame) -> DataFrame:
 def token_search_articles(
     articles: DataFrame, tokens: DataFrame
 ) -> DataFrame:
-    """Search rows of each token's queries, ready for the refresh; ``fetched`` is kept for their window."""
+    """Search rows of each token's queries, ready for the refresh; ``fetched`` is kept for their window.
+
+    Rows that don't say when they were fetched have a null there, as landings without it do.
+    """
+    if "fetched" not in articles.columns:
+        articles = articles.withColumn("fetched", F.lit(None).cast("bigint"))
     plan = planned_queries(tokens).select("query_id", "token_key", "query_order")
     return as_articles(
         articles.join(plan, "query_id").withColumn(

@@ -135,6 +135,15 @@ def test_search_rows_belong_to_every_token_that_asked(spark, tmp_path):
     assert {(r.token_key, r.title) for r in found.collect()} == {(q.token_key, q.query) for q in queries}
 
 
+def test_search_rows_need_not_say_when_they_were_fetched(spark):
+    tokens = prepare_tokens(spark.createDataFrame([("A", "S", {"c": "A"}, None, None, [], ["x"], None)], TOKEN))
+    zero = F.lit(0).cast("bigint")
+    rows = landed.planned_queries(tokens).select("query_id", F.col("query").alias("title"), zero.alias("page"), zero.alias("item"))
+    found = landed.token_search_articles(rows, tokens)
+    assert dict(found.dtypes)["fetched"] == "bigint"
+    assert {(r.title, r.fetched, r.arrival.list) for r in found.collect()} == {("A S ", None, 1), ("A S  x", None, 2)}
+
+
 RSS = """<?xml version="1.0"?><rss version="2.0"><channel><title>Feed &amp; Co</title>
 <item><title>A &amp; B</title><link>https://x/1</link><description><![CDATA[<p>Some <b>text</b></p>]]></description>
 <pubDate>Wed, 04 Dec 2024 10:30:00 +0200</pubDate></item>
