@@ -90,3 +90,14 @@ def test_feeds_can_be_taken_as_a_stream(spark, tmp_path):
     assert {(r.title, r.timestamp) for r in found} == {
         ("A & B", 1733301000), ("No date", 1), ("E", 1733308200)
     }
+
+
+def test_landed_files_grow_with_the_documents(spark, tmp_path, monkeypatch):
+    from workload import landed
+
+    monkeypatch.setattr(landed, "TASK_DOCS", 10)
+    docs = spark.range(95).withColumnRenamed("id", "doc_id")
+    assert landed._land_articles(docs, str(tmp_path / "many"), 2) == 10
+    assert landed._land_articles(docs.limit(3), str(tmp_path / "few"), 2) == 2
+    sizes = [len(f.read_text().splitlines()) for f in (tmp_path / "many").glob("*.json")]
+    assert sum(sizes) == 95 and max(sizes) < 30

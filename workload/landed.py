@@ -262,13 +262,26 @@ UNION ALL SELECT '', '', '', 0, '', k FROM (VALUES ('k0'), ('new')) v(k)
 """
 
 
+TASK_DOCS = 50_000
+
+
+def _land_articles(docs: DataFrame, path: str, at_least: int) -> int:
+    """Land documents in a number of files that grows with them; returns it, a multiple of ``at_least``.
+
+    No task writes, and so reads, more than some 50,000 documents.
+    """
+    files = at_least * max(1, -(-docs.count() // (at_least * TASK_DOCS)))
+    docs.repartition(files, "doc_id").write.mode("append").json(path)
+    return files
+
+
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents landed as JSON files and taken as a stream, two files at a time."""
+    """Documents landed as JSON files and taken as a stream, a quarter of the files at a time."""
     root = shared_folder(configure(spark), "stream")
     fields = ["doc_id", "source", "link", "title", "timestamp", "full_content"]
     docs = keyed_documents(spark, sf_dir).select(*fields)
-    docs.repartition(8, "doc_id").write.json(f"{root}/landed")
-    arrived = stream_articles(spark, f"{root}/landed", docs.schema, max_files_per_trigger=2)
+    landed = _land_articles(docs, f"{root}/landed", 8)
+    arrived = stream_articles(spark, f"{root}/landed", docs.schema, max_files_per_trigger=landed // 4)
     slim = arrived.withColumn("n_chars", F.length("full_content").cast("bigint")).drop("full_content")
     write_changes(
         latest_stream(slim, arrival="doc_id"), f"{root}/changes", f"{root}/checkpoint"
@@ -286,7 +299,7 @@ def stream_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = keyed_documents(spark, sf_dir).select(*fields)
     for late in (False, True):
         part = docs.filter((F.col("timestamp") < 1705363200) == late)
-        part.repartition(2, "doc_id").write.mode("append").json(f"{root}/landed")
+        _land_articles(part, f"{root}/landed", 2)
         arrived = stream_articles(spark, f"{root}/landed", docs.schema)
         slim = arrived.withColumn("n_chars", F.length("full_content").cast("bigint")).drop("full_content")
         changes = latest_stream(slim, arrival="doc_id", retention="40 days")
