@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import join_spread
 from ..functions.relevance import MAX_DAY_BONUS
 from ..functions.text import clean_snippet
 from ..schemas import ARTICLE_KEYS, PUBLISHED_FIELDS
@@ -137,7 +138,7 @@ def within_window(articles: DataFrame, windows: DataFrame) -> DataFrame:
     """Rows of each token dated inside its window, whole days at both ends."""
     day = article_day()
     dated = day.between(article_day("start_ts"), article_day("end_ts"))
-    return articles.join(windows, "token_key").filter(dated).drop("start_ts", "end_ts")
+    return join_spread(articles, windows, ["token_key"], articles.columns).filter(dated).drop("start_ts", "end_ts")
 
 
 def high_water_marks(snapshot: DataFrame) -> DataFrame:

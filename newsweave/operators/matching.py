@@ -27,7 +27,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import bind, with_computed
+from ..functions.columns import bind, join_spread, with_computed
 from ..functions.relevance import (
     KEYWORD_WEIGHT,
     SINGLE_ARTICLE_BONUS,
@@ -68,7 +68,8 @@ def score_assigned(articles: DataFrame, tokens: DataFrame) -> DataFrame:
     score = F.when(F.col("relevance").isNotNull(), F.col("relevance")).otherwise(
         pair_score()
     )
-    return with_computed(articles.join(dims, "token_key"), "relevance", score).drop(
+    assigned = join_spread(articles, dims, ["token_key"], articles.columns)
+    return with_computed(assigned, "relevance", score).drop(
         "keywords", "phrases"
     )
 

@@ -196,3 +196,18 @@ def test_an_empty_registry_or_table_matches_nothing(spark):
     docs, tokens = articles(spark, 20), registry(spark, TOKENS)
     assert match_tokens(docs, tokens.limit(0)).count() == 0
     assert match_tokens(docs.limit(0), tokens).count() == 0
+
+
+def test_a_few_tokens_do_not_mean_a_few_tasks(spark):
+    """Rows of one token are dealt out over many partitions, and keep their scores."""
+    tokens = registry(spark, TOKENS[:1])
+    docs = articles(spark, 200).withColumns({"relevance": F.lit(None).cast("double"), "token_key": F.lit("lido")})
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = score_assigned(docs, tokens)
+        parts = {r.p for r in scored.select(F.spark_partition_id().alias("p")).distinct().collect()}
+        assert len(parts) > 4 and scored.count() == 200
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
