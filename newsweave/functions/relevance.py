@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from itertools import groupby
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,13 +35,10 @@ _CLITIC = rf"(?:'(?:s|m|d|ll|re|ve)?|n't)(?=(?:\.'?)?{_EDGE})"
 # the look-ahead rejects most letters with a single test
 BETWEEN_WORDS = rf"(?=[{SPACE_CHARS}{CUT_CHARS}:,.\-'n])(?:{_GAP}|{_STOP}|{_CLITIC})+"
 
-# A counted word: letters and digits only, and no stop word.  The stop words stand in
-# the pattern, grouped by first letter, so the test is one literal of the plan.
-_BY_LETTER = groupby(sorted(STOP_WORDS), key=lambda w: w[0])
-_STOP_WORD = "|".join(
-    f"{letter}(?:{'|'.join(w[1:] for w in group)})" for letter, group in _BY_LETTER
-)
-WORD = rf"^(?!(?:{_STOP_WORD})$)[\p{{L}}\p{{N}}]+$"
+# A counted word: letters and digits only, and no stop word.  ASCII is the common case,
+# and is taken without a look at Unicode's classes.
+WORD = r"^[a-z0-9]*+[\p{L}\p{N}]*+$"
+NOT_COUNTED = ["", *STOP_WORDS]
 
 _GLUED = r"\b(" + "|".join(rf"{a}(?={b}\b)" for a, b in SPLIT_WORDS) + ")"
 
@@ -75,9 +74,16 @@ def words(text: ColumnOrName) -> Column:
     Follows a Penn-Treebank tokenizer as far as it can be seen here: its other
     tokens hold a character that is no letter or digit, and are not counted.
     """
-    plain = F.translate(col(text), WIDE_CHARS, " " * len(WIDE_CHARS))
-    unglued = F.regexp_replace(plain, _GLUED, "$1 ")
-    return F.filter(F.split(unglued, BETWEEN_WORDS), lambda w: w.rlike(WORD))
+    def unglue(t: Column) -> Column:
+        glued = reduce(or_, (F.contains(t, F.lit(a + b)) for a, b in SPLIT_WORDS))
+        return F.when(glued, F.regexp_replace(t, _GLUED, "$1 ")).otherwise(t)
+
+    # wide characters take more than one byte
+    ascii = F.octet_length(col(text)) == F.char_length(col(text))
+    plain = F.when(ascii, col(text)).otherwise(F.translate(col(text), WIDE_CHARS, " " * len(WIDE_CHARS)))
+    split = F.split(bind(plain, unglue), BETWEEN_WORDS)
+    # a set of literals is one hash look-up a word
+    return F.filter(split, lambda w: ~w.isin(NOT_COUNTED) & w.rlike(WORD))
 
 
 def unique_ratio(text: ColumnOrName) -> Column:
@@ -97,6 +103,33 @@ def weigh(base: Column, ratio: Column) -> Column:
     return F.when(base > 0, base * (1 + ratio)).otherwise(F.lit(0.0))
 
 
+def decided(bases: Column, bonus: Column, ratios: Callable[[], Column]) -> Column:
+    """Final score of the base scores of the three fields.
+
+    Word variety lies between 0 and 1, and a larger one never gives a smaller score.  Where
+    both ends give the same, as with no hits or with the highest score, that is it;
+    ``ratios`` is looked at only elsewhere.
+    """
+    return bind(
+        lowest_score(bases, bonus),
+        lambda low: F.when(low == highest_score(bases, bonus), low).otherwise(
+            bind(ratios(), lambda r: final_score(combine_weighed(bases, r), bonus))
+        ),
+    )
+
+
+def lowest_score(bases: Column, bonus: Column) -> Column:
+    return final_score(combine(bases), bonus)
+
+
+def highest_score(bases: Column, bonus: Column) -> Column:
+    return final_score(bind(F.transform(bases, lambda b: weigh(b, F.lit(1.0))), combine), bonus)
+
+
+def combine_weighed(bases: Column, ratios: Column) -> Column:
+    return bind(F.transform(bases, lambda b, i: weigh(b, F.get(ratios, i))), combine)
+
+
 def text_relevance(text: ColumnOrName, keywords: Column, phrases: Column) -> Column:
     """Score of one text; ``keywords`` and ``phrases`` are normalised arrays."""
     lowered = F.lower(F.coalesce(col(text), F.lit("")))
@@ -135,5 +168,29 @@ def round_score(c: Column) -> Column:
     return F.floor(c * 100 + 0.5) / 100
 
 
+def relevance_score(
+    title: ColumnOrName,
+    snippet: ColumnOrName,
+    full_content: ColumnOrName,
+    keywords: Column,
+    phrases: Column,
+    bonus: Column,
+) -> Column:
+    """``final_score`` of ``content_relevance``, without word variety where it decides nothing."""
+    lowered = F.transform(
+        F.array(col(title), col(snippet), col(full_content)), lambda t: F.lower(F.coalesce(t, F.lit("")))
+    )
+
+    def score(texts: Column) -> Column:
+        bases = F.transform(texts, lambda t: base_score(sum_hits(t, keywords), sum_hits(t, phrases)))
+
+        def ratios(b: Column) -> Column:
+            return F.transform(texts, lambda t, i: F.when(F.get(b, i) > 0, unique_ratio(t)).otherwise(F.lit(0.0)))
+
+        return bind(bases, lambda b: decided(b, bonus, lambda: ratios(b)))
+
+    return bind(lowered, score)
+
+
 def final_score(content: Column, bonus: Column) -> Column:
     return round_score(F.least(content + bonus, F.lit(MAX_SCORE)))

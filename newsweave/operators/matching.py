@@ -5,10 +5,10 @@ scores exactly the day bonus.  Two exact ways find the pairs that do score, and
 same rows for any input:
 
 ``grams``   For any registry, and what is used unless asked otherwise.  Character trigrams
-            of the text are equi-joined to one trigram per phrase, the rarest in texts; a
-            bitmap of these keeps other trigrams out of the shuffle.
-            Candidates are verified in the text, and scores are summed by equi-joins and
-            partial aggregation.
+            of the text are equi-joined to one trigram per phrase, the rarest in texts;
+            trigrams that no phrase needs stay out of the shuffle.
+            A text meets all its candidates at once and is measured there; scores are
+            summed by equi-joins and partial aggregation.
 ``inline``  For a caller who knows that the registry is small.  It is one literal of the
             plan; each article is scored where it lies and only pairs at or above the
             token's threshold are emitted.  No join and no shuffle.
@@ -31,12 +31,12 @@ from ..functions.columns import bind, join_spread, with_computed
 from ..functions.relevance import (
     KEYWORD_WEIGHT,
     SINGLE_ARTICLE_BONUS,
-    combine,
-    content_relevance,
     count_hits,
-    final_score,
+    decided,
+    highest_score,
+    lowest_score,
+    relevance_score,
     unique_ratio,
-    weigh,
 )
 
 INLINE_TOKENS = 500
@@ -44,6 +44,8 @@ INLINE_PHRASES = 2000
 GRAM = 3
 # bits that tell which grams are looked for: 128 KB
 GRAM_SLOTS = 1 << 20
+# up to so many grams are looked for one by one, of more a text is cut into all its grams
+LISTED_GRAMS = 256
 # one text in so many says which grams are rare; the pairs found are the same whatever it says
 COUNTED = 64
 TOKEN_LIST = "array<struct<token_key:string,threshold:double,weights:map<string,int>>>"
@@ -55,8 +57,7 @@ BREAK = "\u0000"
 def pair_score(bonus: float | Column = SINGLE_ARTICLE_BONUS) -> Column:
     """Score of an article row that already carries its token's phrase arrays."""
     bonus = bonus if isinstance(bonus, Column) else F.lit(bonus)
-    content = content_relevance(*FIELDS, F.col("keywords"), F.col("phrases"))
-    return final_score(content, bonus)
+    return relevance_score(*FIELDS, F.col("keywords"), F.col("phrases"), bonus)
 
 
 def score_assigned(articles: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -130,8 +131,14 @@ def _ratios(texts: Column, hits: Column) -> Column:
     )
 
 
-def _relevance(scores: Column) -> Column:
-    return final_score(combine(scores), F.lit(SINGLE_ARTICLE_BONUS))
+def _highest(bases: str | Column) -> Column:
+    return highest_score(F.col(bases) if isinstance(bases, str) else bases, F.lit(SINGLE_ARTICLE_BONUS))
+
+
+def _open(bases: Column, threshold: Column) -> Column:
+    """Whether word variety decides the score, and the score may reach the threshold."""
+    high = _highest(bases)
+    return (high >= threshold) & (high > lowest_score(bases, F.lit(SINGLE_ARTICLE_BONUS)))
 
 
 # -- inline ------------------------------------------------------------------------
@@ -159,36 +166,50 @@ def _match_inline(articles: DataFrame, registry: list) -> DataFrame:
     def weight(token: Column, hit: Column) -> Column:
         return F.coalesce(F.try_element_at(token["weights"], hit["phrase"]), F.lit(0))
 
-    def field_scores(token: Column, hits: Column, ratios: Column) -> Column:
+    def field_bases(token: Column, hits: Column) -> Column:
         nothing = F.lit(0).cast("bigint")
         return F.transform(
-            ratios,
-            lambda r, i: bind(
-                F.aggregate(
-                    hits,
-                    nothing,
-                    lambda acc, h: acc + weight(token, h) * F.get(h["counts"], i),
-                ).cast("double"),
-                lambda base: weigh(base, r),
+            F.sequence(F.lit(0), F.lit(len(FIELDS) - 1)),
+            lambda i: F.aggregate(
+                hits, nothing, lambda acc, h: acc + weight(token, h) * F.get(h["counts"], i)
+            ).cast("double"),
+        )
+
+    def based(hits: Column) -> Column:
+        return F.transform(
+            token_list,
+            lambda t: F.struct(
+                t["token_key"].alias("token_key"),
+                t["threshold"].alias("threshold"),
+                field_bases(t, hits).alias("bases"),
             ),
         )
 
-    def relevant(hits: Column, ratios: Column) -> Column:
+    def relevant(tokens: Column, ratios: Column) -> Column:
         scored = F.transform(
-            token_list,
+            tokens,
             lambda t: F.struct(
                 t["token_key"].alias("token_key"),
                 t["threshold"].alias("threshold"),
-                bind(field_scores(t, hits, ratios), _relevance).alias("relevance"),
+                decided(t["bases"], F.lit(SINGLE_ARTICLE_BONUS), lambda: ratios).alias("relevance"),
             ),
         )
         return F.filter(scored, lambda s: s["relevance"] >= s["threshold"])
 
+    def measured(texts: Column, hits: Column, tokens: Column) -> Column:
+        """Word variety per field, of texts of which a token's score depends on it."""
+        nothing = F.array(*(F.lit(0.0) for _ in FIELDS))
+        needed = F.exists(tokens, lambda t: _open(t["bases"], t["threshold"]))
+        return F.when(needed, _ratios(texts, hits)).otherwise(nothing)
+
     matches = bind(
         _lowered(),
         lambda texts: bind(
             _hits(texts, phrase_list),
-            lambda hits: bind(_ratios(texts, hits), lambda r: relevant(hits, r)),
+            lambda hits: bind(
+                based(hits),
+                lambda tokens: bind(measured(texts, hits, tokens), lambda r: relevant(tokens, r)),
+            ),
         ),
     )
     # the outer form keeps the optimizer from copying the expression into a filter
@@ -270,21 +291,33 @@ def _slot(gram: Column) -> Column:
 def _gram_rows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """``text_key, gram``: the wanted grams of each text, and few others.
 
-    One scan takes up to three characters at each place; shorter grams are beginnings of
+    Few wanted grams are looked for one by one, which is the cheaper way.  For more, one
+    scan takes up to three characters at each place; shorter grams are beginnings of
     these.  What the bitmap of the wanted ones doesn't know goes before any shuffle.
     """
-    scanned = F.regexp_extract_all(F.array_join(_lowered(), BREAK), F.lit(rf"(?s)(?=(.{{1,{GRAM}}}))"), F.lit(1))
+    few = wanted.select("gram").distinct().limit(LISTED_GRAMS + 1).agg(F.collect_list("gram").alias("few")).scalar()
 
     def beginnings(longest: Column, n: int) -> Column:
         return F.array_distinct(F.transform(longest, lambda g: F.substring(g, 1, n)))
 
-    every = bind(
-        F.array_distinct(scanned),
-        lambda longest: F.array_distinct(F.concat(longest, *(beginnings(longest, n) for n in range(1, GRAM)))),
+    def cut(text: Column) -> Column:
+        scanned = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{GRAM}}}))"), F.lit(1))
+        return bind(
+            F.array_distinct(scanned),
+            lambda longest: F.array_distinct(F.concat(longest, *(beginnings(longest, n) for n in range(1, GRAM)))),
+        )
+
+    held = bind(
+        F.array_join(_lowered(), BREAK),
+        lambda text: F.when(
+            F.size("few") <= LISTED_GRAMS, F.filter("few", lambda g: F.contains(text, g))
+        ).otherwise(cut(text)),
     )
     at = _slot(F.col("gram"))
     bits = F.get(_slots_of(wanted), (at / 64).cast("int"))
-    return texts.select("text_key", F.explode(every).alias("gram")).where(
+    # a subquery can't stand in a lambda
+    asked = with_computed(texts.select("text_key", *FIELDS), "few", few)
+    return asked.select("text_key", F.explode(held).alias("gram")).where(
         F.call_function("shiftright", bits, at % 64).bitwiseAND(1) == 1
     )
 
@@ -305,7 +338,7 @@ def _anchors(texts: DataFrame, roles: DataFrame) -> DataFrame:
 def _candidates(texts: DataFrame, roles: DataFrame) -> DataFrame:
     """``text_key, phrase``: phrases whose rarest gram occurs in the text."""
     anchors = _anchors(texts, roles)
-    return _gram_rows(texts, anchors).join(anchors, "gram").select("text_key", "phrase")
+    return join_spread(_gram_rows(texts, anchors), anchors, ["gram"], ["text_key"], like=roles).select("text_key", "phrase")
 
 
 def _match_grams(articles: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -315,22 +348,12 @@ def _match_grams(articles: DataFrame, tokens: DataFrame) -> DataFrame:
     selective = tokens.filter(F.col("threshold") > SINGLE_ARTICLE_BONUS)
     roles = _phrase_roles(selective)
 
-    # verify each candidate in the text, then measure each text with a hit once
+    # verify the candidates of a text in it
     articles = articles.withColumn("text_key", _text_key())
     texts = articles.select("text_key", *FIELDS).dropDuplicates(["text_key"])
-    found = texts.join(_candidates(texts, roles), "text_key")
-    one_phrase = bind(_lowered(), lambda t: F.get(_hits(t, F.array("phrase")), F.lit(0)))
-    verified = with_computed(found, "h", one_phrase).filter("h is not null")
-    # phrases that are in a text, so no more than the text has room for
-    by_text = verified.groupBy("text_key").agg(
-        *(F.first(f).alias(f) for f in FIELDS), F.collect_list("h").alias("hits")
-    )
-    ratios = bind(_lowered(), lambda t: _ratios(t, F.col("hits")))
-    hits = (
-        with_computed(by_text, "ratios", ratios)
-        .select("text_key", "ratios", F.explode("hits").alias("h"))
-        .select("text_key", "ratios", "h.*")
-    )
+    of_text = _candidates(texts, roles).groupBy("text_key").agg(F.collect_list("phrase").alias("candidates"))
+    verified = bind(_lowered(), lambda t: _hits(t, F.col("candidates")))
+    hits = texts.join(of_text, "text_key").select("text_key", F.explode(verified).alias("h")).select("text_key", "h.*")
 
     def total(role: str) -> Column:
         sums = [F.sum(F.col(role) * F.col("counts")[i]) for i in range(len(FIELDS))]
@@ -339,41 +362,45 @@ def _match_grams(articles: DataFrame, tokens: DataFrame) -> DataFrame:
     # phrase hits of the profile, set beside the keyword hits of its tokens
     same_profile = Window.partitionBy("text_key", "profile")
     of_profile = F.max(F.when(F.col("token_key").isNull(), F.col("p"))).over(same_profile)
-    scores = F.transform(
-        "ratios",
-        lambda r, i: weigh(
-            (
-                F.get("k", i) * KEYWORD_WEIGHT + F.coalesce(F.get("of_profile", i), F.lit(0))
-            ).cast("double"),
-            r,
-        ),
-    )
-    summed = (
-        hits.join(roles, "phrase")
-        .groupBy("text_key", "profile", "token_key")
-        .agg(F.first("ratios").alias("ratios"), total("k"), total("p"))
-        .withColumn("of_profile", of_profile)
+    bases = F.transform(
+        "k", lambda k, i: (k * KEYWORD_WEIGHT + F.coalesce(F.get("of_profile", i), F.lit(0))).cast("double")
     )
     # One row stands for one token, or for a profile, whose row is opened into tokens
     # only if it passes the lowest threshold among them on phrases alone.
     nobody = F.lit("")
-    scored = with_computed(summed, "relevance", bind(scores, _relevance)).select(
-        "text_key",
-        "profile",
-        F.coalesce("token_key", nobody).alias("stands_for"),
-        "relevance",
-    )
     lowest = selective.groupBy("profile").agg(F.min("threshold").alias("lowest"))
+    roles_of = (
+        join_spread(hits, roles, ["phrase"], ["text_key"])
+        .groupBy("text_key", "profile", "token_key")
+        .agg(total("k"), total("p"))
+        .withColumn("of_profile", of_profile)
+        .select("text_key", "profile", F.coalesce("token_key", nobody).alias("stands_for"), bases.alias("bases"))
+    )
+    summed = join_spread(roles_of, lowest, ["profile"], ["text_key"])
+    # word variety is measured once a text, in fields where a score depends on it
+    rows = F.collect_list(F.struct("profile", "stands_for", "bases", "lowest")).alias("rows")
+    by_text = summed.filter(_highest("bases") >= F.col("lowest")).groupBy("text_key").agg(rows)
+
+    def depends(i: Column) -> Column:
+        return F.exists("rows", lambda r: (F.get(r["bases"], i) > 0) & _open(r["bases"], r["lowest"]))
+
+    ratios = bind(
+        _lowered(),
+        lambda t: F.transform(t, lambda x, i: F.when(depends(i), unique_ratio(x)).otherwise(F.lit(0.0))),
+    )
+    measured = (
+        with_computed(texts.join(by_text, "text_key"), "ratios", ratios)
+        .select("text_key", "ratios", F.explode("rows").alias("r"))
+        .select("text_key", "ratios", "r.*")
+    )
+    relevance = decided(F.col("bases"), F.lit(SINGLE_ARTICLE_BONUS), lambda: F.col("ratios"))
+    scored = with_computed(measured, "relevance", relevance)
     owners = selective.select("profile", "token_key", "threshold")
     targets = owners.withColumn("stands_for", F.col("token_key")).unionByName(
         owners.withColumn("stands_for", nobody)
     )
-    passed = (
-        scored.join(lowest, "profile")
-        .filter("relevance >= lowest")
-        .join(targets, ["profile", "stands_for"])
-        .filter("relevance >= threshold")
-    )
+    passing = scored.filter("relevance >= lowest")
+    passed = join_spread(passing, targets, ["profile", "stands_for"], ["text_key"]).filter("relevance >= threshold")
     # keyword hits only add to a score, so the larger one is the whole one
     pairs = passed.groupBy("text_key", "token_key").agg(
         F.max("relevance").alias("relevance")
@@ -396,8 +423,10 @@ def _match_everything(articles: DataFrame, tokens: DataFrame) -> DataFrame:
         "phrases",
         F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_bucket"),
     )
+    # without such tokens no text is shuffled
+    any_open = tokens.filter(F.col("threshold") <= SINGLE_ARTICLE_BONUS).agg(F.count("*")).scalar() > 0
     return (
-        articles.withColumn("_bucket", F.pmod(F.xxhash64(*articles.columns), F.lit(buckets)).cast("int"))
+        articles.where(any_open).withColumn("_bucket", F.pmod(F.xxhash64(*articles.columns), F.lit(buckets)).cast("int"))
         .join(dims, "_bucket")
         .withColumn("relevance", pair_score())
         .drop("_bucket", "keywords", "phrases")

@@ -198,6 +198,29 @@ def test_an_empty_registry_or_table_matches_nothing(spark):
     assert match_tokens(docs.limit(0), tokens).count() == 0
 
 
+@pytest.mark.parametrize("listed", [0, 256])
+def test_grams_are_found_one_by_one_or_by_cutting(spark, monkeypatch, listed):
+    monkeypatch.setattr(matching, "LISTED_GRAMS", listed)
+    docs, tokens = articles(spark, 40), registry(spark, TOKENS)
+    found = match_tokens(docs, tokens).collect()
+    assert {(r.arrival, r.token_key, r.relevance) for r in found} == every_pair(spark, docs, tokens)
+
+
+def test_scores_that_word_variety_cannot_change_need_none(spark):
+    """A score between equal bounds is the one that the words would give."""
+    from newsweave.functions import relevance
+
+    rows = [(float(t), float(s), float(f), r) for t in (0, 1, 3, 20) for s in (0, 2, 9) for f in (0, 1, 7, 60) for r in (0.0, 0.4, 1.0)]
+    frame = spark.createDataFrame(rows, "t double, s double, f double, r double")
+    bases, ratios, one = F.array("t", "s", "f"), F.array("r", "r", "r"), F.lit(1.0)
+    whole = relevance.final_score(relevance.combine_weighed(bases, ratios), one)
+    fail = F.raise_error(F.lit("looked at")).cast("array<double>")
+    high = frame.where("t >= 20").select(relevance.decided(bases, one, lambda: fail).alias("x"))
+    assert {r.x for r in high.collect()} == {10.0}
+    both = frame.select(relevance.decided(bases, one, lambda: ratios).alias("x"), whole.alias("y")).collect()
+    assert all(r.x == r.y for r in both)
+
+
 def test_a_few_tokens_do_not_mean_a_few_tasks(spark):
     """Rows of one token are dealt out over many partitions, and keep their scores."""
     tokens = registry(spark, TOKENS[:1])
