@@ -53,7 +53,9 @@ def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
 SPREAD_ROWS = 4096
 
 
-def join_spread(rows: DataFrame, few: DataFrame, on: list[str], by: list[str], *, like: DataFrame | None = None) -> DataFrame:
+def join_spread(
+    rows: DataFrame, few: DataFrame, on: list[str], by: list[str], *, like: DataFrame | None = None, merged: bool = False
+) -> DataFrame:
     """Join of very many rows with a table that may have only a few keys.
 
     A handful of keys would mean a handful of tasks however many rows there are, as
@@ -61,9 +63,12 @@ def join_spread(rows: DataFrame, few: DataFrame, on: list[str], by: list[str], *
     small table is copied until it has some 4,096 rows, and ``by`` deals the rows of a key
     out over its copies; a larger one is joined as it is.  How large it is, or ``like``
     which is about as large, is counted when the job runs.
+
+    ``merged`` is for a ``few`` that an explode may have made far larger than Spark takes it
+    for, as its estimates leave out how many rows come of one: neither side is broadcast.
     """
     counted = F.greatest(F.count(F.lit(1)), F.lit(1))
     copies = (few if like is None else like).agg(F.greatest(F.lit(1), F.floor(SPREAD_ROWS / counted)).cast("int")).scalar()
     copied = few.withColumn("_slot", F.explode(F.sequence(F.lit(0), copies - 1)))
     dealt = rows.withColumn("_slot", F.pmod(F.xxhash64(*by), copies).cast("int"))
-    return dealt.join(copied, [*on, "_slot"]).drop("_slot")
+    return dealt.join(copied.hint("merge") if merged else copied, [*on, "_slot"]).drop("_slot")

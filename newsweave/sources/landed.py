@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.dates import feed_epoch, parse_date
-from ..functions.columns import with_computed
+from ..functions.columns import join_spread, with_computed
 from ..functions.text import SEARCH_TAG, clean_snippet, utc_text
 from ..operators.articles import clean_articles
 from ..operators.tokens import query_plan
@@ -109,12 +109,13 @@ def token_search_articles(
     """Search rows of each token's queries, ready for the refresh; ``fetched`` is kept for their window.
 
     Rows that don't say when they were fetched have a null there, as landings without it do.
+    A token has 2^n queries, so the plan is never sent to the driver to be broadcast.
     """
     if "fetched" not in articles.columns:
         articles = articles.withColumn("fetched", F.lit(None).cast("bigint"))
     plan = planned_queries(tokens).select("query_id", "token_key", "query_order")
     return as_articles(
-        articles.join(plan, "query_id").withColumn(
+        join_spread(articles, plan, ["query_id"], articles.columns, merged=True).withColumn(
             "arrival",
             arrival(SEARCH, F.col("query_order"), F.col("page"), F.col("item")),
         ),

@@ -144,6 +144,20 @@ def test_search_rows_need_not_say_when_they_were_fetched(spark):
     assert {(r.title, r.fetched, r.arrival.list) for r in found.collect()} == {("A S ", None, 1), ("A S  x", None, 2)}
 
 
+def test_search_rows_are_joined_without_a_broadcast_of_the_plan(spark):
+    """Spark takes the 2^n queries of a token for as small as the token."""
+    phrases = [f"p{i}" for i in range(13)]
+    rows = [(n, "S", {"c": n}, None, None, [], p, None) for n, p in (("A", phrases), ("B", []))]
+    tokens = prepare_tokens(spark.createDataFrame(rows, TOKEN))
+    zero = F.lit(0).cast("bigint")
+    planned = landed.planned_queries(tokens)
+    asked = planned.select("query_id", F.col("query").alias("title"), zero.alias("page"), zero.alias("item"))
+    found = landed.token_search_articles(asked, tokens).select("token_key", "title", F.col("arrival.list").alias("query_order"))
+    got = sorted(map(tuple, found.collect()))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert got == sorted(map(tuple, planned.select("token_key", "query", "query_order").collect())) and len(got) == 2**13 + 1
+
+
 RSS = """<?xml version="1.0"?><rss version="2.0"><channel><title>Feed &amp; Co</title>
 <item><title>A &amp; B</title><link>https://x/1</link><description><![CDATA[<p>Some <b>text</b></p>]]></description>
 <pubDate>Wed, 04 Dec 2024 10:30:00 +0200</pubDate></item>
